@@ -30,6 +30,7 @@ from ..plans import pnl as pl
 from ..plans import statement as st
 from ..plans import variants as va
 from ..rules import ORDERS as RULES
+from ..schemas import Books
 from ..sources.order_books import load_order_books
 from ..sources.tables import ORDER_TABLES, describe_tables, load_tables
 
@@ -46,8 +47,6 @@ SEARCH_WORDS = ("plier#000000001", "SUPPLIER#000000004")
 ACCOUNT_WORDS = ("hot anv", "PLATE")
 PAYROLL_CODES = (*RULES.accrual_kinds, "Brand#1")
 
-Books = dict[str, DataFrame]
-
 
 def present(frame: DataFrame, digits: dict[str, int] | None = None) -> DataFrame:
     """Engine-neutral result: cents as DOUBLE, dates as text."""
@@ -126,7 +125,8 @@ def _fallback_apportioned(b: Books) -> DataFrame:
 
 
 def _base_or_provision(b: Books) -> DataFrame:
-    rows = pay.base_or_provision(pay.payroll_postings(b, RULES, (pay.ACCRUAL,)))
+    postings = pay.payroll_postings(b, RULES, (pay.ACCRUAL,))
+    rows = pay.base_or_provision(postings, pay.payroll_cells(postings))
     return rows.select("unit", "kind", "subclass", "account_no", "month", "category", "amount")
 
 
@@ -170,7 +170,7 @@ def _codes(b: Books) -> DataFrame:
 
 
 def _top(b: Books) -> DataFrame:
-    return st.top_parties(st.party_months(pl.movements(b, RULES), YEARS), TOP_N).drop("position")
+    return st.top_parties(st.party_months(pl.movements(b, RULES), YEARS), TOP_N).drop("position", "pnl_group", "months")
 
 
 def _party_pivot(b: Books) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..rules import Rules
+from . import text as tx
 
 
 def decode(code: Column, labels: Mapping, default: str | None = None) -> Column:
@@ -27,7 +28,8 @@ def unit_of_name(name: Column, rules: Rules) -> Column:
     """Unit from the account name; where several patterns match, the first one wins."""
     chain = None
     for unit, pattern in rules.name_units:
-        chain = F.when(name.rlike(pattern), unit) if chain is None else chain.when(name.rlike(pattern), unit)
+        hit = tx.matches(name, pattern)
+        chain = F.when(hit, unit) if chain is None else chain.when(hit, unit)
     return chain
 
 
@@ -54,7 +56,7 @@ def noise_category(origin_code: Column, detail: Column, rules: Rules) -> Column:
     upper = F.upper(F.coalesce(detail, F.lit("")))
     chain = F.when(origin_code.isin(*rules.closing_origins), "cierre")
     for category, mark in rules.noise_texts:
-        chain = chain.when(upper.rlike(mark), category)
+        chain = chain.when(tx.matches(upper, mark), category)
     return chain.otherwise("base")
 
 

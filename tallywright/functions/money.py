@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import MONEY
+from . import text as tx
 
 
 def money(value: Column) -> Column:
@@ -39,7 +40,7 @@ def net_sale(price: Column, rate: Column, discount_pct: Column, doc_type: Column
 
 def flip_reversals(amount: Column, detail: Column, pattern: str) -> Column:
     """Credit notes and cancellations are booked positive; their text gives them away."""
-    return F.when(F.coalesce(detail.rlike(pattern), F.lit(False)), -amount).otherwise(amount)
+    return F.when(tx.contains(detail, pattern), -amount).otherwise(amount)
 
 
 def thousands(value: Column) -> Column:

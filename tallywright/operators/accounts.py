@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as cl
 from ..functions import text as tx
 from ..rules import Rules
+from ..schemas import Books
 from .ledger import account_names
 
 
@@ -31,7 +32,7 @@ def policy_by_number(policy: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def account_card(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def account_card(books: Books, rules: Rules) -> DataFrame:
     """Accounts with concept, policy flag and unit."""
     return (
         account_names(books["account"])
@@ -54,13 +55,13 @@ def policy_preferred(policy: DataFrame) -> DataFrame:
     )
 
 
-def account_unit_lists(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def account_unit_lists(books: Books, rules: Rules) -> DataFrame:
     """Considered account numbers with the unit their name gives."""
     return policy_by_number(books["account_policy"], rules).filter(F.col("unit").isNotNull()).select("account_no", "unit")
 
 
 def account_search(
-    books: dict[str, DataFrame], prefix: str, words: tuple[str, ...] | list[str]
+    books: Books, prefix: str, words: tuple[str, ...] | list[str]
 ) -> DataFrame:
     """Accounts of a number class, or with one of ``words`` anywhere in the name (any case)."""
     return books["account"].filter(

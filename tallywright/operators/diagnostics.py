@@ -11,6 +11,7 @@ from ..functions import classify as cl
 from ..functions import periods as pe
 from ..functions import text as tx
 from ..rules import SALARIES, Rules
+from ..schemas import Books
 from .accounts import policy_preferred
 from .ledger import postings
 
@@ -32,7 +33,7 @@ def _credit(amount: Column) -> Column:
     return F.sum(F.when(F.col("side") == 1, amount).otherwise(F.lit(0)))
 
 
-def account_activity(books: dict[str, DataFrame], since: dt.date) -> DataFrame:
+def account_activity(books: Books, since: dt.date) -> DataFrame:
     """Activity per account (number, name) over the whole ledger, and since a load date.
 
     Rows are first summed per account and journal, so that the distinct journal count becomes a
@@ -66,7 +67,7 @@ def account_activity(books: dict[str, DataFrame], since: dt.date) -> DataFrame:
     )
 
 
-def account_inventory(books: dict[str, DataFrame], rules: Rules, since: dt.date) -> DataFrame:
+def account_inventory(books: Books, rules: Rules, since: dt.date) -> DataFrame:
     """Considered accounts with recent movements: unit, label, counts, net, last movement."""
     activity = (
         account_activity(books, since)
@@ -102,12 +103,12 @@ def inventory_totals(inventory: DataFrame) -> DataFrame:
     )
 
 
-def _selected(books: dict[str, DataFrame], rules: Rules, codes, since: dt.date | None, with_party: bool = False):
+def _selected(books: Books, rules: Rules, codes, since: dt.date | None, with_party: bool = False):
     accounts = books["account"].filter(F.col("class_code").isin(*codes))
     return postings(books, rules, accounts, since, with_party=with_party)
 
 
-def date_shift_matrix(books: dict[str, DataFrame], rules: Rules, codes: tuple[str, ...]) -> DataFrame:
+def date_shift_matrix(books: Books, rules: Rules, codes: tuple[str, ...]) -> DataFrame:
     """Accounting month x load month x account x side x origin: rows, total, closing, operating.
 
     Where the two months differ, the split row shows the shift.
@@ -131,7 +132,7 @@ def date_shift_matrix(books: dict[str, DataFrame], rules: Rules, codes: tuple[st
     )
 
 
-def origin_distribution(books: dict[str, DataFrame], rules: Rules, codes: tuple[str, ...]) -> DataFrame:
+def origin_distribution(books: Books, rules: Rules, codes: tuple[str, ...]) -> DataFrame:
     rows = _selected(books, rules, codes, None)
     per_journal = rows.groupBy("origin_code", "side", "journal_id").agg(
         F.count("*").alias("n"), F.sum("amount").alias("total")
@@ -141,14 +142,14 @@ def origin_distribution(books: dict[str, DataFrame], rules: Rules, codes: tuple[
     )
 
 
-def raw_sample(books: dict[str, DataFrame], rules: Rules, codes: tuple[str, ...], since: dt.date, n: int = 120) -> DataFrame:
+def raw_sample(books: Books, rules: Rules, codes: tuple[str, ...], since: dt.date, n: int = 120) -> DataFrame:
     """First ``n`` postings by load date (top-n, no full sort); every column breaks ties."""
     rows = _selected(books, rules, codes, since, with_party=True)
     columns = ["loaded_at", "accounting_at", "account_no", "account_name", "side", "amount", "origin_code", "detail", "party"]
     return rows.select(*columns).orderBy(*columns).limit(n)
 
 
-def unit_debit_credit(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def unit_debit_credit(books: Books, rules: Rules) -> DataFrame:
     """Salary accounts: debit and credit by accounting month, load month and unit."""
     codes = [code for code, kind in rules.accrual_kinds.items() if kind == SALARIES]
     accounts = books["account"].filter(F.col("class_code").isin(*codes)).withColumn("unit", F.expr(rules.accrual_unit_sql))
@@ -160,7 +161,7 @@ def unit_debit_credit(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
     ).agg(_debit(F.col("amount")).alias("debit"), _credit(F.col("amount")).alias("credit"))
 
 
-def noise_profile(books: dict[str, DataFrame], rules: Rules, codes: tuple[str, ...]) -> DataFrame:
+def noise_profile(books: Books, rules: Rules, codes: tuple[str, ...]) -> DataFrame:
     """Rows and totals by accounting month, account, side and noise category."""
     rows = _selected(books, rules, codes, None)
     category = cl.noise_category(F.col("origin_code"), F.col("detail"), rules)
@@ -177,7 +178,7 @@ def noise_summary(profile: DataFrame) -> DataFrame:
     return profile.groupBy("category", "side").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-def ledger_search(books: dict[str, DataFrame], rules: Rules, words: tuple[str, ...] | list[str], since: dt.date | None = None) -> DataFrame:
+def ledger_search(books: Books, rules: Rules, words: tuple[str, ...] | list[str], since: dt.date | None = None) -> DataFrame:
     """Postings of the parties whose name contains one of ``words``, in any case.
 
     The party list is filtered first; only postings of a hit meet the journal and the accounts.
@@ -196,7 +197,7 @@ def ledger_search(books: dict[str, DataFrame], rules: Rules, words: tuple[str, .
     )
 
 
-def party_search(books: dict[str, DataFrame], words: tuple[str, ...] | list[str]) -> DataFrame:
+def party_search(books: Books, words: tuple[str, ...] | list[str]) -> DataFrame:
     """Distinct (name, id) of matching parties: one name may have many ids."""
     return (
         books["fiscal_party"]
@@ -206,7 +207,7 @@ def party_search(books: dict[str, DataFrame], words: tuple[str, ...] | list[str]
     )
 
 
-def capital_accounts(books: dict[str, DataFrame], rules: Rules, prefix: str = "1") -> DataFrame:
+def capital_accounts(books: Books, rules: Rules, prefix: str = "1") -> DataFrame:
     """Debit movements of one account class, by account and origin."""
     accounts = books["account"].filter(F.col("account_no").startswith(prefix))
     rows = postings(books, rules, accounts).filter(F.col("side") == 0)
@@ -216,7 +217,7 @@ def capital_accounts(books: dict[str, DataFrame], rules: Rules, prefix: str = "1
 
 
 def asset_monthly(
-    books: dict[str, DataFrame], rules: Rules, prefix: str, start: dt.date, end: dt.date
+    books: Books, rules: Rules, prefix: str, start: dt.date, end: dt.date
 ) -> DataFrame:
     """The same by load month, over the half-open range [start, end)."""
     accounts = books["account"].filter(F.col("account_no").startswith(prefix))
@@ -226,20 +227,20 @@ def asset_monthly(
     ).agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
 
 
-def liability_raw(books: dict[str, DataFrame], rules: Rules, start: dt.date, end: dt.date) -> DataFrame:
+def liability_raw(books: Books, rules: Rules, start: dt.date, end: dt.date) -> DataFrame:
     """Liability salary postings over [start, end): every side, every text."""
     rows = _selected(books, rules, rules.liability_units, start).filter(F.col("loaded_at") < F.lit(end))
     return rows.select("loaded_at", "side", "amount", "account_no", "account_name", "detail", "origin_code")
 
 
-def liability_history(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def liability_history(books: Books, rules: Rules) -> DataFrame:
     rows = _selected(books, rules, rules.liability_units, None)
     return rows.groupBy(
         pe.month_text(F.col("loaded_at")).alias("month"), "account_no", "account_name", "side"
     ).agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
 
 
-def latest_rates(books: dict[str, DataFrame], n: int = 30, by: str = "rate_id") -> DataFrame:
+def latest_rates(books: Books, n: int = 30, by: str = "rate_id") -> DataFrame:
     """Last ``n`` rates by ``by`` (a date where the table has one)."""
     return books["fx_rate"].orderBy(F.col(by).desc(), F.col("rate").desc()).limit(n)
 

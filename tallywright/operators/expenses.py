@@ -10,11 +10,12 @@ from ..functions import money as mo
 from ..functions import periods as pe
 from ..functions import text as tx
 from ..rules import Rules
+from ..schemas import Books
 from .accounts import account_card
 from .ledger import postings
 
 
-def expense_accounts(books: dict[str, DataFrame], rules: Rules, literal: bool = False) -> DataFrame:
+def expense_accounts(books: Books, rules: Rules, literal: bool = False) -> DataFrame:
     """Accounts of the expense block.
 
     An account is in if policy says so or if its name is an upkeep name; payroll accrual accounts
@@ -41,7 +42,7 @@ def accepted_origin(rules: Rules) -> Column:
 
 
 def expense_rows(
-    books: dict[str, DataFrame],
+    books: Books,
     rules: Rules,
     literal: bool = False,
     with_party: bool = True,
@@ -110,7 +111,7 @@ def detail_overrides(rows: DataFrame, rules: Rules) -> DataFrame:
 
 
 def expenses_monthly(
-    books: dict[str, DataFrame], rules: Rules, literal: bool = False, consistent: bool = True
+    books: Books, rules: Rules, literal: bool = False, consistent: bool = True
 ) -> DataFrame:
     """Expenses by unit, month, account and concept. Rows without a unit have no place.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as cl
 from ..functions import text as tx
 from ..rules import Rules
+from ..schemas import Books
 
 
 def account_names(accounts: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def account_names(accounts: DataFrame) -> DataFrame:
 
 
 def ledger_fact(
-    books: dict[str, DataFrame],
+    books: Books,
     rules: Rules,
     since: dt.date | None = None,
     accounts: DataFrame | None = None,
@@ -37,7 +38,7 @@ def ledger_fact(
 
 
 def postings(
-    books: dict[str, DataFrame],
+    books: Books,
     rules: Rules,
     accounts: DataFrame,
     since: dt.date | None = None,
@@ -56,7 +57,7 @@ def postings(
     return _finish(fact, books, rules, with_party)
 
 
-def _finish(fact: DataFrame, books: dict[str, DataFrame], rules: Rules, with_party: bool) -> DataFrame:
+def _finish(fact: DataFrame, books: Books, rules: Rules, with_party: bool) -> DataFrame:
     if with_party:
         fact = fact.join(books["origin_party"], "origin_id", "left")
     return fact.withColumns(
@@ -67,7 +68,7 @@ def _finish(fact: DataFrame, books: dict[str, DataFrame], rules: Rules, with_par
     )
 
 
-def ledger_line_first(books: dict[str, DataFrame], rules: Rules, since: dt.date) -> DataFrame:
+def ledger_line_first(books: Books, rules: Rules, since: dt.date) -> DataFrame:
     """Result-account postings, line first, from an accounting date on.
 
     The filters on the header and the account make both joins inner, so they are written so.
@@ -76,7 +77,7 @@ def ledger_line_first(books: dict[str, DataFrame], rules: Rules, since: dt.date)
     return postings(books, rules, accounts, since, by_accounting_date=True)
 
 
-def ledger_by_party(books: dict[str, DataFrame], rules: Rules, since: dt.date, movement_first: bool = False) -> DataFrame:
+def ledger_by_party(books: Books, rules: Rules, since: dt.date, movement_first: bool = False) -> DataFrame:
     """Result-account postings with the party of their movement.
 
     Line first keeps postings without a movement (null party); movement first does not.

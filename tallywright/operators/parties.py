@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import periods as pe
 from ..functions import text as tx
+from ..schemas import Books
 from .purchases import PAID, last_purchase, purchase_headers, purchases_last_year
 
 
@@ -18,11 +19,11 @@ def _one_per_company(frame: DataFrame, value: str) -> DataFrame:
     return frame.groupBy("company_id").agg(F.min(value).alias(value))
 
 
-def last_invoice(books: dict[str, DataFrame]) -> DataFrame:
+def last_invoice(books: Books) -> DataFrame:
     return books["contact_invoice"].groupBy("contact_id").agg(F.max("issued_at").alias("last_invoice"))
 
 
-def contact_report(books: dict[str, DataFrame]) -> DataFrame:
+def contact_report(books: Books) -> DataFrame:
     """Contacts by (last name, email, company) with segment, type and last invoice.
 
     Invoices are reduced to one row per contact before they meet the contact list, and segments
@@ -51,7 +52,7 @@ def contact_report(books: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def contacts_with_invoice(books: dict[str, DataFrame]) -> DataFrame:
+def contacts_with_invoice(books: Books) -> DataFrame:
     return contact_report(books).filter(F.col("last_invoice").isNotNull())
 
 
@@ -60,7 +61,7 @@ def by_recency(report: DataFrame) -> DataFrame:
     return report.orderBy(F.col("created_at").desc_nulls_last(), F.col("company").asc_nulls_last())
 
 
-def supplier_report(books: dict[str, DataFrame], as_of: dt.date) -> DataFrame:
+def supplier_report(books: Books, as_of: dt.date) -> DataFrame:
     """Supplier companies: contact dates, last purchase, documents and amount of the last year.
 
     A company is a supplier if any of its types says so.
@@ -93,7 +94,7 @@ def supplier_report(books: dict[str, DataFrame], as_of: dt.date) -> DataFrame:
     )
 
 
-def supplier_outputs(books: dict[str, DataFrame], as_of: dt.date, since: dt.date) -> dict[str, DataFrame]:
+def supplier_outputs(books: Books, as_of: dt.date, since: dt.date) -> dict[str, DataFrame]:
     """The four outputs of the supplier report."""
     report = supplier_report(books, as_of)
     return {
@@ -104,7 +105,7 @@ def supplier_outputs(books: dict[str, DataFrame], as_of: dt.date, since: dt.date
     }
 
 
-def recent_customers(books: dict[str, DataFrame], since: dt.date) -> DataFrame:
+def recent_customers(books: Books, since: dt.date) -> DataFrame:
     """Companies with an invoice since the date: tax id, segment, type, last invoice as text."""
     tax_ids = books["fiscal_party"].groupBy("company_id").agg(F.min("tax_id").alias("tax_id"))
     rows = (
@@ -137,7 +138,7 @@ def recent_customers(books: dict[str, DataFrame], since: dt.date) -> DataFrame:
     )
 
 
-def recent_suppliers(books: dict[str, DataFrame], since: dt.date) -> DataFrame:
+def recent_suppliers(books: Books, since: dt.date) -> DataFrame:
     """Parties with a paid purchase since the date: tax id and last purchase as text."""
     last = (
         purchase_headers(books)

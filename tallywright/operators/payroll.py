@@ -17,7 +17,7 @@ from ..functions import money as mo
 from ..functions import periods as pe
 from ..functions import text as tx
 from ..rules import Rules
-from ..schemas import AMOUNT
+from ..schemas import AMOUNT, Books
 from .ledger import postings
 
 ACCRUAL, LIABILITY, POOL = "accrual", "liability", "pool"
@@ -45,13 +45,17 @@ def payroll_accounts(accounts: DataFrame, rules: Rules) -> DataFrame:
             ),
         )
         .withColumn("subclass", cl.subclass(key, rules.subclass_labels, R.UNCLASSIFIED))
-        .withColumn("subclass_pivot", cl.subclass(key, rules.subclass_pivot_labels, ""))
+        # only accrued cost is split in the P&L; a liability account stands for its whole unit
+        .withColumn(
+            "subclass_pivot",
+            F.when(F.col("role") == ACCRUAL, cl.subclass(key, rules.subclass_pivot_labels, "")).otherwise(""),
+        )
         .filter((F.col("role") == POOL) | F.col("unit").isNotNull())
     )
 
 
 def payroll_postings(
-    books: dict[str, DataFrame], rules: Rules, roles: tuple[str, ...] = (ACCRUAL, LIABILITY, POOL)
+    books: Books, rules: Rules, roles: tuple[str, ...] = (ACCRUAL, LIABILITY, POOL)
 ) -> DataFrame:
     """Usable payroll rows of the given roles, one scan for all of them.
 
@@ -69,7 +73,7 @@ def payroll_postings(
     owed = (role == LIABILITY) & (F.col("side") == 0) & ~tx.contains(F.col("detail"), rules.closing_text)
     pooled = (role == POOL) & (F.col("side") == 0)
     moment = F.when(role == ACCRUAL, F.col("accounting_at")).otherwise(F.col("loaded_at"))
-    return rows.filter(accrued | owed | pooled).select(
+    return rows.filter((accrued | owed | pooled) & moment.isNotNull()).select(
         "role",
         "kind",
         "unit",
@@ -136,7 +140,7 @@ def payroll_months(cells: DataFrame, rules: Rules, per_unit_cutoff: bool = False
     whatever the size of the ledger; windows only run on that.
     """
     by_month = (
-        cells.filter(F.col("amount").isNotNull() & F.col("month").isNotNull())
+        cells.filter(F.col("amount").isNotNull())
         .groupBy("role", "kind", "unit", "subclass_pivot", "month")
         .agg(F.sum("amount").alias("amount"))
     )
@@ -201,7 +205,7 @@ def payroll_concept(kind: Column, subclass: Column, unit: Column) -> Column:
     return F.concat(F.concat_ws(" ", kind, named), F.lit(" - "), unit)
 
 
-def payroll_hybrid(books: dict[str, DataFrame], rules: Rules, per_unit_cutoff: bool = False) -> DataFrame:
+def payroll_hybrid(books: Books, rules: Rules, per_unit_cutoff: bool = False) -> DataFrame:
     """Monthly payroll rows of a P&L: unit, month, kind, concept, amount."""
     cells = payroll_cells(payroll_postings(books, rules))
     return (
@@ -211,7 +215,7 @@ def payroll_hybrid(books: dict[str, DataFrame], rules: Rules, per_unit_cutoff: b
     )
 
 
-def accrual_months(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def accrual_months(books: Books, rules: Rules) -> DataFrame:
     """Accrued payroll of the closed months: unit, kind, sub-class, concept, month, amount."""
     cells = payroll_cells(payroll_postings(books, rules, (ACCRUAL,)))
     cutoff = payroll_cutoff(cells).scalar()
@@ -225,54 +229,44 @@ def accrual_months(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
     )
 
 
-def base_or_provision(rows: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """Accrual rows that count, row by row (for the movement fact).
+def base_or_provision(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Accrual rows that count, row by row (for the movement fact); other roles pass.
 
     Rows meet their cell by a join, which the skew handling of adaptive execution can split; a
     window per cell could not.
     """
-    rows = rows.filter(F.col("role") == ACCRUAL)
-    cells = payroll_cells(rows) if cells is None else cells.filter(F.col("role") == ACCRUAL)
-    flags = cells.select(
-        F.col("account_no").alias("cell_account"), F.col("month").alias("cell_month"), uses_base(F.col("base")).alias("use_base")
-    ).groupBy("cell_account", "cell_month").agg(F.bool_or("use_base").alias("use_base"))
-    same_cell = (F.col("account_no") == F.col("cell_account")) & (F.col("month") == F.col("cell_month"))
-    return rows.join(flags, same_cell).filter((F.col("category") == "base") == F.col("use_base")).drop(
-        "cell_account", "cell_month", "use_base"
+    flags = (
+        cells.filter(F.col("role") == ACCRUAL)
+        .groupBy(F.col("account_no").alias("cell_account"), F.col("month").alias("cell_month"))
+        .agg(F.bool_or(uses_base(F.col("base"))).alias("use_base"))
     )
+    same_cell = (F.col("account_no") == F.col("cell_account")) & (F.col("month") == F.col("cell_month"))
+    kept = (F.col("role") != ACCRUAL) | ((F.col("category") == "base") == F.col("use_base"))
+    return rows.join(flags, same_cell, "left").filter(kept).drop("cell_account", "cell_month", "use_base")
+
 
+def payroll_fact(books: Books, rules: Rules) -> DataFrame:
+    """Payroll rows of the movement fact: accrued rows, liability rows, apportioned charges.
 
-def payroll_fact(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
-    """Payroll rows of the movement fact: accrued rows, liability rows, apportioned charges."""
-    rows = payroll_postings(books, rules)
-    cells = payroll_cells(rows)
+    The ledger is read twice: once for the cells (which give the cutoff, the base-or-provision
+    flags and the apportioned charges), once for the rows.
+    """
+    cells = payroll_cells(payroll_postings(books, rules))
     cutoff = payroll_cutoff(cells).scalar()
-    month = F.col("month")
-    accrued = base_or_provision(payroll_postings(books, rules, (ACCRUAL,))).filter(
-        (month >= F.lit(rules.first_month)) & (month <= cutoff)
-    )
-    accrued = accrued.select(
+    month, role = F.col("month"), F.col("role")
+    rows = base_or_provision(payroll_postings(books, rules, (ACCRUAL, LIABILITY)), cells)
+    closed = (role == ACCRUAL) & (month >= F.lit(rules.first_month)) & (month <= cutoff)
+    later = (role == LIABILITY) & (month > cutoff)
+    accrued = role == ACCRUAL
+    detailed = rows.filter(closed | later).select(
         "unit",
         "moment",
         "month",
-        F.col("kind").alias("concept"),
+        F.when(accrued, F.col("kind")).otherwise(R.SALARIES).alias("concept"),
         "account_no",
         F.col("amount").cast(AMOUNT).alias("amount"),
-        F.lit(R.DETAIL_ACCRUED).alias("detail"),
-        F.col("subclass").alias("party"),
-        F.lit(R.ORIGIN_PAYROLL).alias("source"),
-        "origin",
-    )
-    owed = payroll_postings(books, rules, (LIABILITY,)).filter(month > cutoff)
-    owed = owed.select(
-        "unit",
-        "moment",
-        "month",
-        F.lit(R.SALARIES).alias("concept"),
-        "account_no",
-        F.col("amount").cast(AMOUNT).alias("amount"),
-        F.lit(R.DETAIL_LIABILITY).alias("detail"),
-        F.lit(R.UNCLASSIFIED).alias("party"),
+        F.when(accrued, R.DETAIL_ACCRUED).otherwise(R.DETAIL_LIABILITY).alias("detail"),
+        F.when(accrued, F.col("subclass")).otherwise(R.UNCLASSIFIED).alias("party"),
         F.lit(R.ORIGIN_PAYROLL).alias("source"),
         "origin",
     )
@@ -285,10 +279,10 @@ def payroll_fact(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
         F.lit(R.DETAIL_LIABILITY).alias("detail"),
         F.lit(R.UNCLASSIFIED).alias("party"),
     )
-    return accrued.unionByName(owed).unionByName(charges, allowMissingColumns=True)
+    return detailed.unionByName(charges, allowMissingColumns=True)
 
 
-def payroll_split(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def payroll_split(books: Books, rules: Rules) -> DataFrame:
     """Unit A by sub-class, with guaranteed columns: amounts and percentages per kind and month."""
     first, second = list(dict.fromkeys(rules.subclass_pivot_labels.values()))
     months = accrual_months(books, rules).filter(F.col("unit") == rules.unit_a)
@@ -314,7 +308,7 @@ def payroll_split(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
     )
 
 
-def reconcile(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def reconcile(books: Books, rules: Rules) -> DataFrame:
     """Unit A salaries by month: liability method against accrual method, full outer.
 
     A month after the cutoff is flagged as fallback.

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import classify as cl
 from ..functions import periods as pe
+from ..functions import text as tx
+from ..schemas import Books
 
 PAID, CANCELLED, PENDING = 1, 2, 0
 INVOICE, CREDIT_NOTE = 0, 1
@@ -24,22 +26,22 @@ def decode_purchase(frame: DataFrame) -> DataFrame:
     )
 
 
-def purchase_rows(books: dict[str, DataFrame]) -> DataFrame:
+def purchase_rows(books: Books) -> DataFrame:
     """Purchase lines with their header."""
     return books["purchase_line"].join(books["purchase"], "purchase_id")
 
 
-def purchase_headers(books: dict[str, DataFrame]) -> DataFrame:
+def purchase_headers(books: Books) -> DataFrame:
     """Purchases with their supplier. Lines are only read where the supplier sits on them."""
     header = books["purchase"]
     return header if "contact_id" in header.columns else purchase_rows(books)
 
 
-def last_purchase(books: dict[str, DataFrame]) -> DataFrame:
+def last_purchase(books: Books) -> DataFrame:
     return purchase_headers(books).groupBy("contact_id").agg(F.max("created_at").alias("last_purchase"))
 
 
-def purchases_last_year(books: dict[str, DataFrame], as_of: dt.date) -> DataFrame:
+def purchases_last_year(books: Books, as_of: dt.date) -> DataFrame:
     """Per supplier company: distinct invoices and amount in the year before ``as_of``.
 
     ``as_of`` is a parameter, so that the same call gives the same answer tomorrow. Amounts are
@@ -67,10 +69,8 @@ def purchase_balance(amount: Column, voucher_type: Column) -> Column:
     return F.when(voucher_type == CREDIT_NOTE, amount).otherwise(-amount)
 
 
-def purchase_rates(books: dict[str, DataFrame], words: tuple[str, ...] | list[str]) -> DataFrame:
+def purchase_rates(books: Books, words: tuple[str, ...] | list[str]) -> DataFrame:
     """Purchases of the parties named, with the rate of their currency (null where unknown)."""
-    from ..functions.text import contains_any
-
-    parties = books["fiscal_party"].select("fiscal_id", "party").filter(contains_any(F.col("party"), words))
+    parties = books["fiscal_party"].select("fiscal_id", "party").filter(tx.contains_any(F.col("party"), words))
     found = books["purchase"].join(parties, "fiscal_id")
     return found.join(books["fx_rate"], "rate_id", "left").select("purchase_id", "party", "created_at", "rate")

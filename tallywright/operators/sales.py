@@ -10,9 +10,10 @@ from ..functions import classify as cl
 from ..functions import money as mo
 from ..functions import periods as pe
 from ..rules import Rules
+from ..schemas import Books
 
 
-def invoice_card(books: dict[str, DataFrame], rules: Rules | None = None, unit_default: str | None = None) -> DataFrame:
+def invoice_card(books: Books, rules: Rules | None = None, unit_default: str | None = None) -> DataFrame:
     """Invoice header with its customer, branch and rate.
 
     The header side is joined first: it has a fraction of the rows of the line side. With
@@ -31,7 +32,7 @@ def invoice_card(books: dict[str, DataFrame], rules: Rules | None = None, unit_d
 
 
 def sales_lines(
-    books: dict[str, DataFrame], rules: Rules, unit_default: str | None = None, with_text: bool = True
+    books: Books, rules: Rules, unit_default: str | None = None, with_text: bool = True
 ) -> DataFrame:
     """Invoice lines that count as sales, with net amount, unit and month.
 
@@ -55,7 +56,7 @@ def sales_lines(
     return joined.select(*columns)
 
 
-def sales_monthly(books: dict[str, DataFrame], rules: Rules, unit_default: str | None = None) -> DataFrame:
+def sales_monthly(books: Books, rules: Rules, unit_default: str | None = None) -> DataFrame:
     """Net sales by unit and month, as the sales rows of a P&L (exact decimal amounts)."""
     lines = sales_lines(books, rules, unit_default, with_text=False).filter(F.col("month").isNotNull())
     return (
@@ -65,7 +66,7 @@ def sales_monthly(books: dict[str, DataFrame], rules: Rules, unit_default: str |
     )
 
 
-def sales_fact(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def sales_fact(books: Books, rules: Rules) -> DataFrame:
     """Sales rows in the shape of the movement fact."""
     return sales_lines(books, rules).select(
         "unit",
@@ -81,7 +82,7 @@ def sales_fact(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
     )
 
 
-def first_invoices(books: dict[str, DataFrame], rules: Rules, unit_default: str | None = None) -> DataFrame:
+def first_invoices(books: Books, rules: Rules, unit_default: str | None = None) -> DataFrame:
     """First invoice of every company: no status or date filter, smallest id on a tie.
 
     An aggregate instead of a ranking window: each task keeps one row per company, so a company
@@ -104,6 +105,6 @@ def first_invoices(books: dict[str, DataFrame], rules: Rules, unit_default: str
     )
 
 
-def new_customers(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def new_customers(books: Books, rules: Rules) -> DataFrame:
     """Number of companies whose first invoice falls in each month and unit."""
     return first_invoices(books, rules).groupBy("month", "unit").agg(F.count("*").alias("new_customers"))

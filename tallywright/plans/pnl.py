@@ -11,12 +11,12 @@ from ..operators import expenses as ex
 from ..operators import payroll as pay
 from ..operators import sales as sa
 from ..rules import Rules
-from ..schemas import AMOUNT
+from ..schemas import AMOUNT, Books
 
 FACT_COLUMNS = ("unit", "moment", "month", "concept", "account_no", "amount", "detail", "party", "source", "origin")
 
 
-def movements(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def movements(books: Books, rules: Rules) -> DataFrame:
     """Transaction fact of the known units: sales, payroll and expense rows, with group.
 
     No global sort: a consumer that wants an order asks for it, and the sink sorts inside its
@@ -34,7 +34,7 @@ def movements(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
 
 
 def pnl_long(
-    books: dict[str, DataFrame], rules: Rules, literal: bool = False, per_unit_cutoff: bool = False
+    books: Books, rules: Rules, literal: bool = False, per_unit_cutoff: bool = False
 ) -> DataFrame:
     """Long P&L: unit, group, concept, month, amount.
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions import money as mo
 from ..functions import periods as pe
 from ..functions import text as tx
-from .margin import margin_monthly
 
 
 def party_months(fact: DataFrame, years: tuple[int, ...] | None = None) -> DataFrame:
@@ -24,10 +24,14 @@ def party_months(fact: DataFrame, years: tuple[int, ...] | None = None) -> DataF
 def top_parties(by_month: DataFrame, n: int) -> DataFrame:
     """The ``n`` parties per unit and concept with the largest sum of absolute monthly amounts.
 
-    Ties go by name. The rank filter reaches below the shuffle (window group limit): a task
-    sends at most ``n`` parties per concept, however many parties a concept has.
+    Ties go by name. Each party carries its monthly amounts along (one entry per calendar
+    month), so the winners need no second look at the fact. The rank filter reaches below the
+    shuffle (window group limit): a task sends at most ``n`` parties per concept, however many
+    parties a concept has.
     """
-    totals = by_month.groupBy("unit", "concept", "party").agg(F.sum(F.abs("amount")).alias("total"))
+    totals = by_month.groupBy("unit", "pnl_group", "concept", "party").agg(
+        F.sum(F.abs("amount")).alias("total"), F.collect_list(F.struct("month", "amount")).alias("months")
+    )
     order = Window.partitionBy("unit", "concept").orderBy(F.col("total").desc(), F.col("party"))
     return totals.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
 
@@ -38,38 +42,59 @@ def statement_rows(
     """Lines of the statement as rows: unit, section, level, concept, party, label, month, amount.
 
     Level 0 is a group total, 1 a concept, 2 a counterparty, 3 the margin, 4 the margin percent.
+    Levels 0, 1, 3 and 4 come from one pass over the P&L (grouping sets).
     """
     rows = pnl if years is None else pnl.filter(pe.in_years(F.col("month"), years))
-    none = F.lit(None).cast("string")
-    group_label = F.regexp_replace("pnl_group", "^[0-9][.]", "")
-    groups = (
-        rows.groupBy("unit", "pnl_group", "month")
-        .agg(F.sum("amount").alias("amount"))
-        .select("unit", F.col("pnl_group").alias("section"), F.lit(0).alias("level"), none.alias("concept"),
-                none.alias("party"), group_label.alias("label"), "month", "amount")
-    )
-    concepts = rows.select(
-        "unit", F.col("pnl_group").alias("section"), F.lit(1).alias("level"), "concept", none.alias("party"),
-        tx.concept_label(F.col("concept")).alias("label"), "month", "amount",
+    keys = ["unit", "month", "pnl_group", "concept"]
+
+    def part(group: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("pnl_group") == group, F.col("amount"))), F.lit(0))
+
+    sets = rows.groupingSets([keys, keys[:3], keys[:2]], *keys).agg(
+        F.grouping_id().alias("depth"),
+        F.sum("amount").alias("amount"),
+        part(R.GROUP_SALES).alias("sales"),
+        part(R.GROUP_PAYROLL).alias("payroll"),
+        part(R.GROUP_EXPENSES).alias("expenses"),
     )
-    margin = margin_monthly(rows)
-    margins = margin.select(
-        "unit", F.lit("4.Margen").alias("section"), F.lit(3).alias("level"), none.alias("concept"),
-        none.alias("party"), F.lit(R.MARGIN_LABEL).alias("label"), "month", F.col("margin").alias("amount"),
+    margin = F.col("sales") - F.col("payroll") - F.col("expenses")
+    percent = mo.margin_pct(margin, F.col("sales"))
+    group_label = F.regexp_replace("pnl_group", "^[0-9][.]", "")
+    # grouping id: 0 = all keys, 1 = without concept, 3 = unit and month only
+    line = (
+        F.when(F.col("depth") == 0, F.array(_line(1, tx.concept_label(F.col("concept")), F.col("amount"))))
+        .when(F.col("depth") == 1, F.array(_line(0, group_label, F.col("amount"))))
+        .otherwise(F.array(_line(3, F.lit(R.MARGIN_LABEL), margin), _line(4, F.lit(R.MARGIN_PCT_LABEL), percent)))
     )
-    percents = margin.select(
-        "unit", F.lit("4.Margen").alias("section"), F.lit(4).alias("level"), none.alias("concept"),
-        none.alias("party"), F.lit(R.MARGIN_PCT_LABEL).alias("label"), "month", F.col("margin_pct").cast("decimal(38,6)").alias("amount"),
+    lines = sets.withColumn("line", F.explode(line)).select(
+        "unit",
+        F.coalesce("pnl_group", F.lit(R.MARGIN_SECTION)).alias("section"),
+        F.col("line.level").alias("level"),
+        "concept",
+        F.lit(None).cast("string").alias("party"),
+        F.col("line.label").alias("label"),
+        "month",
+        F.col("line.amount").alias("amount"),
     )
-    lines = groups.unionByName(concepts).unionByName(margins).unionByName(percents)
     if fact is None:
         return lines
-    months = party_months(fact, years)
-    best = top_parties(months, n).select("unit", "concept", "party")
     # only concepts that have a line of their own are opened up
     shown = rows.select("unit", "concept").distinct()
-    details = months.join(best.join(shown, ["unit", "concept"], "left_semi"), ["unit", "concept", "party"]).select(
-        "unit", F.col("pnl_group").alias("section"), F.lit(2).alias("level"), "concept", "party",
-        tx.short_label(F.col("party")).alias("label"), "month", "amount",
+    best = top_parties(party_months(fact, years), n).join(shown, ["unit", "concept"], "left_semi")
+    details = best.withColumn("cell", F.explode("months")).select(
+        "unit",
+        F.col("pnl_group").alias("section"),
+        F.lit(2).alias("level"),
+        "concept",
+        "party",
+        tx.short_label(F.col("party")).alias("label"),
+        F.col("cell.month").alias("month"),
+        F.col("cell.amount").alias("amount"),
     )
     return lines.unionByName(details)
+
+
+def _line(level: int, label: Column, amount: Column) -> Column:
+    return F.struct(
+        F.lit(level).alias("level"), label.alias("label"), amount.cast("decimal(38,6)").alias("amount")
+    )

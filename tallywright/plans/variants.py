@@ -17,7 +17,7 @@ from ..operators import ledger as le
 from ..operators import purchases as pu
 from ..operators import sales as sa
 from ..rules import Rules
-from ..schemas import AMOUNT
+from ..schemas import AMOUNT, Books
 from .pnl import pivot_months
 
 
@@ -25,12 +25,12 @@ def _label_unit(concept, rules: Rules):
     return F.when(tx.contains(concept, rules.label_unit_pattern), rules.unit_a).otherwise(rules.unit_b)
 
 
-def _long_accounts(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def _long_accounts(books: Books, rules: Rules) -> DataFrame:
     accounts = books["account"].filter(F.col("class_code").isin(*rules.long_codes))
     return accounts.withColumn("concept", tx.title_case(F.col("account_name")))
 
 
-def margin_long(books: dict[str, DataFrame], rules: Rules, since: dt.date) -> DataFrame:
+def margin_long(books: Books, rules: Rules, since: dt.date) -> DataFrame:
     """Long margin: monthly sales and payroll postings with signed balance and category.
 
     Branches without a unit count as the first unit. Categories come from the account list, so
@@ -62,7 +62,7 @@ def margin_long(books: dict[str, DataFrame], rules: Rules, since: dt.date) -> Da
     )
 
 
-def margin_from_purchases(books: dict[str, DataFrame], rules: Rules, since: dt.date) -> DataFrame:
+def margin_from_purchases(books: Books, rules: Rules, since: dt.date) -> DataFrame:
     """Long margin whose costs are paid purchases and payroll postings."""
     sales = sa.sales_monthly(books, rules, unit_default=rules.unit_a).select(
         "unit",
@@ -110,7 +110,7 @@ def margin_from_purchases(books: dict[str, DataFrame], rules: Rules, since: dt.d
     return both.withColumn("concept_rank", cl.concept_rank(F.col("concept"), rules.concept_order_old))
 
 
-def expense_pivot(books: dict[str, DataFrame], rules: Rules, since: dt.date, months: list[str] | None = None) -> DataFrame:
+def expense_pivot(books: Books, rules: Rules, since: dt.date, months: list[str] | None = None) -> DataFrame:
     """Every account by load month, no selection at all."""
     accounts = le.account_names(books["account"])
     rows = le.postings(books, rules, accounts, since).filter(
@@ -123,7 +123,7 @@ def expense_pivot(books: dict[str, DataFrame], rules: Rules, since: dt.date, mon
 
 
 def pnl_with_result(
-    books: dict[str, DataFrame], rules: Rules, since: dt.date, literal: bool = False
+    books: Books, rules: Rules, since: dt.date, literal: bool = False
 ) -> DataFrame:
     """Full P&L in three scopes (all, each unit by label), each with its result row.
 
@@ -161,7 +161,7 @@ def pnl_with_result(
     return scoped.select("scope", "account_no", "concept", "month", "amount").unionByName(result)
 
 
-def month_detail(books: dict[str, DataFrame], rules: Rules, month: dt.date, account_no: str | None = None) -> DataFrame:
+def month_detail(books: Books, rules: Rules, month: dt.date, account_no: str | None = None) -> DataFrame:
     """Drill-down: result-account postings of one accounting month and the first unit's label."""
     rows = le.result_line_filter(le.ledger_line_first(books, rules, month), rules)
     rows = rows.filter(pe.month_of(F.col("accounting_at")) == F.lit(month))
@@ -180,7 +180,7 @@ def month_detail(books: dict[str, DataFrame], rules: Rules, month: dt.date, acco
 # ── liability method ────────────────────────────────────────────────────────────────────────
 
 
-def _liability_rows(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def _liability_rows(books: Books, rules: Rules) -> DataFrame:
     """Debit postings of the salary liability accounts, with unit and month."""
     accounts = le.account_names(books["account"].filter(F.col("class_code").isin(*rules.liability_units)))
     accounts = accounts.withColumn("unit", cl.decode(F.col("class_code"), rules.liability_units))
@@ -188,12 +188,12 @@ def _liability_rows(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
     return rows.withColumn("month", pe.month_of(F.col("loaded_at")))
 
 
-def liability_shares(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def liability_shares(books: Books, rules: Rules) -> DataFrame:
     monthly = _liability_rows(books, rules).groupBy("unit", "month").agg(F.sum("amount").alias("amount"))
     return ap.month_shares(monthly)
 
 
-def _pool_rows(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def _pool_rows(books: Books, rules: Rules) -> DataFrame:
     """Charges (debit) and union dues (both sides), marked by kind."""
     accounts = le.account_names(books["account"].filter(F.col("class_code").isin(*rules.all_pool_codes)))
     kind = F.when(F.col("class_code").isin(*rules.pool_codes), R.CHARGES).otherwise(R.UNION_DUES)
@@ -207,7 +207,7 @@ def _pool_concept():
     return F.concat(F.col("kind"), F.lit(" - "), F.col("unit"))
 
 
-def pool_by_row(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def pool_by_row(books: Books, rules: Rules) -> DataFrame:
     """Row-level apportionment: every pool posting split over the units of its month."""
     rows = _pool_rows(books, rules).select(
         "kind", F.col("loaded_at").alias("moment"), "month", "account_no", F.col("concept").alias("detail"), "amount"
@@ -218,7 +218,7 @@ def pool_by_row(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
     )
 
 
-def pool_by_account(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def pool_by_account(books: Books, rules: Rules) -> DataFrame:
     """Apportionment per pool account, detail text and month."""
     totals = _pool_rows(books, rules).groupBy("kind", "account_no", "detail", "month").agg(F.sum("amount").alias("amount"))
     titled = (
@@ -231,7 +231,7 @@ def pool_by_account(books: dict[str, DataFrame], rules: Rules) -> DataFrame:
     )
 
 
-def pnl_liability_method(books: dict[str, DataFrame], rules: Rules, with_prefix: bool = True) -> DataFrame:
+def pnl_liability_method(books: Books, rules: Rules, with_prefix: bool = True) -> DataFrame:
     """P&L with salaries by liability account and union dues as their own line."""
     salaries_rows = _liability_rows(books, rules)
     salaries = salaries_rows.groupBy("unit", "concept", "month").agg(F.sum("amount").cast(AMOUNT).alias("amount"))

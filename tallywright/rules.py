@@ -113,6 +113,7 @@ SUPPLIER_TYPE = "PROVEEDOR"
 RESULT_LABEL = "Resultado"
 SCOPE_ALL = "Gral."
 PAYROLL_WORDS_OLD = ("Sueldos Y Jornales", CHARGES, UNION_DUES)
+MARGIN_SECTION = "4.Margen"
 MARGIN_LABEL = "MARGEN OPERATIVO"
 MARGIN_PCT_LABEL = "Margen %"
 MONTH_NAMES = ("Ene", "Feb", "Mar", "Abr", "May", "Jun", "Jul", "Ago", "Sep", "Oct", "Nov", "Dic")

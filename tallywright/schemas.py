@@ -7,6 +7,8 @@ the same join (for example a line-level discount), since joins are by shared key
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -70,10 +72,31 @@ ACCOUNT_CATEGORY = T.StructType(
 )
 
 
-def check_books(books: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Fail early, on the driver and without a job, when an entity lacks a key column."""
-    for name, frame in books.items():
-        missing = {c for c, kind in ENTITIES.get(name, {}).items() if kind == "key"} - set(frame.columns)
-        if missing:
-            raise ValueError(f"entity {name!r} lacks {sorted(missing)}; it has {frame.columns}")
-    return books
+class Books(Mapping[str, DataFrame]):
+    """Entities by name, each built on first use and checked for its key columns.
+
+    A query touches a few entities; the others are never planned and their files never opened.
+    """
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+        self._builders = dict(builders)
+        self._frames: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            frame = self._builders[name]()
+            missing = {c for c, kind in ENTITIES.get(name, {}).items() if kind == "key"} - set(frame.columns)
+            if missing:
+                raise ValueError(f"entity {name!r} lacks {sorted(missing)}; it has {frame.columns}")
+            self._frames[name] = frame
+        return self._frames[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+    def replaced(self, **frames: DataFrame) -> Books:
+        """The same books with some entities exchanged, for example another policy table."""
+        return Books({**self._builders, **{name: (lambda f=frame: f) for name, frame in frames.items()}})

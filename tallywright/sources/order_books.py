@@ -8,11 +8,13 @@ the only literal table is the list of exchange rates, one row per region.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import money
-from ..schemas import RATE, check_books
+from ..schemas import RATE, Books
 from .tables import load_tables
 
 # Rate by region key. Region 4 has none on purpose: its sales have a null amount.
@@ -36,54 +38,76 @@ def _code(column: str, codes: dict[str, int]):
     return chain
 
 
-def load_order_books(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def _literal(rows: dict, key: str, value: str) -> DataFrame:
+    """A rule table as VALUES: Spark knows its size and folds it into the plan."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    values = ", ".join(f"({k!r}, {v!r})" for k, v in rows.items())
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({key}, {value})")
+
+
+def load_order_books(spark: SparkSession, folder: str) -> Books:
     return order_books(load_tables(spark, folder))
 
 
-def order_books(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    spark = t["orders"].sparkSession
+def order_books(t: Mapping[str, DataFrame]) -> Books:
     priority_digit = F.substring("o_orderpriority", 1, 1).cast("int")
     account_no = F.concat(F.lit("4"), F.lpad(F.col("p_partkey").cast("string"), 11, "0"))
     account_name = F.upper(F.concat_ws(" ", "p_type", "p_name"))
-    # nation has 25 rows at every scale, so these two joins are lookups
-    nation = t["nation"]
-
-    sales_customers = t["customer"].join(
-        F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left"
-    )
-    order_line = t["lineitem"].select(
-        F.col("l_orderkey").alias("invoice_id"),
-        F.col("l_partkey").alias("product_id"),
-        money(F.col("l_extendedprice")).alias("price"),
-        (F.col("l_discount") * 100).alias("discount_pct"),
-        _code("l_returnflag", VOUCHERS).alias("doc_type"),
-    )
-    purchases = t["orders"].select(
-        F.col("o_orderkey").alias("purchase_id"),
-        F.col("o_orderkey").alias("number"),
-        F.col("o_orderdate").alias("created_at"),
-        _code("o_orderstatus", STATES).alias("state"),
-    )
-    # supplier and voucher type belong to the line here
-    purchase_lines = t["lineitem"].select(
-        F.col("l_orderkey").alias("purchase_id"),
-        F.col("l_suppkey").alias("contact_id"),
-        F.col("l_suppkey").alias("fiscal_id"),
-        F.col("l_partkey").alias("product_id"),
-        _code("l_returnflag", VOUCHERS).alias("voucher_type"),
-        money(F.col("l_extendedprice")).alias("price"),
-    )
-    order_dates = t["orders"].groupBy("o_custkey").agg(
-        F.min("o_orderdate").alias("created_at"), F.max("o_orderdate").alias("modified_at")
-    )
-    supplier_dates = purchase_lines.join(purchases, "purchase_id").groupBy("contact_id").agg(
-        F.min("created_at").alias("created_at"), F.max("created_at").alias("modified_at")
-    )
-    customer_nation = t["customer"].select(
-        F.col("c_nationkey").alias("company_id"), F.col("c_mktsegment").alias("segment")
-    )
+
+    def nation() -> DataFrame:
+        # 25 rows at every scale, so a join with it is a lookup
+        return t["nation"]
+
+    def sales_customers() -> DataFrame:
+        return t["customer"].join(
+            F.broadcast(nation()), F.col("c_nationkey") == F.col("n_nationkey"), "left"
+        )
+
+    def order_line() -> DataFrame:
+        return t["lineitem"].select(
+            F.col("l_orderkey").alias("invoice_id"),
+            F.col("l_partkey").alias("product_id"),
+            money(F.col("l_extendedprice")).alias("price"),
+            (F.col("l_discount") * 100).alias("discount_pct"),
+            _code("l_returnflag", VOUCHERS).alias("doc_type"),
+        )
+
+    def purchases() -> DataFrame:
+        return t["orders"].select(
+            F.col("o_orderkey").alias("purchase_id"),
+            F.col("o_orderkey").alias("number"),
+            F.col("o_orderdate").alias("created_at"),
+            _code("o_orderstatus", STATES).alias("state"),
+        )
+
+    def purchase_lines() -> DataFrame:
+        # supplier and voucher type belong to the line here
+        return t["lineitem"].select(
+            F.col("l_orderkey").alias("purchase_id"),
+            F.col("l_suppkey").alias("contact_id"),
+            F.col("l_suppkey").alias("fiscal_id"),
+            F.col("l_partkey").alias("product_id"),
+            _code("l_returnflag", VOUCHERS).alias("voucher_type"),
+            money(F.col("l_extendedprice")).alias("price"),
+        )
+
+    def order_dates() -> DataFrame:
+        return t["orders"].groupBy("o_custkey").agg(
+            F.min("o_orderdate").alias("created_at"), F.max("o_orderdate").alias("modified_at")
+        )
+
+    def supplier_dates() -> DataFrame:
+        return purchase_lines().join(purchases(), "purchase_id").groupBy("contact_id").agg(
+            F.min("created_at").alias("created_at"), F.max("created_at").alias("modified_at")
+        )
+
+    def customer_nation() -> DataFrame:
+        return t["customer"].select(
+            F.col("c_nationkey").alias("company_id"), F.col("c_mktsegment").alias("segment")
+        )
+
     books = {
-        "invoice": t["orders"].select(
+        "invoice": lambda: t["orders"].select(
             F.col("o_orderkey").alias("invoice_id"),
             F.col("o_custkey").alias("contact_id"),
             F.col("o_orderdate").alias("issued_at"),
@@ -91,30 +115,28 @@ def order_books(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
             F.col("o_orderkey").alias("number"),
             priority_digit.alias("letter_code"),
         ),
-        "invoice_line": order_line,
-        "product": t["part"].select(
+        "invoice_line": lambda: order_line(),
+        "product": lambda: t["part"].select(
             F.col("p_partkey").alias("product_id"),
             F.col("p_brand").alias("code"),
             F.col("p_name").alias("product"),
             F.col("p_type").alias("product_kind"),
         ),
-        "fx_rate": spark.createDataFrame(list(FX_RATES.items()), "rate_id int, rate string").withColumn(
-            "rate", F.col("rate").cast(RATE)
-        ),
-        "branch": nation.select(F.col("n_nationkey").alias("branch_id"), F.col("n_nationkey").alias("branch_no")),
-        "customer_card": sales_customers.select(
+        "fx_rate": lambda: _literal(FX_RATES, "rate_id", "rate").withColumn("rate", F.col("rate").cast(RATE)),
+        "branch": lambda: nation().select(F.col("n_nationkey").alias("branch_id"), F.col("n_nationkey").alias("branch_no")),
+        "customer_card": lambda: sales_customers().select(
             F.col("c_custkey").alias("contact_id"),
             F.col("c_name").alias("company"),
             F.col("c_nationkey").alias("branch_id"),
             F.col("n_regionkey").alias("rate_id"),
         ),
-        "journal": t["orders"].select(
+        "journal": lambda: t["orders"].select(
             F.col("o_orderkey").alias("journal_id"),
             F.col("o_orderdate").alias("accounting_at"),
             priority_digit.alias("origin_code"),
             F.col("o_orderpriority").alias("priority"),
         ),
-        "journal_line": t["lineitem"].select(
+        "journal_line": lambda: t["lineitem"].select(
             F.col("l_orderkey").alias("journal_id"),
             F.col("l_partkey").alias("account_id"),
             F.col("l_suppkey").alias("origin_id"),
@@ -124,7 +146,7 @@ def order_books(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
             money(F.col("l_extendedprice")).alias("amount"),
             F.col("l_returnflag").alias("line_flag"),
         ),
-        "account": t["part"].select(
+        "account": lambda: t["part"].select(
             F.col("p_partkey").alias("account_id"),
             account_no.alias("account_no"),
             F.col("p_brand").alias("class_code"),
@@ -134,7 +156,7 @@ def order_books(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
             F.col("p_size").cast("string").alias("level"),
             F.when(F.col("p_size") > 25, 1).otherwise(0).alias("postable"),
         ),
-        "account_policy": t["part"].select(
+        "account_policy": lambda: t["part"].select(
             F.concat(account_no, F.lit(".0")).alias("account_no"),
             account_name.alias("account_name"),
             F.when(F.col("p_size") % 4 == 0, "Si")
@@ -143,21 +165,19 @@ def order_books(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
             .otherwise("No")
             .alias("consider"),
         ),
-        "account_category": spark.createDataFrame(
-            list(CATEGORIES.items()), "category_key string, category string"
-        ),
-        "origin_party": t["supplier"].select(F.col("s_suppkey").alias("origin_id"), F.col("s_name").alias("party")),
-        "movement": t["supplier"].select(
+        "account_category": lambda: _literal(CATEGORIES, "category_key", "category"),
+        "origin_party": lambda: t["supplier"].select(F.col("s_suppkey").alias("origin_id"), F.col("s_name").alias("party")),
+        "movement": lambda: t["supplier"].select(
             F.col("s_suppkey").alias("movement_id"), F.col("s_suppkey").alias("fiscal_id")
         ),
-        "fiscal_party": t["supplier"].select(
+        "fiscal_party": lambda: t["supplier"].select(
             F.col("s_suppkey").alias("fiscal_id"),
             F.col("s_name").alias("party"),
             F.concat_ws("-", F.lit("30"), F.lpad(F.col("s_suppkey").cast("string"), 12, "0")).alias("tax_id"),
             F.col("s_nationkey").alias("company_id"),
         ),
-        "contact": t["customer"]
-        .join(order_dates, F.col("c_custkey") == F.col("o_custkey"), "left")
+        "contact": lambda: t["customer"]
+        .join(order_dates(), F.col("c_custkey") == F.col("o_custkey"), "left")
         .select(
             F.col("c_custkey").alias("contact_id"),
             F.col("c_nationkey").alias("company_id"),
@@ -167,31 +187,31 @@ def order_books(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
             "created_at",
             "modified_at",
         ),
-        "company": nation.select(F.col("n_nationkey").alias("company_id"), F.col("n_name").alias("company")),
-        "industry": customer_nation.distinct(),
-        "party_type": nation.select(
+        "company": lambda: nation().select(F.col("n_nationkey").alias("company_id"), F.col("n_name").alias("company")),
+        "industry": lambda: customer_nation().distinct(),
+        "party_type": lambda: nation().select(
             F.col("n_nationkey").alias("company_id"),
             F.when(F.col("n_regionkey") < 3, "CLIENTE").otherwise("OTRO").alias("party_type"),
         ),
-        "contact_invoice": t["orders"]
+        "contact_invoice": lambda: t["orders"]
         .filter((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") >= F.lit("2001-01-01").cast("date")))
         .select(F.col("o_custkey").alias("contact_id"), F.col("o_orderdate").alias("issued_at")),
-        "supplier_contact": t["supplier"]
-        .join(supplier_dates, F.col("s_suppkey") == F.col("contact_id"), "left")
+        "supplier_contact": lambda: t["supplier"]
+        .join(supplier_dates(), F.col("s_suppkey") == F.col("contact_id"), "left")
         .select(
             F.col("s_suppkey").alias("contact_id"),
             F.col("s_suppkey").alias("company_id"),
             "created_at",
             "modified_at",
         ),
-        "supplier_company": t["supplier"].select(
+        "supplier_company": lambda: t["supplier"].select(
             F.col("s_suppkey").alias("company_id"), F.col("s_name").alias("company")
         ),
-        "supplier_type": t["supplier"].select(
+        "supplier_type": lambda: t["supplier"].select(
             F.col("s_suppkey").alias("company_id"),
             F.when(F.col("s_suppkey") % 3 != 0, "PROVEEDOR").otherwise("OTRO").alias("party_type"),
         ),
-        "purchase": purchases,
-        "purchase_line": purchase_lines,
+        "purchase": lambda: purchases(),
+        "purchase_line": lambda: purchase_lines(),
     }
-    return check_books(books)
+    return Books(books)

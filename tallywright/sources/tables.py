@@ -4,14 +4,43 @@ from __future__ import annotations
 
 import os
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
-ORDER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+from ..schemas import Books
+
+# Declared, so that no job runs to infer them.
+ORDER_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+}
+ORDER_TABLES = tuple(ORDER_SCHEMAS)
+
+
+def load_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = ORDER_TABLES) -> Books:
+    """One lazy DataFrame per ``<folder>/<name>.parquet``; columns and filters reach the scan.
+
+    Tables with a declared schema are read with it, others by the schema in their files.
+    """
 
+    def reader(name: str):
+        source = spark.read.schema(ORDER_SCHEMAS[name]) if name in ORDER_SCHEMAS else spark.read
+        return lambda: source.parquet(os.path.join(folder, f"{name}.parquet"))
 
-def load_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = ORDER_TABLES) -> dict[str, DataFrame]:
-    """One lazy DataFrame per ``<folder>/<name>.parquet``; columns and filters reach the scan."""
-    return {name: spark.read.parquet(os.path.join(folder, f"{name}.parquet")) for name in names}
+    return Books({name: reader(name) for name in names})
 
 
 def load_jdbc(
@@ -38,7 +67,7 @@ def load_jdbc(
     return reader.load()
 
 
-def describe_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+def describe_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Field list of every table, from metadata only: no data is read."""
     rows = [
         (name, position, field.name, field.dataType.simpleString(), field.nullable)
