@@ -32,7 +32,6 @@ from ..plans import variants as va
 from ..rules import ORDERS as RULES
 from ..schemas import Books
 from ..sources.order_books import load_order_books
-from ..sources.tables import ORDER_TABLES, describe_tables, load_tables
 
 # Parameters of the catalogued queries.
 AS_OF = dt.date(2001, 8, 1)
@@ -332,5 +331,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "asset_monthly": _query(lambda b: di.asset_monthly(b, RULES, CAPITAL_PREFIX, dt.date(1999, 1, 1), dt.date(2000, 1, 1))),
     "liability_history": _query(lambda b: di.liability_history(b, RULES)),
     "liability_raw": _query(lambda b: di.liability_raw(b, RULES, dt.date(1999, 6, 1), dt.date(1999, 9, 1))),
-    "table_schemas": lambda spark, folder: describe_tables(spark, load_tables(spark, folder, ORDER_TABLES)),
 }

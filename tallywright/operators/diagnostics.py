@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..rules import SALARIES, Rules
 from ..schemas import Books
 from .accounts import policy_preferred
-from .ledger import postings
+from .ledger import journal_rows, postings
 
 # Category labels of the noise profile, ordered by their leading digit.
 PROFILE_LABELS = {
@@ -33,6 +33,15 @@ def _credit(amount: Column) -> Column:
     return F.sum(F.when(F.col("side") == 1, amount).otherwise(F.lit(0)))
 
 
+def _rekeyed(key: str) -> Column:
+    """The key in a form the join before did not partition by.
+
+    Grouping by the join key itself would keep the join's partitioning, and a hot journal in one
+    task. Under another key the sums start map-side, and adaptive execution may split the join.
+    """
+    return F.col(key).cast("string").alias(key)
+
+
 def account_activity(books: Books, since: dt.date) -> DataFrame:
     """Activity per account (number, name) over the whole ledger, and since a load date.
 
@@ -40,11 +49,8 @@ def account_activity(books: Books, since: dt.date) -> DataFrame:
     plain count and a hot account is spread over its journals in the widest shuffle.
     """
     accounts = books["account"].select("account_id", "account_no", "account_name")
-    rows = (
-        books["journal_line"]
-        .join(accounts, "account_id")
-        .join(books["journal"], "journal_id")
-        .select("account_no", "account_name", "journal_id", "loaded_at", "side", "amount")
+    rows = journal_rows(books, accounts).select(
+        "account_no", "account_name", _rekeyed("journal_id"), "loaded_at", "side", "amount"
     )
     recent = F.col("loaded_at") >= F.lit(since)
     amount = F.when(recent, F.col("amount")).otherwise(F.lit(0))
@@ -134,6 +140,7 @@ def date_shift_matrix(books: Books, rules: Rules, codes: tuple[str, ...]) -> Dat
 
 def origin_distribution(books: Books, rules: Rules, codes: tuple[str, ...]) -> DataFrame:
     rows = _selected(books, rules, codes, None)
+    rows = rows.withColumn("journal_id", _rekeyed("journal_id"))
     per_journal = rows.groupBy("origin_code", "side", "journal_id").agg(
         F.count("*").alias("n"), F.sum("amount").alias("total")
     )

@@ -284,7 +284,7 @@ def payroll_fact(books: Books, rules: Rules) -> DataFrame:
 
 def payroll_split(books: Books, rules: Rules) -> DataFrame:
     """Unit A by sub-class, with guaranteed columns: amounts and percentages per kind and month."""
-    first, second = list(dict.fromkeys(rules.subclass_pivot_labels.values()))
+    first, second = list(dict.fromkeys(rules.subclass_labels.values()))
     months = accrual_months(books, rules).filter(F.col("unit") == rules.unit_a)
     wide = (
         months.groupBy("kind", "month")
