@@ -23,13 +23,13 @@ def policy_by_number(policy: DataFrame, rules: Rules) -> DataFrame:
         cl.is_considered(F.col("consider")).alias("considered"),
         cl.unit_of_name(F.col("account_name"), rules).alias("name_unit"),
     ).filter("considered")
-    return rows.groupBy("account_no").agg(
+    # flags, not names: boolean sums stay in the hash aggregate
+    flags = rows.groupBy("account_no").agg(
         F.bool_or("considered").alias("considered"),
-        F.coalesce(
-            F.max(F.when(F.col("name_unit") == rules.unit_b, F.col("name_unit"))),
-            F.max(F.when(F.col("name_unit") == rules.unit_a, F.col("name_unit"))),
-        ).alias("unit"),
+        *[F.bool_or(F.col("name_unit") == unit).alias(f"in_{i}") for i, unit in enumerate(rules.units)],
     )
+    unit = F.when(F.col("in_1"), rules.unit_b).when(F.col("in_0"), rules.unit_a)
+    return flags.select("account_no", "considered", unit.alias("unit"))
 
 
 def account_card(books: Books, rules: Rules) -> DataFrame:

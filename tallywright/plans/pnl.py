@@ -49,9 +49,10 @@ def pnl_long(
     )
     rows = sales.unionByName(payroll).unionByName(costs).filter(F.col("unit").isin(*rules.units))
     rows = rows.withColumn("concept", cl.with_order_prefix(F.col("concept")))
+    # month and concept are never null here; testing them again would only set the payroll part
+    # apart from the cutoff subquery that shares its shuffle
     return (
-        rows.filter(F.col("month").isNotNull() & F.col("concept").isNotNull())
-        .groupBy("unit", "concept", "month")
+        rows.groupBy("unit", "concept", "month")
         .agg(F.sum("amount").alias("amount"))
         .select("unit", cl.pnl_group(F.col("concept")).alias("pnl_group"), "concept", "month", "amount")
     )

@@ -40,7 +40,10 @@ def books(spark, tmp_path_factory):
     for name, frame in tables.items():
         frame.write.parquet(str(folder / name))
     stored = {name: spark.read.parquet(str(folder / name)) for name in tables}
-    return erp_books(stored, stored.pop("policy"), stored.pop("categories"))
+    # a handful of rows: compiling each plan would take longer than running it
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield erp_books(stored, stored.pop("policy"), stored.pop("categories"))
+    spark.conf.unset("spark.sql.codegen.wholeStage")
 
 
 def as_dict(frame, keys, value):
