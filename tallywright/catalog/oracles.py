@@ -53,11 +53,11 @@ NOISE = (
 FX = "fx(rate_id, rate) AS (VALUES (0, 1.0000), (1, 1.2500), (2, 0.8000), (3, 1.1000))"
 
 
-def _sales(other: str = "Otros") -> tuple[str, ...]:
+def _sales(other: str = "Otros", owned_by_b: str = "FALSE") -> tuple[str, ...]:
     return (
         FX,
         f"""sales AS (
-  SELECT o_orderkey AS invoice_id, {BRANCH_UNIT.format(other)} AS unit, o_orderdate AS issued_at,
+  SELECT o_orderkey AS invoice_id, CASE WHEN {owned_by_b} THEN 'B' ELSE {BRANCH_UNIT.format(other)} END AS unit, o_orderdate AS issued_at,
          strftime(o_orderdate, '%Y-%m') AS month, c_name AS party,
          (CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END)
            * (CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(rate AS DECIMAL(10,4)) * CAST(1 - l_discount * 100 / 100 AS DECIMAL(8,6))) AS amount,
@@ -337,6 +337,7 @@ def oracle_sql() -> dict[str, str]:
         "sales_fact": _with(*SALES, select=f"SELECT unit, {day('issued_at')} AS moment, month, 'Ventas netas - ' || unit AS concept, {_cash('amount')} AS amount, detail, party FROM sales"),
         "sales_monthly": _with(*SALES, select=f"SELECT unit, month, concept, {_cash('exact_amount')} AS amount FROM sales_month"),
         "sales_document_label": _with(*SALES, select="SELECT DISTINCT invoice_id, detail FROM sales"),
+        "sales_customer_units": _with(*_sales("Otros", "c_name LIKE '%00000001%'"), select=f"SELECT unit, month, concept, {_cash('exact_amount')} AS amount FROM sales_month"),
         "first_invoices": f"""SELECT c_name AS company, strftime(o_orderdate, '%Y-%m') AS month, o_orderkey AS invoice_id, {BRANCH_UNIT.format('Otros')} AS unit
 FROM orders JOIN customer ON c_custkey = o_custkey QUALIFY ROW_NUMBER() OVER (PARTITION BY c_name ORDER BY o_orderdate, o_orderkey) = 1""",
         "new_customers": f"""SELECT month, unit, COUNT(*) AS new_customers FROM (
@@ -391,6 +392,7 @@ WHERE account_no LIKE '40000000001%' OR account_name ILIKE '%hot anv%' OR accoun
         "pnl_with_result": _result(),
         "pnl_with_result_literal": _result(literal=True),
         "pnl_liability_method": _liability_pnl(),
+        "pnl_by_detail": _pnl_by_detail(),
         "margin_monthly": _with(*PNL, *MARGIN, select=f"SELECT unit, month, {_cash('sales')} AS sales, {_cash('payroll')} AS payroll, {_cash('expenses')} AS expenses, {_cash('margin')} AS margin, ROUND({MARGIN_PCT}, 4) AS margin_pct FROM margin"),
         "margin_total": _with(*PNL, *MARGIN, "total AS (SELECT unit, SUM(sales) AS sales, SUM(payroll) AS payroll, SUM(expenses) AS expenses, SUM(margin) AS margin, SUM(payroll + expenses) AS costs FROM margin GROUP BY unit)", select=f"SELECT unit, {_cash('sales')} AS sales, {_cash('payroll')} AS payroll, {_cash('expenses')} AS expenses, {_cash('margin')} AS margin, {_cash('costs')} AS costs, ROUND(COALESCE({MARGIN_PCT}, 0), 4) AS margin_pct, {_pesos('sales')} AS sales_text, {_pesos('costs')} AS costs_text, {_pesos('margin')} AS margin_text FROM total"),
         "margin_chart_series": _with(*PNL, *MARGIN, select="SELECT unit, month, ['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Sep','Oct','Nov','Dic'][CAST(substr(month, 6) AS INT)] || ' ' || substr(month, 1, 4) AS label, series, ROUND(value, 4) AS value FROM ("
@@ -482,6 +484,24 @@ def _liability_pnl() -> str:
     )
 
 
+def _pnl_by_detail() -> str:
+    title = _title_detail()
+    return _with(
+        *SALES,
+        *BOOK,
+        *SHARES,
+        *_expenses(),
+        f"""parts AS (
+  SELECT unit, month, concept, NULL AS account_no, '-' AS detail, amount FROM sales_month
+  UNION ALL SELECT CASE class_code WHEN 'Brand#7' THEN 'A' ELSE 'B' END, load_month, {title}, account_no, '-', SUM(amount)
+    FROM ledger WHERE class_code IN ('Brand#7', 'Brand#8') AND side = 0 GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT unit, month, kind || ' - ' || unit, account_no, detail, {PART_OF}
+    FROM (SELECT kind, month, account_no, {title} AS detail, SUM(amount) AS amount FROM pools GROUP BY 1, 2, 3, 4) JOIN shares USING (month)
+  UNION ALL SELECT unit, month, concept, account_no, {title}, SUM(amount) FROM expenses GROUP BY 1, 2, 3, 4, 5)""",
+        select=f"SELECT unit, month, concept, account_no, detail, {_cash('amount')} AS amount FROM parts WHERE unit IN ('A', 'B')",
+    )
+
+
 LONG_UNIT = "CASE WHEN regexp_matches(concept, '(?i)Standard|Economy|Ventas netas - Otros') THEN 'A' ELSE 'B' END"
 LONG_ROWS = "class_code IN ('Brand#3', 'Brand#5')"
 

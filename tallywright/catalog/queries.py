@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ REPORT_MONTHS = pe.months_between(dt.date(1996, 1, 1), dt.date(2001, 12, 1))
 CAPITAL_PREFIX = "400000000"
 SEARCH_WORDS = ("plier#000000001", "SUPPLIER#000000004")
 ACCOUNT_WORDS = ("hot anv", "PLATE")
+CUSTOMER_UNITS = (("00000001", "B"),)
 PAYROLL_CODES = (*RULES.accrual_kinds, "Brand#1")
 
 
@@ -232,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sales_fact": _query(lambda b: sa.sales_fact(b, RULES).select("unit", "moment", "month", "concept", "amount", "detail", "party")),
     "sales_monthly": _query(lambda b: sa.sales_monthly(b, RULES)),
     "sales_document_label": _query(_document_labels),
+    "sales_customer_units": _query(lambda b: sa.sales_monthly(b, replace(RULES, customer_units=CUSTOMER_UNITS))),
     "first_invoices": _query(lambda b: sa.first_invoices(b, RULES)),
     "new_customers": _query(lambda b: sa.new_customers(b, RULES)),
     # ledger and accounts
@@ -293,6 +296,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pnl_with_result": _query(_result_pivot),
     "pnl_with_result_literal": _query(lambda b: _result_pivot(b, literal=True)),
     "pnl_liability_method": _query(lambda b: va.pnl_liability_method(b, RULES)),
+    "pnl_by_detail": _query(lambda b: va.pnl_by_detail(b, RULES)),
     "margin_monthly": _query(lambda b: ma.margin_monthly(_pnl(b), YEARS), margin_pct=4),
     "margin_total": _query(lambda b: ma.margin_total(_pnl(b), YEARS), margin_pct=4),
     "margin_chart_series": _query(lambda b: ma.chart_series(ma.margin_monthly(_pnl(b), YEARS)), value=4),

@@ -55,6 +55,11 @@ def strip_control(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x08\x0B-\x0C\x0E-\x1F]", "")
 
 
+def decode_bytes(value: Column) -> Column:
+    """Text of a binary column, as some database drivers deliver labels."""
+    return F.decode(value, "UTF-8")
+
+
 def strip_bytes_mark(text: Column) -> Column:
     """``b'2026-01'`` becomes ``2026-01``; a byte-order mark in front goes too."""
     return F.regexp_replace(F.regexp_replace(text, "^\\uFEFF", ""), "^b'|'$", "")

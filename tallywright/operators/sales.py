@@ -9,21 +9,20 @@ from .. import rules as R
 from ..functions import classify as cl
 from ..functions import money as mo
 from ..functions import periods as pe
+from ..functions import text as tx
 from ..rules import Rules
 from ..schemas import Books
 
 
-def invoice_card(books: Books, rules: Rules | None = None, unit_default: str | None = None) -> DataFrame:
+def invoice_card(books: Books, rules: Rules) -> DataFrame:
     """Invoice header with its customer, branch and rate.
 
-    The header side is joined first: it has a fraction of the rows of the line side. With
-    ``rules`` the cancelled and too-early invoices go before any join.
+    The header side is joined first: it has a fraction of the rows of the line side. Cancelled
+    and too-early invoices go before any join.
     """
-    invoices = books["invoice"]
-    if rules is not None:
-        invoices = invoices.filter(F.col("status") != rules.cancelled_status).filter(
-            F.col("issued_at") >= F.lit(rules.sales_since)
-        )
+    invoices = books["invoice"].filter(
+        (F.col("status") != rules.cancelled_status) & (F.col("issued_at") >= F.lit(rules.sales_since))
+    )
     return (
         invoices.join(books["customer_card"], "contact_id", "left")
         .join(books["branch"], "branch_id", "left")
@@ -44,6 +43,8 @@ def sales_lines(
         books["invoice_line"].join(products, "product_id").join(invoice_card(books, rules), "invoice_id")
     )
     unit = cl.unit_of_branch(F.col("branch_no"), rules, unit_default)
+    for text, owner in reversed(rules.customer_units):
+        unit = F.when(tx.contains(F.col("company"), text), owner).otherwise(unit)
     columns = [
         unit.alias("unit"),
         F.col("issued_at"),

@@ -220,12 +220,7 @@ def pool_by_row(books: Books, rules: Rules) -> DataFrame:
 
 def pool_by_account(books: Books, rules: Rules) -> DataFrame:
     """Apportionment per pool account, detail text and month."""
-    totals = _pool_rows(books, rules).groupBy("kind", "account_no", "detail", "month").agg(F.sum("amount").alias("amount"))
-    titled = (
-        totals.withColumn("detail", tx.title_case(F.trim("detail")))
-        .groupBy("kind", "account_no", "detail", "month")
-        .agg(F.sum("amount").alias("amount"))
-    )
+    titled = _by_detail(_pool_rows(books, rules), ["kind", "account_no", "month"])
     return ap.apportion_rows(titled, liability_shares(books, rules)).select(
         "unit", "month", _pool_concept().alias("concept"), "detail", "account_no", "amount"
     )
@@ -252,6 +247,33 @@ def pnl_liability_method(books: Books, rules: Rules, with_prefix: bool = True) -
     )
 
 
+def pnl_by_detail(books: Books, rules: Rules) -> DataFrame:
+    """Long P&L down to the journal text: unit, month, concept, detail, account, amount.
+
+    Salaries carry their text as the concept; rows without a text show a dash.
+    """
+    sales = sa.sales_monthly(books, rules).select("unit", "month", "concept", F.col("amount").cast(AMOUNT).alias("amount"))
+    salaries = _by_detail(_liability_rows(books, rules), ["unit", "month", "account_no"])
+    salaries = salaries.filter(F.col("detail").isNotNull()).select(
+        "unit", "month", F.col("detail").alias("concept"), "account_no", "amount"
+    )
+    pools = pool_by_account(books, rules)
+    costs = _by_detail(ex.expense_rows(books, rules, with_party=False), ["unit", "month", "account_no", "concept"])
+    costs = costs.filter(F.col("detail").isNotNull())
+    rows = sales
+    for part in (salaries, pools, costs):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.filter(F.col("unit").isin(*rules.units)).withColumn("detail", F.coalesce("detail", F.lit("-")))
+
+
+def _by_detail(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums by title-cased text. Raw texts are summed first, so that the casing (slow, outside
+    generated code) runs once per distinct text and not once per row."""
+    raw = rows.groupBy(*keys, "detail").agg(F.sum("amount").alias("amount"))
+    titled = raw.withColumn("detail", tx.title_case(F.trim("detail")))
+    return titled.groupBy(*keys, "detail").agg(F.sum("amount").cast(AMOUNT).alias("amount"))
+
+
 def pivot_with_codes(pivot: DataFrame, codes: DataFrame) -> DataFrame:
     """Pivot with the account codes behind each concept; a concept with n codes gives n rows."""
     return pivot.join(codes, "concept")

@@ -38,7 +38,7 @@ class Rules:
     unit_b: str
     unit_other: str
     branch_units: dict[int, str]
-    # sales
+    # sales; customer_units: (text in the customer's name, unit), which beats the branch
     sales_since: dt.date
     cancelled_status: str
     excluded_codes: tuple[str, ...]
@@ -68,6 +68,7 @@ class Rules:
     reversal_text: str
     party_overrides: tuple[PartyOverride, ...] = ()
     detail_overrides: tuple[DetailOverride, ...] = ()
+    customer_units: tuple[tuple[str, str], ...] = ()
     # older long-format products
     long_codes: tuple[str, ...] = ()
     label_unit_pattern: str = ""
