@@ -78,7 +78,7 @@ SALES = _sales()
 LINES = f"""lines AS (
   SELECT o_orderkey AS journal_id, o_orderdate AS accounting_at, l_shipdate AS loaded_at,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, CASE l_linestatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 END AS side,
-         '4' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS account_no, p_brand AS class_code,
+         CASE p_type WHEN 'LARGE' THEN '1' ELSE '4' END || lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS account_no, p_brand AS class_code,
          upper(p_type || ' ' || p_name) AS account_name, p_size, p_type,
          CAST(substr(o_orderpriority, 1, 1) AS INT) AS origin_code, l_returnflag,
          o_orderpriority || ' ' || p_name || ' ' || l_returnflag AS detail, s_name AS party,
@@ -126,7 +126,7 @@ HYBRID = f"""hybrid AS (
   UNION ALL SELECT unit, month, 'Cargas Sociales', 'Cargas Sociales' || {SUFFIX}, amount FROM late_charges)"""
 PAYROLL = (*BOOK, *ACCRUAL, *LIABILITY, HYBRID)
 
-IN_POLICY = "p_size % 2 = 0"
+IN_POLICY = "p_size <= 30"
 IN_NAME = "contains(concept, 'Gear')"
 
 
@@ -284,7 +284,7 @@ ACTIVITY = """activity AS (
 INVENTORY = f"""inventory AS (
   SELECT COALESCE({NAME_UNIT}, 'Otras') AS unit, account_no, {CONCEPT} AS label, moves_total, moves_recent, journals,
          debit - credit AS net, strftime(last_move, '%Y-%m') AS last_month
-  FROM activity WHERE moves_recent > 0 AND p_size % 2 = 0)"""
+  FROM activity WHERE moves_recent > 0 AND p_size <= 30)"""
 PROFILE = f"""profile AS (
   SELECT accounting_month, account_no, account_name, side,
          CASE category WHEN 'cierre' THEN '4_cierre' WHEN 'infl' THEN '2_infl' WHEN 'reversion' THEN '3_reversion'
@@ -309,7 +309,7 @@ SUPPLIERS = """bought AS (
          strftime(MAX(o_orderdate), '%Y-%m-%d') AS last_purchase, 'PROVEEDOR' AS party_type,
          COUNT(DISTINCT CASE WHEN o_orderdate >= DATE '2000-08-01' AND o_orderstatus <> 'P' AND l_returnflag = 'N' THEN o_orderkey END) AS documents,
          COALESCE(SUM(price) FILTER (o_orderdate >= DATE '2000-08-01' AND o_orderstatus <> 'P' AND l_returnflag = 'N'), 0) AS amount
-  FROM supplier LEFT JOIN bought ON l_suppkey = s_suppkey WHERE s_suppkey % 3 <> 0 GROUP BY s_name)"""
+  FROM supplier LEFT JOIN bought ON l_suppkey = s_suppkey WHERE s_acctbal >= 2500 GROUP BY s_name)"""
 SUPPLIER_COLUMNS = f"company, created_at, modified_at, last_purchase, party_type, documents, {_cash('amount')} AS amount"
 
 
@@ -348,12 +348,12 @@ FROM orders JOIN customer ON c_custkey = o_custkey QUALIFY ROW_NUMBER() OVER (PA
         "ledger_line_first": _with(LINES, BY_DATE, select=f"SELECT account_no, concept, detail, CAST(amount AS DOUBLE) AS amount, {day('accounting_at')} AS accounting_at FROM dated WHERE {ABOVE} AND {RESULT_FILTER}"),
         "ledger_by_party": _with(LINES, BY_DATE, select=f"SELECT account_no, concept, detail, CAST(amount AS DOUBLE) AS amount, {day('accounting_at')} AS accounting_at, party FROM dated WHERE {ABOVE}"),
         "ledger_by_movement": _with(LINES, BY_DATE, select=f"SELECT party, COUNT(*) AS n, {_cash('SUM(amount)')} AS amount FROM dated WHERE {ABOVE} GROUP BY party"),
-        "account_canonical": "SELECT '4' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') || '.0' AS raw, CAST(400000000000 + p_partkey AS VARCHAR) AS account_no FROM part",
-        "account_policy_selected": "SELECT CAST(400000000000 + p_partkey AS VARCHAR) AS account_no, upper(p_type || ' ' || p_name) AS account_name FROM part WHERE p_size % 2 = 0",
-        "account_unit_lists": f"SELECT account_no, unit FROM (SELECT CAST(400000000000 + p_partkey AS VARCHAR) AS account_no, {NAME_UNIT} AS unit FROM (SELECT *, upper(p_type || ' ' || p_name) AS account_name FROM part) WHERE p_size % 2 = 0) WHERE unit IS NOT NULL",
-        "account_search": """SELECT * FROM (SELECT '4' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS account_no, upper(p_type || ' ' || p_name) AS account_name,
+        "account_canonical": "SELECT CASE p_type WHEN 'LARGE' THEN '1' ELSE '4' END || lpad(CAST(p_partkey AS VARCHAR), 11, '0') || '.0' AS raw, CAST(CASE p_type WHEN 'LARGE' THEN 100000000000 ELSE 400000000000 END + p_partkey AS VARCHAR) AS account_no FROM part",
+        "account_policy_selected": "SELECT CAST(CASE p_type WHEN 'LARGE' THEN 100000000000 ELSE 400000000000 END + p_partkey AS VARCHAR) AS account_no, upper(p_type || ' ' || p_name) AS account_name FROM part WHERE p_size <= 30",
+        "account_unit_lists": f"SELECT account_no, unit FROM (SELECT CAST(CASE p_type WHEN 'LARGE' THEN 100000000000 ELSE 400000000000 END + p_partkey AS VARCHAR) AS account_no, {NAME_UNIT} AS unit FROM (SELECT *, upper(p_type || ' ' || p_name) AS account_name FROM part) WHERE p_size <= 30) WHERE unit IS NOT NULL",
+        "account_search": """SELECT * FROM (SELECT CASE p_type WHEN 'LARGE' THEN '1' ELSE '4' END || lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS account_no, upper(p_type || ' ' || p_name) AS account_name,
   CAST(p_size AS VARCHAR) AS level, CAST(p_size > 25 AS INT) AS postable FROM part)
-WHERE account_no LIKE '40000000001%' OR account_name ILIKE '%hot anv%' OR account_name ILIKE '%plate%'""",
+WHERE account_no LIKE '1%' OR account_name ILIKE '%hot anv%' OR account_name ILIKE '%plate%'""",
         "origin_decode": f"SELECT origin_code, {ORIGIN} AS origin, COUNT(*) AS journals FROM (SELECT CAST(substr(o_orderpriority, 1, 1) AS INT) AS origin_code FROM orders) GROUP BY 1, 2",
         "signed_amount": _with(*BOOK, select=f"SELECT account_no, {_cash('SUM(CASE side WHEN 0 THEN amount WHEN 1 THEN -amount END)')} AS signed, {_cash('SUM(amount)')} AS gross FROM ledger GROUP BY account_no"),
         "noise_category": _with(*BOOK, select=f"SELECT category, COUNT(*) AS n, {_cash('SUM(amount)')} AS total FROM ledger GROUP BY category"),
@@ -435,8 +435,8 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey
         "raw_sample": _with(*BOOK, select=f"SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount, {day('loaded_at')} AS loaded_at, {day('accounting_at')} AS accounting_at) FROM (SELECT loaded_at, accounting_at, account_no, account_name, side, amount, origin_code, detail, party FROM ledger WHERE class_code IN ({_list(PAYROLL_CODES)}) AND loaded_at >= DATE '1997-01-01' ORDER BY ALL LIMIT 120)"),
         "ledger_search": _with(*BOOK, select=f"SELECT {day('loaded_at')} AS loaded_at, origin_code, CAST(amount AS DOUBLE) AS amount, side, account_no, account_name, party, detail FROM ledger WHERE {SEARCH}"),
         "party_search": f"SELECT DISTINCT s_name AS party, CAST(s_suppkey AS VARCHAR) AS fiscal_id FROM supplier WHERE {SEARCH.replace('party', 's_name')}",
-        "capital_accounts": _with(*BOOK, select=f"SELECT account_no, account_name, origin_code, COUNT(*) AS n, {_cash('SUM(amount)')} AS total FROM ledger WHERE account_no LIKE '400000000%' AND side = 0 GROUP BY 1, 2, 3"),
-        "asset_monthly": _with(*BOOK, select=f"SELECT load_month AS month, account_no, account_name, origin_code, {_cash('SUM(amount)')} AS total, COUNT(*) AS n FROM ledger WHERE account_no LIKE '400000000%' AND side = 0 AND loaded_at >= DATE '1999-01-01' AND loaded_at < DATE '2000-01-01' GROUP BY 1, 2, 3, 4"),
+        "capital_accounts": _with(*BOOK, select=f"SELECT account_no, account_name, origin_code, COUNT(*) AS n, {_cash('SUM(amount)')} AS total FROM ledger WHERE account_no LIKE '1%' AND side = 0 GROUP BY 1, 2, 3"),
+        "asset_monthly": _with(*BOOK, select=f"SELECT load_month AS month, account_no, account_name, origin_code, {_cash('SUM(amount)')} AS total, COUNT(*) AS n FROM ledger WHERE account_no LIKE '1%' AND side = 0 AND loaded_at >= DATE '1999-01-01' AND loaded_at < DATE '2000-01-01' GROUP BY 1, 2, 3, 4"),
         "liability_history": _with(*BOOK, select=f"SELECT load_month AS month, account_no, account_name, side, COUNT(*) AS n, {_cash('SUM(amount)')} AS total FROM ledger WHERE class_code IN ('Brand#7', 'Brand#8') GROUP BY 1, 2, 3, 4"),
         "liability_raw": _with(*BOOK, select=f"SELECT {day('loaded_at')} AS loaded_at, side, CAST(amount AS DOUBLE) AS amount, account_no, account_name, detail, origin_code FROM ledger WHERE class_code IN ('Brand#7', 'Brand#8') AND loaded_at >= DATE '1999-06-01' AND loaded_at < DATE '1999-09-01'"),
     }

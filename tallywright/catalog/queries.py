@@ -42,7 +42,7 @@ YEARS = (1998, 1999, 2000)
 TOP_N = 3
 RECENT = dt.date(2001, 7, 1)
 REPORT_MONTHS = pe.months_between(dt.date(1996, 1, 1), dt.date(2001, 12, 1))
-CAPITAL_PREFIX = "400000000"
+CAPITAL_PREFIX = "1"
 SEARCH_WORDS = ("plier#000000001", "SUPPLIER#000000004")
 ACCOUNT_WORDS = ("hot anv", "PLATE")
 CUSTOMER_UNITS = (("00000001", "B"),)
@@ -257,7 +257,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lambda b: ac.policy_preferred(b["account_policy"]).filter("considered").select("account_no", "account_name")
     ),
     "account_unit_lists": _query(lambda b: ac.account_unit_lists(b, RULES)),
-    "account_search": _query(lambda b: ac.account_search(b, CAPITAL_PREFIX + "01", ACCOUNT_WORDS)),
+    "account_search": _query(lambda b: ac.account_search(b, CAPITAL_PREFIX, ACCOUNT_WORDS)),
     "origin_decode": _query(_origin_decode),
     "signed_amount": _query(_signed_by_account),
     "noise_category": _query(_noise_category),

@@ -267,7 +267,7 @@ ORDERS = Rules(
     excluded_concept_text="Anvil|Plate",
     excluded_accounts=("400000000011", "400000000012"),
     accrual_loaded_before=dt.date(2000, 1, 1),
-    result_accounts_above=400000000020,
+    result_accounts_above=399999999999,
     concept_order=(
         "00-Ventas netas - A",
         "00-Ventas netas - B",

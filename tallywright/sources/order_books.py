@@ -51,7 +51,9 @@ def load_order_books(spark: SparkSession, folder: str) -> Books:
 
 def order_books(t: Mapping[str, DataFrame]) -> Books:
     priority_digit = F.substring("o_orderpriority", 1, 1).cast("int")
-    account_no = F.concat(F.lit("4"), F.lpad(F.col("p_partkey").cast("string"), 11, "0"))
+    # first digit: account class (1 asset, 4 result)
+    account_class = F.when(F.col("p_type") == "LARGE", "1").otherwise("4")
+    account_no = F.concat(account_class, F.lpad(F.col("p_partkey").cast("string"), 11, "0"))
     account_name = F.upper(F.concat_ws(" ", "p_type", "p_name"))
 
     def nation() -> DataFrame:
@@ -159,9 +161,9 @@ def order_books(t: Mapping[str, DataFrame]) -> Books:
         "account_policy": lambda: t["part"].select(
             F.concat(account_no, F.lit(".0")).alias("account_no"),
             account_name.alias("account_name"),
-            F.when(F.col("p_size") % 4 == 0, "Si")
-            .when(F.col("p_size") % 4 == 2, " si ")
-            .when(F.col("p_size") % 4 == 1, "Sí")
+            F.when(F.col("p_size") <= 15, "Si")
+            .when(F.col("p_size") <= 30, " si ")
+            .when(F.col("p_size") <= 40, "Sí")
             .otherwise("No")
             .alias("consider"),
         ),
@@ -209,7 +211,7 @@ def order_books(t: Mapping[str, DataFrame]) -> Books:
         ),
         "supplier_type": lambda: t["supplier"].select(
             F.col("s_suppkey").alias("company_id"),
-            F.when(F.col("s_suppkey") % 3 != 0, "PROVEEDOR").otherwise("OTRO").alias("party_type"),
+            F.when(F.col("s_acctbal") >= 2500, "PROVEEDOR").otherwise("OTRO").alias("party_type"),
         ),
         "purchase": lambda: purchases(),
         "purchase_line": lambda: purchase_lines(),
