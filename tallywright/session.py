@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -49,7 +47,3 @@ def cut_lineage(frame: DataFrame, fallback_dir: str | None = None) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a shared folder first")
         context.setCheckpointDir(folder)
     return frame.checkpoint(eager=True)
-
-
-def bench_cpus() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
