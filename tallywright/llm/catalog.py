@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_count
+from . import lookup_sketch, packing, secret_ledger, token_count
 from .frames import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,9 +21,19 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=4096, end_id=1)
 
 
+def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op10_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup_sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_secret_ledger": op9_secret_ledger,
+    "op10_lookup_sketch": op10_lookup_sketch,
 }
 
 # None of these has SQL that runs on whole tables in reasonable time, or any SQL at all, unless it is here.
