@@ -161,7 +161,7 @@ def slots(packed: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in rows.items()}
 
 
-def pieces(docs: DataFrame, path: str, *, capacity: int, end_id: int, slice_chars: int = 1_500_000) -> DataFrame:
+def pieces(docs: DataFrame, path: str, *, capacity: int, end_id: int, slice_chars: int = 800_000) -> DataFrame:
     """Pieces of each document's ids, an end id included; numbered by task and length."""
 
     def cut(batches):
