@@ -5,14 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lookup_sketch, packing, secret_ledger, token_count
+from . import language, lookup_sketch, packing, secret_ledger, token_count
 from .frames import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def held_out(mod: int, rest: int) -> Column:
+    """Whether the CRC-32 of the id as text has this remainder; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(language.training_rows(docs.where(~held_out(5, 0))))
+    return language.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=2048)
 
@@ -30,6 +42,7 @@ def op10_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_secret_ledger": op9_secret_ledger,

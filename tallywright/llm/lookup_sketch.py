@@ -78,9 +78,9 @@ def _cells(rows: DataFrame) -> DataFrame:
     """Cells of all sketches of a row. ``kind``: a, e fingerprints of the text and the edited one; E0, E1, N0, N1 differences, small and large."""
     most = F.size("own") + F.greatest(F.size("edit"), F.size("next"))
     # a power of two of at least half the digests: three subtables hold them all with room to peel
-    size = F.expr("1").cast("long")
-    size = F.shiftleft(size, F.greatest(F.ceil(F.log2(most / 2 + 1)), F.lit(3)).cast("int"))
-    tagged = F.concat(*(F.transform(c, lambda x, v=v: F.struct(F.lit(v).alias("v"), x.alias("x"))) for c, v in (("own", 0), ("edit", 1), ("next", 2))))
+    size = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(most / 2 + 1)), F.lit(3))).cast("long")
+    tag = lambda column, v: F.transform(column, lambda x: F.struct(F.lit(v).alias("v"), x.alias("x")))
+    tagged = F.concat(tag("own", 0), tag("edit", 1), tag("next", 2))
     flat = rows.select("doc_id", "copy", size.alias("size"), F.explode(tagged).alias("t"))
     flat = flat.select("doc_id", "copy", "size", F.col("t.v").alias("v"), F.col("t.x").alias("x"), _check(F.col("t.x")).alias("c"))
     flat = flat.withColumn("table", F.explode(F.array(*(F.lit(j) for j in range(SUBTABLES)))))
@@ -107,7 +107,7 @@ def _cells(rows: DataFrame) -> DataFrame:
 def _merged(cells: DataFrame) -> DataFrame:
     """Cells of one place added up. ``sign`` other than 0: not a cell but recovered digests, counted in ``n``."""
     summed = cells.groupBy("doc_id", "copy", "kind", "sign", "table", "cell", "size").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
-    return summed.where((F.col("n") != 0) | (F.col("x") != 0) | (F.col("c") != 0) | F.col("kind").isin("a", "e"))
+    return summed.where((F.col("n") != 0) | (F.col("x") != 0) | (F.col("c") != 0))
 
 
 def _peeled(cells: DataFrame, table: int) -> DataFrame:
@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     joined = rows.join(done, ["doc_id", "copy"], "left")
 
     def string(cells: Column) -> Column:
-        # cells without a digest are left out, so their places are written down
+        # cells without digests are left out, so the places of the others are written down
         return F.coalesce(F.array_join(F.transform(cells, lambda c: F.concat(c["table"], c["cell"], F.lit("."), c["mark"])), "-"), F.lit(""))
 
     def near(kind: str, other: str) -> Column:
