@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lookup_sketch, packing, secret_ledger, token_count
+from . import language, lookup_sketch, packing, quality, secret_ledger, token_count
 from .frames import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=4096, end_id=1)
 
 
+def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(5, 0), threshold=0.3)
+
+
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_quality_scores": op8_quality_scores,
     "op9_secret_ledger": op9_secret_ledger,
     "op10_lookup_sketch": op10_lookup_sketch,
 }
