@@ -129,3 +129,67 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers[: len(data)], out=total[1:])
     return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    """64-bit hashes as Spark longs."""
+    return pa.array(x.view(np.int64))
+
+
+CHUNK = 1 << 16
+
+
+def summed_cells(rows: DataFrame, count, cells: int) -> np.ndarray:
+    """Element-wise sum over all tasks of the ``cells`` integers that ``count(batch)`` adds places of.
+
+    A sketch of a fixed size: its sums reach the driver in ``cells / 65536`` rows, whatever the input.
+    """
+
+    def add(batches):
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            total += np.bincount(count(batch), minlength=cells)
+        for k in range(0, cells, CHUNK):
+            part = np.minimum(total[k : k + CHUNK], 2**31 - 1).astype(np.int32)
+            if part.any():
+                # most counts are small
+                packed = part.astype(np.uint8) if part.max() < 256 else part
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["k", "v"])
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(v, np.uint8 if len(v) == min(CHUNK, cells) else np.int32).astype(np.int64)
+                held[k] = held.get(k, 0) + part
+        for k, v in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["k", "v"])
+
+    out = np.zeros(cells, np.int64)
+    for r in rows.mapInArrow(add, "k int, v binary").repartition(8, "k").mapInArrow(merge, "k int, v binary").collect():
+        out[r.k : r.k + min(CHUNK, cells)] = np.frombuffer(r.v, np.int64)
+    return out
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, root`` (the least node reachable) of every node in the undirected links ``a, b``.
+
+    Large-star and small-star rounds: each hangs neighbours on the least node known, by joins and map-side
+    minima, and is stored, so no node's neighbours are ever collected.
+    """
+    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
+    mark = None
+    while True:
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.where("a != b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a")
+        small = small.select(F.greatest("b", "m").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        edges = stored(small.where("a != b").distinct(), "links")
+        now = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 32)))).first())
+        if now == mark or not now[0]:
+            break
+        mark = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
