@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.llm import packing
+from tallywright.llm import decontaminate, jaccard_join, language, packing, secret_ledger
+from tallywright.llm.catalog import held_out
 from tallywright.llm.frames import stored, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,12 +16,37 @@ TOKENIZER = "word_bpe_49k.json"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which half the letters or more are in one learned language; ``lang`` is set to it."""
+    model = language.fit(language.training_rows(docs.where(~held_out(5, 0))))
+    return language.with_language(docs, model, least=0.5)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the least id."""
+    return jaccard_join.without_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without leaked benchmark items."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced."""
+    return secret_ledger.redact(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 4096 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), capacity=4096, end_id=1)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
     ("best_fit_packing", best_fit_packing),
 ]
 

@@ -22,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import by_size, components, mixed, signed, stored, summed_cells, texts_of, word_hashes, words_of
@@ -51,7 +51,7 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
         for i in np.flatnonzero(short).tolist():
             g = np.zeros(1, np.uint64)
             for j in range(count[i]):
-                g = mixed(g + h[first[i] + j] * np.uint64(2 * j + 101))
+                g = mixed(g + h[first[i] + j : first[i] + j + 1] * np.uint64(2 * j + 101))
             out.append(g)
             of.append(np.array([i]))
     if not out:
@@ -336,8 +336,6 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
     """Rows of a bucket in blocks by size order; each pair of blocks of a bucket is one group."""
-    from pyspark.sql import Window
-
     numbered = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "class")) - 1) / size))
     last = numbered.groupBy("key").agg(F.max("block").alias("last"))
     spread = numbered.join(last, "key").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
@@ -395,3 +393,14 @@ def near_duplicates(docs: DataFrame, *, block: int = 512) -> DataFrame:
     known = known.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))
     least = known.where("n > 0").groupBy("top").agg(F.min("doc_id").alias("component"))
     return known.join(least, "top", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The documents with all their columns, one of each group of linked ones: that of the least ``doc_id``.
+
+    Of rows with one ``doc_id`` and one text the first by the other columns stays. Rows without a ``doc_id`` stay.
+    """
+    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    order = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
+    found = docs.join(keep, "doc_id", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order)))
+    return found.where("__n = 1").drop("__n").select(*docs.columns).unionByName(docs.where("doc_id is null"))

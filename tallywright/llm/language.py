@@ -170,6 +170,20 @@ def training_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", ke
     return [(r.t, r.l) for r in ranked.select("t", "l").collect()]
 
 
+def _judged(texts: list[str], model: Model, penalty: float) -> list[tuple[str, float, int]]:
+    """Language, score and number of spans of each text."""
+    begin, end, owner, labels = label_words(texts, model, penalty)
+    n, known, count = max(len(model.languages), 1), labels >= 0, len(texts)
+    letters = np.bincount(owner[known] * n + labels[known], weights=(end - begin)[known], minlength=count * n).reshape(count, n)
+    every = np.bincount(owner, weights=end - begin, minlength=count)
+    starts_span = np.ones(len(owner), bool)
+    starts_span[1:] = (owner[1:] != owner[:-1]) | (labels[1:] != labels[:-1])
+    spans = np.bincount(owner[starts_span], minlength=count).tolist()
+    best = letters.argmax(1)
+    most = letters[np.arange(count), best]
+    return [(model.languages[k], m / e, s) if m else (UNDETERMINED, 0.0, s) for k, m, e, s in zip(best.tolist(), most.tolist(), every.tolist(), spans)]
+
+
 def identify(docs: DataFrame, model: Model, *, penalty: float = 12.0, slice_chars: int = 3_000_000) -> DataFrame:
     """``doc_id, lang_pred, score, n_spans`` of every row of ``doc_id, text``.
 
@@ -182,19 +196,8 @@ def identify(docs: DataFrame, model: Model, *, penalty: float = 12.0, slice_char
 
     def label(batches):
         for batch in batches:
-            texts, out = texts_of(batch), []
-            for a, b in by_size(texts, slice_chars):
-                begin, end, owner, labels = label_words(texts[a:b], model, penalty)
-                n, known = max(len(model.languages), 1), labels >= 0
-                letters = np.bincount(owner[known] * n + labels[known], weights=(end - begin)[known], minlength=(b - a) * n).reshape(b - a, n)
-                every = np.bincount(owner, weights=end - begin, minlength=b - a)
-                starts_span = np.ones(len(owner), bool)
-                starts_span[1:] = (owner[1:] != owner[:-1]) | (labels[1:] != labels[:-1])
-                spans = np.bincount(owner[starts_span], minlength=b - a)
-                best = letters.argmax(1)
-                for i in range(b - a):
-                    most = letters[i, best[i]]
-                    out.append((model.languages[best[i]], most / every[i], int(spans[i])) if most else (UNDETERMINED, 0.0, int(spans[i])))
+            texts = texts_of(batch)
+            out = [row for a, b in by_size(texts, slice_chars) for row in _judged(texts[a:b], model, penalty)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.int32())], names=["doc_id", "lang_pred", "score", "n_spans"]
             )
@@ -202,6 +205,21 @@ def identify(docs: DataFrame, model: Model, *, penalty: float = 12.0, slice_char
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(label, schema)
 
 
+def with_language(docs: DataFrame, model: Model, *, least: float = 0.5, penalty: float = 12.0, slice_chars: int = 3_000_000) -> DataFrame:
+    """The documents of which at least ``least`` of the letters are in one language, ``lang`` set to it."""
+    schema = docs.schema
+
+    def keep(batches):
+        for batch in batches:
+            texts = texts_of(batch)
+            out = [row for a, b in by_size(texts, slice_chars) for row in _judged(texts[a:b], model, penalty)]
+            at = batch.schema.get_field_index("lang")
+            named = batch.set_column(at, batch.schema.field(at), pa.array([o[0] for o in out], batch.schema.field(at).type))
+            yield named.filter(pa.array([o[0] != UNDETERMINED and o[1] >= least for o in out], pa.bool_()))
+
+    return docs.mapInArrow(keep, schema)
+
+
 def spans(docs: DataFrame, model: Model, *, penalty: float = 12.0) -> DataFrame:
     """``doc_id, start, stop, lang`` of every span of one language, in code points; between spans stand no letters."""
 
