@@ -150,27 +150,36 @@ def summed_cells(rows: DataFrame, count, cells: int) -> np.ndarray:
         for batch in batches:
             total += np.bincount(count(batch), minlength=cells)
         for k in range(0, cells, CHUNK):
-            part = np.minimum(total[k : k + CHUNK], 2**31 - 1).astype(np.int32)
+            part = total[k : k + CHUNK]
             if part.any():
-                # most counts are small
-                packed = part.astype(np.uint8) if part.max() < 256 else part
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["k", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["k", "v"])
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(v, np.uint8 if len(v) == min(CHUNK, cells) else np.int32).astype(np.int64)
-                held[k] = held.get(k, 0) + part
+                held[k] = held.get(k, 0) + _unpacked(v)
         for k, v in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["k", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(v)], pa.binary())], names=["k", "v"])
 
     out = np.zeros(cells, np.int64)
     for r in rows.mapInArrow(add, "k int, v binary").repartition(8, "k").mapInArrow(merge, "k int, v binary").collect():
-        out[r.k : r.k + min(CHUNK, cells)] = np.frombuffer(r.v, np.int64)
+        out[r.k : r.k + min(CHUNK, cells)] = _unpacked(r.v)
     return out
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest width that holds them; the first byte names it."""
+    for width, kind in ((1, np.uint8), (2, np.uint16), (4, np.uint32), (8, np.int64)):
+        if int(counts.max()) <= np.iinfo(kind).max:
+            return bytes([width]) + counts.astype(kind).tobytes()
+    raise OverflowError
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[packed[0]], offset=1).astype(np.int64)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` (the least node reachable) of every node in the undirected links ``a, b``.
 

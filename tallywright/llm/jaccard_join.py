@@ -9,11 +9,12 @@ share a shingle among the first quarter of their shingles in any common order (p
 bucket is the documents that share one. The order puts frequent shingles last, by a count sketch of
 fixed size, so a passage that many documents share hardly makes buckets.
 
-1. Equal shingle sets are one class; buckets hold classes.
-2. Neighbours in each bucket, by size, are bounded by their counts and verified; this joins most groups of
-   near copies in time linear in the bucket.
-3. Buckets whose classes are not yet in one component go through the R-tree, in blocks if large; surviving
-   pairs of different components are verified. No pair is dropped: a pair left out is already connected.
+1. Equal shingle sets are one class; buckets hold classes, and buckets with equal members count once.
+2. In each bucket, in blocks if it is large, the R-tree finds the pairs whose counts leave room for a link.
+   A spanning forest of them, closest pairs first, is verified: links in number linear in the bucket join
+   most groups of near copies.
+3. In buckets whose classes are still in several components, all pairs of different components that the
+   tree leaves are verified. No pair is dropped: a pair left out is already connected.
 """
 
 from __future__ import annotations
@@ -72,20 +73,26 @@ def set_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def groups_for(size: int) -> int:
-    """Groups of a set's count vector: about four shingles in each."""
-    return min(4096, max(8, 1 << int(np.ceil(np.log2(max(size, 1) / 4 + 1)))))
+    """Groups of a set's count vector: about one for each shingle, so unlike shingles rarely fall together."""
+    return min(1 << 16, max(8, 1 << int(np.ceil(np.log2(max(size, 1))))))
 
 
-def count_vector(values: np.ndarray) -> np.ndarray:
+def count_vector(values: np.ndarray) -> bytes:
+    """Counts by group, in bytes where they fit; the first byte is the width of a count."""
     groups = groups_for(len(values))
-    return np.bincount(((values >> np.uint64(20)) & np.uint64(groups - 1)).astype(np.intp), minlength=groups).astype(np.uint16)
+    count = np.bincount(((values >> np.uint64(20)) & np.uint64(groups - 1)).astype(np.intp), minlength=groups)
+    return b"\x01" + count.astype(np.uint8).tobytes() if count.max() < 256 else b"\x04" + count.astype(np.uint32).tobytes()
+
+
+def counts_of(vector: bytes) -> np.ndarray:
+    return np.frombuffer(vector, np.uint8 if vector[0] == 1 else np.uint32, offset=1)
 
 
 def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
     """Vectors in fewer groups: groups that fall together are added."""
     while vectors.shape[-1] > groups:
         half = vectors.shape[-1] // 2
-        vectors = vectors[..., :half] + vectors[..., half:]
+        vectors = vectors[..., :half].astype(np.uint32) + vectors[..., half:]
     return vectors
 
 
@@ -143,22 +150,20 @@ def enough(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 7 * shared >= 3 * (a + b)
 
 
-def bound(left: bytes, right: bytes) -> int:
-    a, b = np.frombuffer(left, np.uint16), np.frombuffer(right, np.uint16)
-    groups = min(len(a), len(b))
-    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
-
+def tree_pairs(sizes: np.ndarray, vectors: list[bytes], sides: np.ndarray, coarse: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Surviving pairs between points of side 0 and side 1 (of side 0 alone, if there is no side 1), and their bounds.
 
-def tree_pairs(sizes: np.ndarray, vectors: list[bytes], sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs between points of side 0 and side 1 (of side 0 alone, if there is no side 1)."""
-    width = np.array([len(v) // 2 for v in vectors])
+    Trees hold the counts in groups ``coarse`` times wider; what they leave is bounded by all groups.
+    """
+    counts = [counts_of(v) for v in vectors]
+    width = np.array([len(c) for c in counts])
     inner, outer = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     alone = not len(outer)
     outer = inner if alone else outer
-    left, right = [np.zeros(0, np.intp)], [np.zeros(0, np.intp)]
+    found = ([np.zeros(0, np.intp)], [np.zeros(0, np.intp)], [np.zeros(0, np.int64)])
 
     def rows(index: np.ndarray, groups: int) -> np.ndarray:
-        return np.stack([folded(np.frombuffer(vectors[i], np.uint16), groups) for i in index.tolist()])
+        return np.stack([folded(counts[i], groups) for i in index.tolist()])
 
     for groups in np.unique(width[inner]).tolist():
         held = inner[width[inner] == groups]
@@ -167,13 +172,40 @@ def tree_pairs(sizes: np.ndarray, vectors: list[bytes], sides: np.ndarray) -> tu
             if not len(asked):
                 continue
             common = min(groups, other)
-            tree = CountTree(rows(held, common), sizes[held])
-            for q, p in tree.search(rows(asked, common), sizes[asked]):
-                left.append(asked[q])
-                right.append(held[p])
-    a, b = np.concatenate(left), np.concatenate(right)
-    once = a < b if alone else np.ones(len(a), bool)
-    return a[once], b[once]
+            wide = max(8, common // coarse)
+            fine_held, fine_asked = rows(held, common), rows(asked, common)
+            tree = CountTree(folded(fine_held, wide), sizes[held])
+            for q, p in tree.search(folded(fine_asked, wide), sizes[asked]):
+                if alone:
+                    once = asked[q] < held[p]
+                    q, p = q[once], p[once]
+                for start in range(0, len(q), 2048):
+                    i, j = q[start : start + 2048], p[start : start + 2048]
+                    shared = np.minimum(fine_asked[i], fine_held[j]).sum(1, dtype=np.int64)
+                    keep = enough(shared, sizes[asked[i]], sizes[held[j]])
+                    for column, values in zip(found, (asked[i[keep]], held[j[keep]], shared[keep])):
+                        column.append(values)
+    return tuple(np.concatenate(c) for c in found)
+
+
+def forest(a: np.ndarray, b: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs that span the components of all pairs, those with most slack first."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = root[x]
+        return x
+
+    out = []
+    order = np.argsort(-slack, kind="stable")
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(k)
+    return np.array(out, np.intp)
 
 
 # ---------------------------------------------------------------------- steps on Spark
@@ -190,7 +222,7 @@ def described(docs: DataFrame, slice_chars: int = 2_000_000) -> DataFrame:
                 for i, n in enumerate(sizes.tolist()):
                     columns[0].append(n)
                     columns[1].append(int(keys[i]) if n else None)
-                    columns[2].append(count_vector(sets[edges[i] : edges[i + 1]]).tobytes() if n else None)
+                    columns[2].append(count_vector(sets[edges[i] : edges[i + 1]]) if n else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["doc_id", "n", "class", "vector"]
             )
@@ -232,12 +264,13 @@ def postings(docs: DataFrame, level: np.ndarray, slice_chars: int = 2_000_000) -
     return docs.select("text").mapInArrow(post, "key long, class long, n long")
 
 
-def chained(batches):
-    """From rows sorted by key, n, class: those whose key has several classes, with the class before if sizes allow a link.
+def shared_keys(batches):
+    """From rows sorted by key, n, class: the distinct ones whose key has several classes.
 
     Reads on in batches and holds back one row, so a key of any number of rows passes through.
     """
-    held = None  # key, class, n, before, whether a row before has its key
+    names = ["key", "class", "n"]
+    held = None  # a row, and whether the row before has its key
     for batch in batches:
         key, cls, n = (batch.column(i).to_numpy() for i in range(3))
         if not len(key):
@@ -249,41 +282,22 @@ def chained(batches):
         key, cls, n = key[new], cls[new], n[new]
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
-        before = np.concatenate([[0], cls[:-1]])
-        near = same.copy()
-        near[1:] &= 4 * n[:-1] >= 3 * n[1:]
-        if held is not None:
-            same[0], near[0], before[0] = held[4], held[3] is not None, held[3] or 0
+        same[0] = held is not None and held[3]
         keep = same.copy()
         keep[:-1] |= same[1:]
-        held = (key[-1], cls[-1], n[-1], int(before[-1]) if near[-1] else None, bool(same[-1]))
+        held = (key[-1], cls[-1], n[-1], bool(same[-1]))
         keep[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep]), pa.array(n[keep]), pa.array(before[keep], mask=~near[keep])], names=["key", "class", "n", "before"])
-    if held is not None and held[4]:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]]), pa.array([held[2]]), pa.array([held[3]], pa.int64())], names=["key", "class", "n", "before"])
-
-
-def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose count vectors leave room for a link."""
-    left = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
-    right = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
-
-    def test(batches):
-        for batch in batches:
-            na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
-            va, vb = batch.column("va").to_pylist(), batch.column("vb").to_pylist()
-            keep = [7 * bound(x, y) >= 3 * (m + n) for m, n, x, y in zip(na, nb, va, vb)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").mapInArrow(test, "a long, b long")
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep]), pa.array(n[keep])], names=names)
+    if held is not None and held[3]:
+        yield pa.RecordBatch.from_arrays([pa.array([h]) for h in held[:3]], names=names)
 
 
 def with_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``class, text`` of the classes in ``pairs``: of one document each."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes.select("class", "first"), "class")
     wanted = stored(wanted, "wanted")
-    bits = summed_cells(wanted.select("first"), partial(_spots, name="first"), 1 << 23) > 0
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))  # 1 MB, whatever the input
+    bits = summed_cells(wanted.select("first"), partial(_spots, name="first"), 1 << 21) > 0
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))  # 256 kB, whatever the input
 
     def likely(batches):
         for batch in batches:
@@ -300,7 +314,7 @@ def with_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
 
 def _spots(batch: pa.RecordBatch, name: str) -> np.ndarray:
     values = batch.column(batch.schema.get_field_index(name)).fill_null(0).to_numpy(zero_copy_only=False)
-    return (mixed(values.astype(np.int64).view(np.uint64)) >> np.uint64(41)).astype(np.int64)
+    return (mixed(values.astype(np.int64).view(np.uint64)) >> np.uint64(43)).astype(np.int64)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -344,14 +358,26 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _tree_group(table: pa.Table) -> pa.Table:
+PAIR = "a long, b long"
+
+
+def _tree_group(table: pa.Table, spanning: bool) -> pa.Table:
+    """Pairs of classes of different roots that the tree leaves; if ``spanning``, a forest of them."""
     n, root, cls = (table.column(c).to_numpy() for c in ("n", "root", "class"))
-    a, b = tree_pairs(n, table.column("vector").to_pylist(), table.column("side").to_numpy())
+    a, b, shared = tree_pairs(n, table.column("vector").to_pylist(), table.column("side").to_numpy())
     keep = root[a] != root[b]
-    a, b = cls[a[keep]], cls[b[keep]]
+    a, b, shared = a[keep], b[keep], shared[keep]
+    if spanning:
+        kept = forest(a, b, shared / (n[a] + n[b]))
+        a, b = a[kept], b[kept]
+    a, b = cls[a], cls[b]
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def _survivors(rows: DataFrame, block: int, spanning: bool) -> DataFrame:
+    return _blocks(rows, block).groupBy("key", "i", "j").applyInArrow(lambda t: _tree_group(t, spanning), PAIR).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, block: int = 512) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``doc_id, text``.
 
@@ -366,22 +392,20 @@ def near_duplicates(docs: DataFrame, *, block: int = 512) -> DataFrame:
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.first("vector").alias("vector"))
     classes = stored(classes, "shingle-classes")
     keys = postings(docs, frequency(docs)).repartition("key").sortWithinPartitions("key", "n", "class")
-    buckets = stored(keys.mapInArrow(chained, "key long, class long, n long, before long"), "buckets")
-
-    first = stored(buckets.where("before is not null").select(F.least("before", "class").alias("a"), F.greatest("before", "class").alias("b")).distinct(), "neighbours")
-    likely = stored(bounded(first, classes), "likely")
-    links = stored(verified(likely, with_texts(docs, classes, likely)), "near-links")
-    roots = stored(components(links), "near-roots")
-
+    buckets = stored(keys.mapInArrow(shared_keys, "key long, class long, n long"), "buckets")
     # buckets with equal members count once
     members = buckets.groupBy("key").agg(F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("class")).alias("xor"), F.count("*").alias("m"))
     one = members.groupBy("sum", "xor", "m").agg(F.min("key").alias("key")).select("key")
-    placed = buckets.join(one, "key").select("key", "class", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    placed = stored(placed.withColumn("root", F.coalesce("root", "class")), "open-buckets")
-    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    rest = placed.join(apart, "key").join(classes.select("class", "vector"), "class")
-    pairs = _blocks(rest, block).groupBy("key", "i", "j").applyInArrow(_tree_group, "a long, b long").distinct()
-    pairs = stored(pairs.join(first, ["a", "b"], "left_anti"), "tree-pairs")
+    placed = buckets.join(one, "key").join(classes.select("class", "vector"), "class")
+    placed = stored(placed, "open-buckets")
+
+    first = stored(_survivors(placed.withColumn("root", F.col("class")), block, True), "forest-pairs")
+    links = stored(verified(first, with_texts(docs, classes, first)), "near-links")
+    roots = stored(components(links), "near-roots")
+
+    rooted = placed.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    pairs = stored(_survivors(rooted.join(apart, "key"), block, False).join(first, ["a", "b"], "left_anti"), "tree-pairs")
     more = stored(verified(pairs, with_texts(docs, classes, pairs)), "near-links")
     lifted = more
     for side in ("a", "b"):

@@ -61,15 +61,18 @@ def test_tree_finds_all_pairs_within_the_bound():
         part[: rng.integers(0, 15)] = rng.integers(0, 2**63)
         sets.append(np.unique(part))
     sizes = np.array([len(s) for s in sets])
-    vectors = [jj.count_vector(s).tobytes() for s in sets]
-    a, b = jj.tree_pairs(sizes, vectors, np.zeros(len(sets), int))
+    vectors = [jj.count_vector(s) for s in sets]
+    a, b, shared = jj.tree_pairs(sizes, vectors, np.zeros(len(sets), int))
+    assert (7 * shared >= 3 * (sizes[a] + sizes[b])).all()
+    kept = jj.forest(a, b, shared)
+    assert len({frozenset(p) for p in zip(a[kept].tolist(), b[kept].tolist())}) == len(kept) < len(sets)
     got = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
     for i in range(len(sets)):
         for j in range(i):
             if 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (sizes[i] + sizes[j]):
                 assert (j, i) in got
     side = (np.arange(len(sets)) >= 200).astype(int)
-    a, b = jj.tree_pairs(sizes, vectors, side)
+    a, b, _ = jj.tree_pairs(sizes, vectors, side)
     assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} == {p for p in got if (p[0] < 200) != (p[1] < 200)}
 
 
