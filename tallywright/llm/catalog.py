@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, lookup_sketch, packing, quality, repeats, secret_ledger, token_count
+from . import decontaminate, jaccard_join, language, lm_trie, lookup_sketch, packing, quality, repeats, secret_ledger, token_count
 from .frames import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def held_out(mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_trie.score_documents(table(spark, sf_dir, "documents"), held_out(7, 2))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(language.training_rows(docs.where(~held_out(5, 0))))
@@ -58,6 +62,7 @@ def op10_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op4_jaccard_join": op4_jaccard_join,
