@@ -8,7 +8,10 @@ from ``rules.ORDERS`` only where a list would otherwise be repeated.
 from __future__ import annotations
 
 from ..rules import ORDERS as R
-from .queries import PAYROLL_CODES, REPORT_MONTHS, TOP_N, YEARS
+from .queries import PAYROLL_CODES, TOP_N, YEARS
+
+# written apart from the list of the code under test
+REPORT_MONTHS = tuple(f"{year}-{month:02d}" for year in range(1996, 2002) for month in range(1, 13))
 
 
 def _list(values) -> str:
@@ -24,7 +27,8 @@ def _with(*parts: str, select: str) -> str:
 
 
 def _pivot(value: str, months=REPORT_MONTHS, month: str = "month") -> str:
-    return ", ".join(f"{_cash(f'SUM(CASE WHEN {month} = {m!r} THEN {value} END)')} AS \"{m}\"" for m in months)
+    cells = [f"{_cash(f'SUM(CASE WHEN {month} = {m!r} THEN {value} END)')} AS \"{m}\"" for m in months]
+    return ", ".join(cells) + f", {_cash(f'SUM(CASE WHEN {month} NOT IN ({_list(months)}) THEN {value} END)')} AS other_months"
 
 
 YEAR_TEST = f"CAST(substr(month, 1, 4) AS INT) IN ({', '.join(map(str, YEARS))})"
@@ -97,7 +101,7 @@ ACCRUAL = (
          {SUBCLASS} AS subclass, {SPLIT} AS split, account_no, accounting_at, accounting_month AS month, category, origin,
          CASE side WHEN 0 THEN amount WHEN 1 THEN -amount END AS amount
   FROM ledger WHERE class_code IN ({_list(R.accrual_kinds)}) AND name_unit IS NOT NULL
-    AND category IN ('base', 'provision') AND accounting_at < DATE '2000-01-01')""",
+    AND category IN ('base', 'provision'))""",
     """flagged AS (
   SELECT *, COALESCE(SUM(CASE WHEN category = 'base' THEN amount END) OVER (PARTITION BY account_no, month), 0) <> 0 AS use_base
   FROM accrual_rows)""",
@@ -238,6 +242,7 @@ def _result(literal: bool = False) -> str:
         f"ELSE {_cash(f'SUM(CASE WHEN month = {m!r} THEN amount END)')} END AS \"{m}\""
         for m in REPORT_MONTHS
     )
+    cells += f", {_cash(f'SUM(CASE WHEN month NOT IN ({_list(REPORT_MONTHS)}) THEN amount END)')} AS other_months"
     return _with(
         *SALES,
         LINES,
@@ -370,7 +375,7 @@ WHERE account_no LIKE '1%' OR account_name ILIKE '%hot anv%' OR account_name ILI
         "payroll_hybrid_monthly": _with(*PAYROLL, select=f"SELECT unit, month, kind, concept, {_cash('amount')} AS amount FROM hybrid"),
         "payroll_hybrid_per_unit": _with(*PAYROLL, *_per_unit(), select=f"SELECT unit, month, kind, concept, {_cash('amount')} AS amount FROM hybrid_unit"),
         "payroll_subclass": _with(*BOOK, *ACCRUAL, select=f"SELECT unit, kind, subclass, {_cash('SUM(amount)')} AS amount FROM closed GROUP BY ALL"),
-        "payroll_month_pivot": _with(*BOOK, *ACCRUAL, select="SELECT month, " + ", ".join(f"{_cash(f'SUM(amount) FILTER (concept = {c!r})')} AS \"{c}\"" for c in _payroll_concepts()) + " FROM closed GROUP BY month"),
+        "payroll_month_pivot": _with(*BOOK, *ACCRUAL, select="SELECT month, " + ", ".join(f"{_cash(f'SUM(amount) FILTER (concept = {c!r})')} AS \"{c}\"" for c in _payroll_concepts()) + f", {_cash(f'SUM(amount) FILTER (concept NOT IN ({_list(_payroll_concepts())}))')} AS other_concepts" + " FROM closed GROUP BY month"),
         "payroll_split_ratio": _with(*BOOK, *ACCRUAL, PAYROLL_SPLIT, select=SPLIT_SELECT),
         "payroll_last_months": _with(*BOOK, *ACCRUAL, PAYROLL_SPLIT, select=SPLIT_SELECT + " QUALIFY ROW_NUMBER() OVER (PARTITION BY kind ORDER BY month DESC) <= 12"),
         "method_reconciliation": _with(*PAYROLL, RECONCILE, select=f"SELECT month, {_cash('owed')} AS owed, {_cash('accrued')} AS accrued, is_fallback FROM compare"),

@@ -198,7 +198,8 @@ def _payroll_wide(b: Books) -> DataFrame:
     rows = pay.accrual_months(b, RULES)
     names = [c for c in RULES.concept_order if c.startswith("01-") and "sin clasificar" not in c]
     concepts = [c.removeprefix("01-") for c in names]
-    return rows.groupBy("month").pivot("concept", concepts).agg(F.sum("amount"))
+    concept = F.when(F.col("concept").isin(*concepts), F.col("concept")).otherwise("other_concepts")
+    return rows.withColumn("concept", concept).groupBy("month").pivot("concept", [*concepts, "other_concepts"]).agg(F.sum("amount"))
 
 
 def _result_pivot(b: Books, literal: bool = False) -> DataFrame:
@@ -212,6 +213,7 @@ def _result_pivot(b: Books, literal: bool = False) -> DataFrame:
         "account_no",
         "concept",
         *[F.when(is_result, F.coalesce(F.col(f"`{m}`"), F.lit(0))).otherwise(F.col(f"`{m}`")).alias(m) for m in months],
+        pl.OTHER_MONTHS,
     )
 
 

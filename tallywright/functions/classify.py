@@ -38,16 +38,22 @@ def is_considered(flag: Column) -> Column:
     return F.coalesce(F.upper(F.trim(flag)) == "SI", F.lit(False))
 
 
-def document_label(doc_type: Column, letter: Column, branch_no: Column, number: Column) -> Column:
-    """``Factura (A) 0003-00001234``. Longer numbers are cut to their first digits, like LPAD."""
+def padded(number: Column, width: int, cut: bool = False) -> Column:
+    """Digits with leading zeros; ``cut`` keeps only the first ``width`` digits of longer numbers, like LPAD."""
+    digits = F.coalesce(number, F.lit(0)).cast("string")
+    return F.lpad(digits, F.lit(width) if cut else F.greatest(F.char_length(digits), F.lit(width)), F.lit("0"))
+
+
+def document_label(doc_type: Column, letter: Column, branch_no: Column, number: Column, cut: bool = False) -> Column:
+    """``Factura (A) 0003-00001234``. Longer numbers stay whole unless ``cut``."""
     has_letter = F.concat(F.lit(" ("), decode(letter, R.DOCUMENT_LETTERS, ""), F.lit(")"))
     return F.concat(
         decode(doc_type, R.DOCUMENT_TYPES, R.DOCUMENT_OTHER),
         F.when(letter.isNotNull(), has_letter).otherwise(F.lit("")),
         F.lit(" "),
-        F.lpad(F.coalesce(branch_no, F.lit(0)).cast("string"), 4, "0"),
+        padded(branch_no, 4, cut),
         F.lit("-"),
-        F.lpad(F.coalesce(number, F.lit(0)).cast("string"), 8, "0"),
+        padded(number, 8, cut),
     )
 
 

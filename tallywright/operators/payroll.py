@@ -68,8 +68,6 @@ def payroll_postings(
     category = cl.noise_category(F.col("origin_code"), F.col("detail"), rules)
     role = F.col("role")
     accrued = (role == ACCRUAL) & F.col("accounting_at").isNotNull() & category.isin("base", "provision")
-    if rules.accrual_loaded_before is not None:
-        accrued = accrued & (F.col("accounting_at") < F.lit(rules.accrual_loaded_before))
     owed = (role == LIABILITY) & (F.col("side") == 0) & ~tx.contains(F.col("detail"), rules.closing_text)
     pooled = (role == POOL) & (F.col("side") == 0)
     moment = F.when(role == ACCRUAL, F.col("accounting_at")).otherwise(F.col("loaded_at"))

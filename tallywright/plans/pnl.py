@@ -13,6 +13,7 @@ from ..operators import sales as sa
 from ..rules import Rules
 from ..schemas import AMOUNT, Books
 
+OTHER_MONTHS = "other_months"
 FACT_COLUMNS = ("unit", "moment", "month", "concept", "account_no", "amount", "detail", "party", "source", "origin")
 
 
@@ -67,11 +68,14 @@ def month_labels(frame: DataFrame) -> list[str]:
 def pivot_months(frame: DataFrame, keys: list[str], months: list[str] | None = None) -> DataFrame:
     """One column per month label; a month without rows is null.
 
-    With the month list given, no job runs before the pivot itself.
+    With the month list given, no job runs before the pivot itself, and rows of months outside the
+    list are summed in ``other_months``.
     """
-    months = month_labels(frame) if months is None else months
-    labelled = frame.withColumn("month_label", pe.month_text(F.col("month")))
-    return labelled.groupBy(*keys).pivot("month_label", months).agg(F.sum("amount"))
+    label = pe.month_text(F.col("month"))
+    columns = month_labels(frame) if months is None else [*months, OTHER_MONTHS]
+    if months is not None:
+        label = F.when(label.isin(*months), label).otherwise(OTHER_MONTHS) if months else F.lit(OTHER_MONTHS)
+    return frame.withColumn("month_label", label).groupBy(*keys).pivot("month_label", columns).agg(F.sum("amount"))
 
 
 def pnl_pivot(pnl: DataFrame, months: list[str] | None = None) -> DataFrame:

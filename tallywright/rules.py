@@ -76,8 +76,6 @@ class Rules:
     closing_entry_text: str = ""
     excluded_concept_text: str = ""
     excluded_accounts: tuple[str, ...] = ()
-    # accrual accounts are loaded up to (not including) this date; None = no known limit
-    accrual_loaded_before: dt.date | None = None
     # account numbers above this value are result accounts
     result_accounts_above: int = 42100000
     concept_order: tuple[str, ...] = field(default=())
@@ -266,7 +264,6 @@ ORDERS = Rules(
     closing_entry_text="NOT SPECIFIED",
     excluded_concept_text="Anvil|Plate",
     excluded_accounts=("400000000011", "400000000012"),
-    accrual_loaded_before=dt.date(2000, 1, 1),
     result_accounts_above=399999999999,
     concept_order=(
         "00-Ventas netas - A",

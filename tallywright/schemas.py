@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
-RATE = T.DecimalType(10, 4)
+# ten digits before the point; price x rate x discount then keeps eight decimals
+RATE = T.DecimalType(18, 8)
 # monthly results: room for rates and shares beyond cents
 AMOUNT = T.DecimalType(28, 6)
 

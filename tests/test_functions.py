@@ -104,3 +104,14 @@ def test_periods(one):
     assert one(["2024-02-30", "x"], pe.parse_moment) == [None, None]
     assert pe.months_between(dt.date(2023, 11, 1), dt.date(2024, 2, 1)) == ["2023-11", "2023-12", "2024-01", "2024-02"]
     assert pe.period_label((2025, 2024)) == "2024 – 2025" and pe.period_label(()) == ""
+
+
+def test_document_numbers_stay_whole_unless_cut(spark):
+    rows = spark.createDataFrame([(0, 1, 12345, 1234567891), (0, 1, 3, 12)], "t int, l int, b int, n long")
+    label = lambda cut: [r[0] for r in rows.select(cl.document_label(F.col("t"), F.col("l"), F.col("b"), F.col("n"), cut)).collect()]
+    assert [x.split(" ")[-1] for x in label(False)] == ["12345-1234567891", "0003-00000012"]
+    assert [x.split(" ")[-1] for x in label(True)] == ["1234-12345678", "0003-00000012"]
+
+
+def test_bytes_decode(spark):
+    assert spark.range(1).select(tx.decode_bytes(F.unhex(F.lit("C3A9")))).first()[0] == "é"

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tallywright.operators.diagnostics import latest_rates
 from tallywright.plans.pnl import pivot_months
 from tallywright.schemas import Books
-from tallywright.session import cut_lineage
 from tallywright.sinks import report
 from tallywright.sources import files, tables
 
@@ -81,11 +80,11 @@ def test_failed_export_does_not_stop_the_others(spark, long, tmp_path):
     assert report.write_table(long, str(tmp_path / "one")).rows == 3
 
 
-def test_checkpoint_uses_the_fallback_only_when_unset(spark, long, tmp_path):
-    cut = cut_lineage(long, str(tmp_path / "ckpt"))
-    assert cut.count() == 3
-    named = spark.conf.get("spark.checkpoint.dir", None) or str(tmp_path)
-    assert named.removeprefix("file:") in spark.sparkContext.getCheckpointDir()
+def test_months_outside_a_given_list_are_not_lost(spark, long):
+    wide = pivot_months(long, ["unit"], ["1990-01"])
+    assert wide.columns == ["unit", "1990-01", "other_months"]
+    got = wide.agg({"other_months": "sum"}).first()[0]
+    assert got == long.agg({"amount": "sum"}).first()[0]
 
 
 def test_latest_rates(spark):
