@@ -58,25 +58,28 @@ def next_by_id(docs: DataFrame, key: str) -> DataFrame:
 def _edited_rows(docs: DataFrame) -> DataFrame:
     """``id, void, copy, n_chars, edited_sha256`` and the digests of the text, of the edited text and of the next document.
 
-    ``void`` marks rows without an id; ``copy`` numbers rows of equal id. Every row stays where the join
-    puts it, by ``id`` and ``void``, in all that follows.
+    ``void`` marks rows without an id; ``copy`` numbers rows of equal id, below zero for those. Texts are
+    dealt out by ``id`` once; every row stays there in all that follows.
     """
-    texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("void"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = texts.withColumn("copy", F.row_number().over(Window.partitionBy("id", "void").orderBy("text")))
+    texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("void"), F.coalesce(F.col("text"), F.lit("")).alias("text")).repartition("id")
+    number = F.row_number().over(Window.partitionBy("id", "void").orderBy("text"))
+    rows = texts.withColumn("copy", F.when(F.col("void"), -number).otherwise(number))
     known = docs.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "id")
     sizes = known.groupBy("id").agg(F.max(F.char_length("text")).alias("widest"))
     wanted = next_by_id(known, "id").join(sizes, "id").select(
-        F.col("id").alias("target"), F.col("next_id").alias("id"), F.lit(False).alias("void"), F.coalesce(F.floor(F.col("widest") / 2), F.lit(0)).cast("int").alias("take")
-    )
-    heads = rows.where("copy = 1").join(wanted, ["id", "void"]).select(
-        F.col("target").alias("id"), "void", F.left("text", "take").alias("head"), paragraph_digests(F.col("text")).alias("next")
+        F.col("id").alias("target"), F.col("next_id").alias("id"), F.coalesce(F.floor(F.col("widest") / 2), F.lit(0)).cast("int").alias("take")
     )
+    # written so that no filter slips below the exchange, which both uses of the texts share
+    first = F.abs(F.col("copy") - 1) < 1
+    heads = rows.join(wanted, "id").where(first).select(F.col("target").alias("id"), F.left("text", "take").alias("head"), paragraph_digests(F.col("text")).alias("next"))
     half = F.floor(F.char_length("text") / 2).cast("int")
-    edited = F.concat(F.left("text", F.char_length("text") - half), F.coalesce(F.left("head", half), F.lit("")))
-    joined = rows.join(heads, ["id", "void"], "left").withColumn("edited", edited)
+    head = F.when(~F.col("void"), F.left("head", half))
+    edited = F.concat(F.left("text", F.char_length("text") - half), F.coalesce(head, F.lit("")))
+    joined = rows.join(heads, "id", "left").withColumn("edited", edited)
     return joined.select(
         "id", "void", "copy", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("edit"), F.coalesce("next", F.array().cast("array<bigint>")).alias("next"),
+        paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("edit"),
+        F.coalesce(F.when(~F.col("void"), F.col("next")), F.array().cast("array<bigint>")).alias("next"),
     )
 
 
@@ -87,8 +90,8 @@ def _cells(rows: DataFrame) -> DataFrame:
     size = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(most / 2 + 1)), F.lit(3))).cast("long")
     tag = lambda column, v: F.transform(column, lambda x: F.struct(F.lit(v).alias("v"), x.alias("x")))
     tagged = F.concat(tag("own", 0), tag("edit", 1), tag("next", 2))
-    flat = rows.select("id", "void", "copy", size.alias("size"), F.explode(tagged).alias("t"))
-    flat = flat.select("id", "void", "copy", "size", F.col("t.v").alias("v"), F.col("t.x").alias("x"), _check(F.col("t.x")).alias("c"))
+    flat = rows.select("id", "copy", size.alias("size"), F.explode(tagged).alias("t"))
+    flat = flat.select("id", "copy", "size", F.col("t.v").alias("v"), F.col("t.x").alias("x"), _check(F.col("t.x")).alias("c"))
     flat = flat.withColumn("table", F.explode(F.array(*(F.lit(j) for j in range(SUBTABLES)))))
     flat = flat.withColumn("cell", _cell(F.col("x"), F.col("table"), F.col("size")))
     zero = F.lit(0).cast("long")
@@ -96,7 +99,7 @@ def _cells(rows: DataFrame) -> DataFrame:
     for v, name in enumerate("aen"):
         own = F.col("v") == v
         aggs += [F.count(F.when(own, 1)).alias(f"n{name}"), F.bit_xor(F.when(own, F.col("x")).otherwise(zero)).alias(f"x{name}"), F.bit_xor(F.when(own, F.col("c")).otherwise(zero)).alias(f"c{name}")]
-    large = flat.groupBy("id", "void", "copy", "size", "table", "cell").agg(*aggs)
+    large = flat.groupBy("id", "copy", "size", "table", "cell").agg(*aggs)
 
     def cell(kind: str, at: Column, size: Column, n: Column, x: Column, c: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), at.alias("cell"), size.alias("size"), n.alias("n"), x.alias("x"), c.alias("c"))
@@ -106,13 +109,13 @@ def _cells(rows: DataFrame) -> DataFrame:
     for kind, o in (("E", "e"), ("N", "n")):
         minus = (F.col("na") - F.col(f"n{o}"), F.col("xa").bitwiseXOR(F.col(f"x{o}")), F.col("ca").bitwiseXOR(F.col(f"c{o}")))
         made += [cell(f"{kind}0", small, eight, *minus), cell(f"{kind}1", F.col("cell"), F.col("size"), *minus)]
-    out = large.select("id", "void", "copy", "table", F.explode(F.array(*made)).alias("m")).select("id", "void", "copy", "table", "m.*")
+    out = large.select("id", "copy", "table", F.explode(F.array(*made)).alias("m")).select("id", "copy", "table", "m.*")
     return _merged(out.withColumn("sign", F.lit(0)))
 
 
 def _merged(cells: DataFrame) -> DataFrame:
     """Cells of one place added up. ``sign`` other than 0: not a cell but recovered digests, counted in ``n``."""
-    summed = cells.groupBy("id", "void", "copy", "kind", "sign", "table", "cell", "size").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
+    summed = cells.groupBy("id", "copy", "kind", "sign", "table", "cell", "size").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
     return summed.where((F.col("n") != 0) | (F.col("x") != 0) | (F.col("c") != 0))
 
 
@@ -127,7 +130,7 @@ def _peeled(cells: DataFrame, table: int) -> DataFrame:
     ]
     found = F.struct(F.col("n").cast("int").alias("sign"), F.lit(0).alias("table"), F.lit(0).alias("cell"), F.col("size"), F.lit(1).cast("long").alias("n"), zero.alias("x"), zero.alias("c"))
     rows = F.when(single, F.array(found, *out)).otherwise(F.array(here))
-    return _merged(cells.select("id", "void", "copy", "kind", F.explode(rows).alias("m")).select("id", "void", "copy", "kind", "m.*"))
+    return _merged(cells.select("id", "copy", "kind", F.explode(rows).alias("m")).select("id", "copy", "kind", "m.*"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -147,8 +150,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     sums = []
     for kind in ("E0", "E1", "N0", "N1"):
         sums += [F.sum(F.when((F.col("kind") == kind) & (F.col("sign") != 0), F.col("n"))).alias(f"d{kind}"), F.count(F.when((F.col("kind") == kind) & (F.col("sign") == 0), 1)).alias(f"left{kind}")]
-    done = cells.groupBy("id", "void", "copy").agg(of("a").alias("a"), of("e").alias("e"), *sums)
-    joined = rows.join(done, ["id", "void", "copy"], "left")
+    done = cells.groupBy("id", "copy").agg(of("a").alias("a"), of("e").alias("e"), *sums)
+    # copies are compared as numbers, not as join keys: by ``id`` alone all rows are in place
+    done = done.withColumnsRenamed({"id": "of", "copy": "of_copy"})
+    joined = rows.join(done, (F.col("id") == F.col("of")) & (F.abs(F.col("copy") - F.col("of_copy")) < 1), "left")
 
     def string(cells: Column) -> Column:
         # cells without digests are left out, so the places of the others are written down
