@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import mixed, ragged, shards_for, stored, text_bytes, texts_of, word_hashes, words_of
+from .frames import _packed, _unpacked, mixed, ragged, shards_for, stored, text_bytes, texts_of, word_hashes, words_of
 
 BEGIN = np.uint64(0x243F6A8885A308D3)
 END = np.uint64(0x13198A2E03707344)
@@ -161,16 +161,17 @@ def _blocks(docs: DataFrame, shards: int, block_chars: int) -> DataFrame:
             ids, trains, lengths, hashes = (np.concatenate(c) for c in zip(*held))
             held = []
             words, which = np.unique(hashes, return_inverse=True)
-            shard = (words % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")  # by shard, then hash
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            which, words, shard = rank[which].astype(np.uint32), words[order], shard[order]
             count = np.bincount(which, weights=np.repeat(trains, lengths), minlength=len(words)).astype(np.uint32)
             block = (part << 24) + number
             number += 1
             docs_of = np.stack([ids, lengths, trains.astype(np.int64)], axis=1)
-            out = [(block, -1, "tokens", *_bytes(which, docs_of, words), None, None, None, None)]
+            # frequent words get low numbers: two bytes are enough for most tokens
+            often = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")
+            rank = np.empty(len(often), np.uint32)
+            rank[often] = np.arange(len(often))
+            out = [(block, -1, "tokens", _short(rank[which]), *_bytes(docs_of, words[often]), None, None, None, None)]
+            order, shard = _by_shard(words, shards)
+            words, count, shard = words[order], count[order], shard[order]
             bounds = np.searchsorted(shard, np.arange(shards + 1))
             for s in np.unique(shard).tolist():
                 own = slice(bounds[s], bounds[s + 1])
@@ -198,6 +199,25 @@ def _blocks(docs: DataFrame, shards: int, block_chars: int) -> DataFrame:
     return docs.mapInArrow(read, MESSAGE)
 
 
+def _by_shard(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of words by shard and hash, and the shard of each."""
+    shard = (words % np.uint64(shards)).astype(np.int64)
+    return np.lexsort((words, shard)), shard
+
+
+def _short(numbers: np.ndarray) -> bytes:
+    """Numbers in two bytes; larger ones follow in four."""
+    head = np.minimum(numbers, 65535).astype(np.uint16)
+    return struct.pack("<q", len(head)) + head.tobytes() + numbers[head == 65535].astype(np.uint32).tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    n = struct.unpack_from("<q", data)[0]
+    out = np.frombuffer(data, np.uint16, n, 8).astype(np.int64)
+    out[out == 65535] = np.frombuffer(data[8 + 2 * n :], np.uint32)
+    return out
+
+
 def _count_words(table: pa.Table) -> pa.Table:
     """In a shard of the vocabulary: the counts of each block's words, and totals."""
     words = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
@@ -207,7 +227,7 @@ def _count_words(table: pa.Table) -> pa.Table:
     for block, shard, own in zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), words):
         reply = count[which[at : at + len(own)]]
         at += len(own)
-        out.append((block, shard, "counts", reply.tobytes(), None, None, None, None, None, None))
+        out.append((block, shard, "counts", _packed(reply), None, None, None, None, None, None))
     shard = table.column("shard")[0].as_py()
     out.append((-1, shard, "totals", None, None, None, int((count == 1).sum()), int((count == 2).sum()), int((count > 0).sum()), int(count.sum())))
     return pa.Table.from_arrays(**_rows(out))
@@ -220,11 +240,12 @@ class _Block:
         kind = table.column("kind").to_pylist()
         row = kind.index("tokens")
         self.block = table.column("block")[row].as_py()
-        which = np.frombuffer(table.column("a")[row].as_py(), np.uint32).astype(np.int64)
+        which = _long(table.column("a")[row].as_py())
         self.docs = np.frombuffer(table.column("b")[row].as_py(), np.int64).reshape(-1, 3)
         words = np.frombuffer(table.column("c")[row].as_py(), np.uint64)
         answers = sorted((table.column("shard")[i].as_py(), table.column("a")[i].as_py()) for i, k in enumerate(kind) if k == "counts")
-        count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(a, np.int64) for _, a in answers)])
+        count = np.zeros(len(words), np.int64)
+        count[_by_shard(words, shards)[0]] = np.concatenate([np.zeros(0, np.int64), *(_unpacked(a) for _, a in answers)])
         # one more word: the end of a text, and for contexts its begin
         n, size = len(words), self.docs[:, 1]
         self.count = np.append(count, ends)
