@@ -73,8 +73,8 @@ def set_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def groups_for(size: int) -> int:
-    """Groups of a set's count vector: about one for each shingle, so unlike shingles rarely fall together."""
-    return min(1 << 16, max(8, 1 << int(np.ceil(np.log2(max(size, 1))))))
+    """Groups of a set's count vector: one for each two shingles or fewer, so unlike shingles seldom fall together."""
+    return min(1 << 16, max(8, 1 << int(np.ceil(np.log2(max(size, 2) / 2)))))
 
 
 def count_vector(values: np.ndarray) -> bytes:
@@ -378,7 +378,7 @@ def _survivors(rows: DataFrame, block: int, spanning: bool) -> DataFrame:
     return _blocks(rows, block).groupBy("key", "i", "j").applyInArrow(lambda t: _tree_group(t, spanning), PAIR).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, block: int = 1024, early_buckets: int = 3) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``doc_id, text``.
 
     Documents link when 100 * intersection >= 75 * union of their distinct five-word shingles (with fewer
@@ -396,16 +396,19 @@ def near_duplicates(docs: DataFrame, *, block: int = 512) -> DataFrame:
     # buckets with equal members count once
     members = buckets.groupBy("key").agg(F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("class")).alias("xor"), F.count("*").alias("m"))
     one = members.groupBy("sum", "xor", "m").agg(F.min("key").alias("key")).select("key")
-    placed = buckets.join(one, "key").join(classes.select("class", "vector"), "class")
-    placed = stored(placed, "open-buckets")
+    placed = stored(buckets.join(one, "key").select("key", "class", "n"), "open-buckets")
+    vectors = classes.select("class", "vector")
 
-    first = stored(_survivors(placed.withColumn("root", F.col("class")), block, True), "forest-pairs")
+    # near copies share nearly all their buckets: the first few of each class will join most of them, the step after this sees every bucket
+    early = placed.withColumn("turn", F.row_number().over(Window.partitionBy("class").orderBy("key"))).where(F.col("turn") <= early_buckets)
+    early = early.withColumn("root", F.col("class")).join(vectors, "class")
+    first = stored(_survivors(early, block, True), "forest-pairs")
     links = stored(verified(first, with_texts(docs, classes, first)), "near-links")
     roots = stored(components(links), "near-roots")
 
     rooted = placed.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    pairs = stored(_survivors(rooted.join(apart, "key"), block, False).join(first, ["a", "b"], "left_anti"), "tree-pairs")
+    pairs = stored(_survivors(rooted.join(apart, "key").join(vectors, "class"), block, False).join(first, ["a", "b"], "left_anti"), "tree-pairs")
     more = stored(verified(pairs, with_texts(docs, classes, pairs)), "near-links")
     lifted = more
     for side in ("a", "b"):
