@@ -209,8 +209,13 @@ def forest(a: np.ndarray, b: np.ndarray, slack: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------------- steps on Spark
+def row_key():
+    """A key of id and text that is never null: a null is passed over."""
+    return F.xxhash64("doc_id", "text")
+
+
 def described(docs: DataFrame, slice_chars: int = 2_000_000) -> DataFrame:
-    """``doc_id, n, class, vector`` of every row; class and vector are null for an empty set."""
+    """``doc_id, row_key, n, class, vector`` of every row; class and vector are null for an empty set."""
 
     def describe(batches):
         for batch in batches:
@@ -224,10 +229,10 @@ def described(docs: DataFrame, slice_chars: int = 2_000_000) -> DataFrame:
                     columns[1].append(int(keys[i]) if n else None)
                     columns[2].append(count_vector(sets[edges[i] : edges[i + 1]]) if n else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["doc_id", "n", "class", "vector"]
+                [*batch.columns[:2], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["doc_id", "row_key", "n", "class", "vector"]
             )
 
-    return docs.mapInArrow(describe, "doc_id long, n long, class long, vector binary")
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(describe, "doc_id long, row_key long, n long, class long, vector binary")
 
 
 def frequency(docs: DataFrame) -> np.ndarray:
@@ -293,7 +298,7 @@ def shared_keys(batches):
 
 
 def with_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``class, text`` of the classes in ``pairs``: of one document each."""
+    """``class, text`` of the classes in ``pairs``: of one row each, found by its key, so rows without an id count too."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes.select("class", "first"), "class")
     wanted = stored(wanted, "wanted")
     bits = summed_cells(wanted.select("first"), partial(_spots, name="first"), 1 << 21) > 0
@@ -301,19 +306,19 @@ def with_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
 
     def likely(batches):
         for batch in batches:
-            at = _spots(batch, "doc_id")
+            at = _spots(batch, "first")
             hit = (packed.value[at >> 3] >> (7 - (at & 7))) & 1
-            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(hit.astype(bool) & known))
+            yield batch.filter(pa.array(hit.astype(bool)))
 
-    # most texts that nobody asks for stay where they are; the join decides
-    some = docs.mapInArrow(likely, docs.schema).withColumnRenamed("doc_id", "first")
+    # most texts that nobody asks for stay where they are; rows of one id and text, or of one text and no id, send one
+    some = docs.select(row_key().alias("first"), "text").mapInArrow(likely, "first long, text string")
+    some = some.groupBy("first").agg(F.first("text").alias("text"))
     found = some.join(wanted.hint("shuffle_hash"), "first")
     return stored(found.select("class", "text"), "texts")
 
 
 def _spots(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    values = batch.column(batch.schema.get_field_index(name)).fill_null(0).to_numpy(zero_copy_only=False)
+    values = batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
     return (mixed(values.astype(np.int64).view(np.uint64)) >> np.uint64(43)).astype(np.int64)
 
 
@@ -321,7 +326,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that link, by their shingles. The text of ``a`` comes before those of its partners."""
     asked = pairs.join(texts.withColumnRenamed("class", "b"), "b").select("a", "b", "text")
     hubs = texts.join(pairs.select(F.col("a").alias("class")).distinct(), "class").select(F.col("class").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    # repeated doc ids may give a class several texts; only those of its own set count
+    # only a text of the class's own set counts
     rows = hubs.union(asked).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
 
     def check(batches):
@@ -389,7 +394,7 @@ def near_duplicates(docs: DataFrame, *, block: int = 1024, early_buckets: int =
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(described(docs), "shingle-sets")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.first("vector").alias("vector"))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("row_key").alias("first"), F.max("n").alias("n"), F.first("vector").alias("vector"))
     classes = stored(classes, "shingle-classes")
     keys = postings(docs, frequency(docs)).repartition("key").sortWithinPartitions("key", "n", "class")
     buckets = stored(keys.mapInArrow(shared_keys, "key long, class long, n long"), "buckets")

@@ -106,3 +106,14 @@ def test_blocks_repeats_nulls_and_empty(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jj.near_duplicates(frame, block=1).collect() if r.component_id is not None)
     assert got == [(0, 3, 5), (5, 3, 5), (5, 3, 5), (9, 4, 5)]
     assert jj.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_row_without_id_bridges_two_documents(spark):
+    words = [f"w{i}" for i in range(104)]
+    low, mid, high = (" ".join(words[a : a + 80]) for a in (0, 10, 20))  # neighbours share 66 of 86 shingles, the outer two 56 of 96
+    rows = [(3, low), (None, mid), (None, mid), (8, high), (11, "words of no other document at all")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jj.near_duplicates(frame).collect())
+    assert got == [(0, 76, 3), (0, 76, 3), (3, 76, 3), (8, 76, 3), (11, 3, 11)]
+    assert [r.doc_id for r in jj.without_near_duplicates(frame.where("doc_id is not null")).orderBy("doc_id").collect()] == [3, 8, 11]
+    assert sorted(r.doc_id or 0 for r in jj.without_near_duplicates(frame).collect()) == [0, 0, 3, 11]
