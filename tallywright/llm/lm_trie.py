@@ -88,13 +88,20 @@ class Trie:
         self.base = np.where(self.pointers[:-1] > 0, self.successors[np.maximum(self.pointers[:-1] - 1, 0)] if m else 0, 0).astype(np.uint64)
 
     @staticmethod
-    def build(context: np.ndarray, word: np.ndarray, count: np.ndarray) -> bytes:
-        """From distinct (context, word) sorted by both, and their counts of one or more. ``word`` has 32 bits."""
+    def build(context: np.ndarray, word: np.ndarray, count: np.ndarray, sliced: tuple | None = None) -> bytes:
+        """From distinct (context, word) sorted by both, and their counts of one or more. ``word`` has 32 bits.
+
+        ``sliced``: contexts of which only a slice of the successors is here, and their totals over all slices.
+        """
         new = np.ones(len(context), bool)
         new[1:] = context[1:] != context[:-1]
         first = np.flatnonzero(new)
         node = np.cumsum(new) - 1
         total = np.bincount(node, weights=count, minlength=len(first))
+        if sliced is not None and len(sliced[0]):
+            at = np.minimum(np.searchsorted(context[first], sliced[0]), len(first) - 1)
+            here = context[first][at] == sliced[0]
+            total[at[here]] = sliced[1][here]
         seen = np.bincount(np.minimum(count, 5), minlength=6).astype(float)
         discounts = np.zeros(4)
         y = seen[1] / (seen[1] + 2 * seen[2]) if seen[1] + seen[2] else 0.5
@@ -124,6 +131,13 @@ class Trie:
         hit = inside & (self.successors[at] == wanted)
         return np.where(hit, self.codes[at], 0).astype(np.uint16), np.where(known, self.backoff[node], 0).astype(np.uint16)
 
+    def weights(self, context: np.ndarray) -> np.ndarray:
+        """Code of the weight of unigrams in each context (0: context not seen)."""
+        if not len(self.contexts):
+            return np.zeros(len(context), np.uint16)
+        node = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        return np.where(self.contexts[node] == context, self.backoff[node], 0).astype(np.uint16)
+
 
 def quantised(p: np.ndarray) -> np.ndarray:
     code = np.floor((np.log10(np.maximum(p, 1e-300)) / -FLOOR + 1) * (LEVELS - 1)) + 1
@@ -162,6 +176,7 @@ def _blocks(docs: DataFrame, shards: int, block_chars: int) -> DataFrame:
             held = []
             words, which = np.unique(hashes, return_inverse=True)
             count = np.bincount(which, weights=np.repeat(trains, lengths), minlength=len(words)).astype(np.uint32)
+            other = np.bincount(which, minlength=len(words)) - count  # outside training texts
             block = (part << 24) + number
             number += 1
             docs_of = np.stack([ids, lengths, trains.astype(np.int64)], axis=1)
@@ -171,11 +186,11 @@ def _blocks(docs: DataFrame, shards: int, block_chars: int) -> DataFrame:
             rank[often] = np.arange(len(often))
             out = [(block, -1, "tokens", _short(rank[which]), *_bytes(docs_of, words[often]), None, None, None, None)]
             order, shard = _by_shard(words, shards)
-            words, count, shard = words[order], count[order], shard[order]
+            words, count, other, shard = words[order], count[order], other[order], shard[order]
             bounds = np.searchsorted(shard, np.arange(shards + 1))
             for s in np.unique(shard).tolist():
                 own = slice(bounds[s], bounds[s + 1])
-                out.append((block, s, "words", *_bytes(words[own], count[own]), None, None, None, None, None))
+                out.append((block, s, "words", *_bytes(words[own], count[own]), _packed(other[own]), None, None, None, None))
             return pa.RecordBatch.from_arrays(**_rows(out))
 
         size = 0
@@ -218,34 +233,51 @@ def _long(data: bytes) -> np.ndarray:
     return out
 
 
-def _count_words(table: pa.Table) -> pa.Table:
-    """In a shard of the vocabulary: the counts of each block's words, and totals."""
+def _slices(occurrences: np.ndarray, shards: int, slice_tokens: int) -> np.ndarray:
+    """Number of slices, each in a shard of its own, that the successors of a context are dealt to."""
+    return np.clip(-(-occurrences // slice_tokens), 1, shards)
+
+
+def _count_words(table: pa.Table, shards: int, slice_tokens: int) -> pa.Table:
+    """In a shard of the vocabulary: the counts of each block's words, those dealt to several slices, and totals."""
     words = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
     every, which = np.unique(np.concatenate(words), return_inverse=True)
     count = np.bincount(which, weights=np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("b").to_pylist()]), minlength=len(every)).astype(np.int64)
+    other = np.bincount(which, weights=np.concatenate([_unpacked(x) for x in table.column("c").to_pylist()]), minlength=len(every)).astype(np.int64)
+    slices = _slices(count + other, shards, slice_tokens)
     out, at = [], 0
     for block, shard, own in zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), words):
-        reply = count[which[at : at + len(own)]]
+        mine = which[at : at + len(own)]
         at += len(own)
-        out.append((block, shard, "counts", _packed(reply), None, None, None, None, None, None))
+        many = np.flatnonzero(slices[mine] > 1)
+        out.append((block, shard, "counts", _packed(count[mine]), np.stack([many, slices[mine][many]]).tobytes(), None, None, None, None, None))
     shard = table.column("shard")[0].as_py()
     out.append((-1, shard, "totals", None, None, None, int((count == 1).sum()), int((count == 2).sum()), int((count > 0).sum()), int(count.sum())))
     return pa.Table.from_arrays(**_rows(out))
 
 
 class _Block:
-    """Tokens of a block with counts: for every token, its word's count, its context and its number as a bigram."""
+    """Tokens of a block with counts: for every token, its word's count, its context and its number as a bigram.
+
+    A frequent context has its successors dealt to slices, in shards one after the other; its head goes to each.
+    """
 
-    def __init__(self, table: pa.Table, shards: int, ends: int):
+    def __init__(self, table: pa.Table, shards: int, ends: int, begins: int):
         kind = table.column("kind").to_pylist()
         row = kind.index("tokens")
         self.block = table.column("block")[row].as_py()
         which = _long(table.column("a")[row].as_py())
         self.docs = np.frombuffer(table.column("b")[row].as_py(), np.int64).reshape(-1, 3)
         words = np.frombuffer(table.column("c")[row].as_py(), np.uint64)
-        answers = sorted((table.column("shard")[i].as_py(), table.column("a")[i].as_py()) for i, k in enumerate(kind) if k == "counts")
-        count = np.zeros(len(words), np.int64)
-        count[_by_shard(words, shards)[0]] = np.concatenate([np.zeros(0, np.int64), *(_unpacked(a) for _, a in answers)])
+        answers = sorted((table.column("shard")[i].as_py(), table.column("a")[i].as_py(), table.column("b")[i].as_py()) for i, k in enumerate(kind) if k == "counts")
+        count, slices = np.zeros(len(words), np.int64), np.ones(len(words) + 1, np.int64)
+        place, at = _by_shard(words, shards)[0], 0
+        for _, counted, many in answers:
+            counted, many = _unpacked(counted), np.frombuffer(many, np.int64).reshape(2, -1)
+            count[place[at : at + len(counted)]] = counted
+            slices[place[at + many[0]]] = many[1]
+            at += len(counted)
+        slices[-1] = begins
         # one more word: the end of a text, and for contexts its begin
         n, size = len(words), self.docs[:, 1]
         self.count = np.append(count, ends)
@@ -256,57 +288,71 @@ class _Block:
         before[begin] = n
         self.tokens, self.doc = tokens, np.repeat(np.arange(len(size)), size + 1)
         context, word = np.append(words, BEGIN), np.append(words, END)
-        shard = (mixed(context) % np.uint64(shards)).astype(np.int64)
+        home = (mixed(context) % np.uint64(shards)).astype(np.int64)
         short = (mixed(word ^ np.uint64(0x452821E638D01377)) >> np.uint64(32)).astype(np.uint32)
         pair, self.pair_of = np.unique(before * (n + 1) + tokens, return_inverse=True)
-        self.context, self.word = context[pair // (n + 1)], short[pair % (n + 1)]
+        of = pair // (n + 1)
+        self.context, self.word = context[of], short[pair % (n + 1)]
         train = self.docs[:, 2][self.doc]
         self.pair_count = np.bincount(self.pair_of, weights=train, minlength=len(pair)).astype(np.uint32)
         # questions in the order (shard, context, word)
-        self.order = np.lexsort((self.word, self.context, shard[pair // (n + 1)]))
-        self.shard = shard[pair // (n + 1)][self.order]
-
-
-def _ask(table: pa.Table, shards: int, ends: int) -> pa.Table:
+        shard = (home[of] + self.word % slices[of]) % shards
+        self.order = np.lexsort((self.word, self.context, shard))
+        self.shard, self.pair_context = shard[self.order], of
+        # heads in the order (shard, context), also those of slices that this block has no word in
+        used = np.unique(of)
+        head = np.repeat(used, slices[used])
+        head_shard = (home[head] + ragged(np.zeros(len(used), np.int64), slices[used])) % shards
+        order = np.lexsort((context[head], head_shard))
+        self.head, self.head_shard = head[order], head_shard[order]
+        self.head_context, self.head_total, self.head_sliced = context[self.head], self.count[self.head], slices[self.head] > 1
+        key = self.head_shard * (n + 1) + self.head
+        by_key = np.argsort(key)
+        self.runs = np.zeros(len(key), np.uint32)
+        self.runs[by_key] = np.bincount(np.searchsorted(key[by_key], shard * (n + 1) + of), minlength=len(key))
+
+
+def _ask(table: pa.Table, shards: int, ends: int, begins: int) -> pa.Table:
     """A block's distinct bigrams: contexts with their numbers of words, the words, and counts in training texts."""
-    b = _Block(table, shards, ends)
-    context, word, count = b.context[b.order], b.word[b.order], b.pair_count[b.order]
-    bounds = np.searchsorted(b.shard, np.arange(shards + 1))
+    b = _Block(table, shards, ends, begins)
+    word, count = b.word[b.order], b.pair_count[b.order]
+    bounds, heads = (np.searchsorted(x, np.arange(shards + 1)) for x in (b.shard, b.head_shard))
     out = []
-    for s in np.unique(b.shard).tolist():
-        own = slice(bounds[s], bounds[s + 1])
-        h = context[own]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        runs = np.diff(np.append(first, len(h))).astype(np.uint32)
+    for s in np.unique(b.head_shard).tolist():
+        own, top = slice(bounds[s], bounds[s + 1]), slice(heads[s], heads[s + 1])
+        h, sliced = b.head_context[top], np.flatnonzero(b.head_sliced[top])
         small = np.minimum(count[own], 255).astype(np.uint8)
         big = count[own][small == 255]
-        out.append((b.block, s, "ask", h[first].tobytes() + runs.tobytes(), word[own].tobytes(), small.tobytes() + big.tobytes(), None, None, len(first), len(h)))
+        head = h.tobytes() + b.runs[top].tobytes() + sliced.tobytes() + b.head_total[top][sliced].tobytes()
+        out.append((b.block, s, "ask", head, word[own].tobytes(), small.tobytes() + big.tobytes(), None, None, len(h), len(small)))
     return pa.Table.from_arrays(**_rows(out))
 
 
 def _unpack_ask(heads: bytes, words: bytes, counts: bytes, types: int, tokens: int):
-    context = np.repeat(np.frombuffer(heads, np.uint64, types), np.frombuffer(heads, np.uint32, types, 8 * types))
+    head = np.frombuffer(heads, np.uint64, types)
+    context = np.repeat(head, np.frombuffer(heads, np.uint32, types, 8 * types))
+    sliced = np.frombuffer(heads[12 * types :], np.int64).reshape(2, -1)
     count = np.frombuffer(counts, np.uint8, tokens).astype(np.int64)
     count[count == 255] = np.frombuffer(counts, np.uint32, -1, tokens) if len(counts) > tokens else 255
-    return context, np.frombuffer(words, np.uint32), count
+    return context, np.frombuffer(words, np.uint32), count, head, head[sliced[0]], sliced[1]
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """In a shard of contexts: build the trie from all blocks' counts, and answer each block from it."""
     asked = [_unpack_ask(*x) for x in zip(*(table.column(c).to_pylist() for c in ("a", "b", "c", "types", "tokens")))]
-    context, word, count = (np.concatenate(c) for c in zip(*asked))
+    context, word, count, _, sliced, total = (np.concatenate(c) for c in zip(*asked))
     keep = count > 0
     order = np.lexsort((word[keep], context[keep]))
     h, w, c = context[keep][order], word[keep][order], count[keep][order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
     first = np.flatnonzero(new)
-    trie = Trie(Trie.build(h[first], w[first], np.add.reduceat(c, first))) if len(h) else None
+    trie = Trie(Trie.build(h[first], w[first], np.add.reduceat(c, first), (sliced, total))) if len(h) else None
     out = []
-    for block, shard, (own_h, own_w, _) in zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), asked):
-        code, weight = trie.query(own_h, own_w) if trie else (np.zeros(len(own_h), np.uint16),) * 2
-        head = np.append(True, own_h[1:] != own_h[:-1])
-        out.append((block, shard, "answer", code.tobytes(), weight[head].tobytes(), None, None, None, None, None))
+    for block, shard, (own_h, own_w, _, head, _, _) in zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), asked):
+        code = trie.query(own_h, own_w)[0] if trie else np.zeros(len(own_h), np.uint16)
+        weight = trie.weights(head) if trie else np.zeros(len(head), np.uint16)
+        out.append((block, shard, "answer", code.tobytes(), weight.tobytes(), None, None, None, None, None))
     return pa.Table.from_arrays(**_rows(out))
 
 
@@ -314,15 +360,16 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _score(key, table: pa.Table, answers: pa.Table, shards: int, totals: dict) -> pa.Table:
-    b = _Block(table, shards, totals["ends"])
+    b = _Block(table, shards, totals["ends"], totals["begins"])
     n, v = totals["tokens"], totals["types"]
     order = np.argsort(answers.column("shard").to_numpy(), kind="stable").tolist()
     code = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(answers.column("a")[i].as_py(), np.uint16) for i in order)])
     weights = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(answers.column("b")[i].as_py(), np.uint16) for i in order)])
-    h = b.context[b.order]
-    head = np.append(True, (h[1:] != h[:-1]) | (b.shard[1:] != b.shard[:-1]))[: len(h)]
-    own, weight = np.empty(len(h)), np.empty(len(h))
-    own[b.order], weight[b.order] = probability(code), np.where(weights > 0, probability(weights), 1.0)[np.cumsum(head) - 1]
+    own = np.empty(len(code))
+    own[b.order] = probability(code)
+    # the slices of a context each leave a part of its mass; without a part it was never seen
+    left = np.bincount(b.head, weights=probability(weights), minlength=len(b.count))
+    weight = np.where(left > 0, left, 1.0)[b.pair_context]
     count = b.count[b.tokens]
     if n:
         d = totals["n1"] / (totals["n1"] + 2 * totals["n2"]) if totals["n1"] else 0.5
@@ -343,23 +390,25 @@ def _score(key, table: pa.Table, answers: pa.Table, shards: int, totals: dict) -
     )
 
 
-def score_documents(docs: DataFrame, held: Column, *, block_chars: int = 12_000_000, shard_bytes: int = 16 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held: Column, *, block_chars: int = 12_000_000, shard_bytes: int = 16 << 20, slice_tokens: int = 1 << 20) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``doc_id, text``.
 
     The model learns from the rows where ``held`` is false. Tokens are the words of the text, A-Z lowered,
     and one end. ``base_score`` is add-one unigrams. A null text is empty and has its end alone; a null
     ``doc_id`` stays null; repeated rows count and are scored each; other columns are not read; without
     training rows every token is unknown and ``score`` is 0; an empty table gives no rows. Words are told
-    apart by hashes of 64 bits, successors of one context by 32.
+    apart by hashes of 64 bits, successors of one context by 32. A context met more than ``slice_tokens``
+    times has its successors dealt to several shards, each with the context's total.
     """
     shards = shards_for(text_bytes(docs), shard_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held, F.lit(False)).alias("held"))
-    ends = rows.where(~F.col("held")).count()
+    ends, texts = rows.agg(F.count_if(~F.col("held")), F.count("*")).first()
+    begins = int(_slices(np.int64(texts), shards, slice_tokens))
     blocks = stored(_blocks(rows, shards, block_chars), "token-blocks")
-    counts = stored(blocks.where("kind = 'words'").groupBy("shard").applyInArrow(_count_words, MESSAGE), "word-counts")
+    counts = stored(blocks.where("kind = 'words'").groupBy("shard").applyInArrow(lambda t: _count_words(t, shards, slice_tokens), MESSAGE), "word-counts")
     sums = counts.where("kind = 'totals'").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "types", "tokens"))).first()
-    totals = {"ends": ends, "n1": sums.n1 + (ends == 1), "n2": sums.n2 + (ends == 2), "types": sums.types + (ends > 0), "tokens": sums.tokens + ends}
+    totals = {"ends": ends, "begins": begins, "n1": sums.n1 + (ends == 1), "n2": sums.n2 + (ends == 2), "types": sums.types + (ends > 0), "tokens": sums.tokens + ends}
     known = blocks.where("kind = 'tokens'").union(counts.where("kind = 'counts'"))
-    asked = known.groupBy("block").applyInArrow(lambda t: _ask(t, shards, ends), MESSAGE)
+    asked = known.groupBy("block").applyInArrow(lambda t: _ask(t, shards, ends, begins), MESSAGE)
     answers = asked.groupBy("shard").applyInArrow(_answer, MESSAGE)
     return known.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda k, t, a: _score(k, t, a, shards, totals), SCORES)

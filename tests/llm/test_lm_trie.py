@@ -113,3 +113,20 @@ def test_edges(spark):
     none = lm.score_documents(frame, F.lit(True)).collect()
     assert len(none) == 5 and {(r.train_tokens, r.score, r.n_known) for r in none} == {(0, 0.0, 0)}
     assert lm.score_documents(frame.limit(0), F.lit(False)).collect() == []
+
+
+def test_frequent_context_is_dealt_to_shards(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"a w{int(20_000 * x**2)}" for x in rng.random(100)), i % 10 == 0) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3)
+    want = brute(rows)
+    for r in lm.score_documents(frame, F.col("held"), block_chars=20_000, slice_tokens=4_000).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
+        assert r.score == pytest.approx(want[r.doc_id][4], rel=0.03)
+    # half of all tokens have one context; its bigrams must not meet in one shard
+    blocks = lm._blocks(frame, 8, 20_000).cache()
+    counts = blocks.where("kind = 'words'").groupBy("shard").applyInArrow(lambda t: lm._count_words(t, 8, 4_000), lm.MESSAGE)
+    known = blocks.where("kind = 'tokens'").union(counts.where("kind = 'counts'"))
+    asked = known.groupBy("block").applyInArrow(lambda t: lm._ask(t, 8, 270, 1), lm.MESSAGE)
+    sizes = [r.n for r in asked.groupBy("shard").agg(F.sum("tokens").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 0.3 * sum(sizes)
