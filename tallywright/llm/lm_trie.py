@@ -1,7 +1,8 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-The model is a bigram model with modified Kneser-Ney discounts, interpolated with discounted unigrams;
-words never seen share the mass that the discounts leave. The corpus is read once into blocks of token
+The model is a bigram model with absolute discounting (three discounts, estimated as in modified
+Kneser-Ney), interpolated with discounted unigrams by their raw counts, not continuation counts; words
+never seen share the mass that the discounts leave. The corpus is read once into blocks of token
 numbers. Shards of the vocabulary count words; shards of contexts count bigrams, build a trie each and
 answer the blocks' questions from it. Blocks send each distinct word and bigram once, with its count, so
 a frequent one costs no more than a rare one.
@@ -9,7 +10,8 @@ a frequent one costs no more than a rare one.
 A trie has two levels, each a flat buffer that can be mapped from a file: contexts with monotone
 pointers into the level below, and successors. The successors of a context are numbers relative to it,
 made monotone over the whole level by adding up the contexts before; both are in Elias-Fano form, and a
-successor is found by a search for the next value inside the range of its context. Probabilities are
+successor is found by a search for the next value inside the range of its context. Opening a trie decodes
+its levels into plain arrays, and the search is on those. Probabilities are
 quantised logarithms of 16 bits, rounded down, so they never add up to more than one.
 """
 
