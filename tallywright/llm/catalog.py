@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, lm_trie, lookup_sketch, packing, quality, repeats, secret_ledger, token_count
+from . import decontaminate, fill_middle, jaccard_join, language, lm_trie, lookup_sketch, packing, quality, repeats, secret_ledger, token_count
 from .frames import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,6 +61,10 @@ def op10_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_language_id": op2_language_id,
@@ -72,7 +76,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_scores": op8_quality_scores,
     "op9_secret_ledger": op9_secret_ledger,
     "op10_lookup_sketch": op10_lookup_sketch,
+    "op11_fill_middle": op11_fill_middle,
 }
 
-# None of these has SQL that runs on whole tables in reasonable time, or any SQL at all, unless it is here.
-ORACLES: dict[str, str] = {}
+# Queries that SQL can express and run over whole tables; tests hold the others against brute force.
+ORACLES: dict[str, str] = {
+    "op11_fill_middle": """
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+            FROM documents
+        ), asked AS (
+            SELECT *,
+                CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS c2,
+                CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS share, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS turn
+            FROM texts
+        ), formed AS (
+            SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+                CASE WHEN n = 0 OR share >= 90 OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') THEN 'plain'
+                    WHEN turn < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM asked
+        ), made AS (
+            SELECT *, substr(body, 1, a) AS prefix, substr(body, a + 1, b - a) AS middle, substr(body, b + 1, n - b) AS suffix FROM formed
+        )
+        SELECT doc_id, n, form,
+            CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN body
+                WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+            sha256(body) AS restored_sha256
+        FROM made
+    """,
+}
