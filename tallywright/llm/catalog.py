@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, jaccard_join, language, lm_trie, lookup_sketch, packing, quality, repeats, secret_ledger, token_count
+from . import decontaminate, fertility, fill_middle, jaccard_join, language, lm_trie, lookup_sketch, packing, quality, repeats, secret_ledger, token_count
 from .frames import table
 
 TOKENIZER = "word_bpe_49k.json"
+VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
 
 
 def held_out(mod: int, rest: int) -> Column:
@@ -65,6 +66,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality_rules(table(spark, sf_dir, "documents"), [public_tokenizers.path(v) for v in VOCABULARIES])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_language_id": op2_language_id,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_ledger": op9_secret_ledger,
     "op10_lookup_sketch": op10_lookup_sketch,
     "op11_fill_middle": op11_fill_middle,
+    "op12_fertility_rules": op12_fertility_rules,
 }
 
 # Queries that SQL can express and run over whole tables; tests hold the others against brute force.
