@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fertility, fill_middle, jaccard_join, language, lm_trie, lookup_sketch, packing, quality, repeats, secret_ledger, token_count
+from . import decontaminate, divergence, fertility, fill_middle, jaccard_join, language, lm_trie, lookup_sketch, packing, quality, repeats, secret_ledger, token_count
 from .frames import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -70,6 +70,10 @@ def op12_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"), [public_tokenizers.path(v) for v in VOCABULARIES])
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_language_id": op2_language_id,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lookup_sketch": op10_lookup_sketch,
     "op11_fill_middle": op11_fill_middle,
     "op12_fertility_rules": op12_fertility_rules,
+    "op13_source_audit": op13_source_audit,
 }
 
 # Queries that SQL can express and run over whole tables; tests hold the others against brute force.
@@ -113,4 +118,43 @@ ORACLES: dict[str, str] = {
             sha256(body) AS restored_sha256
         FROM made
     """,
+    "op13_source_audit": """
+        WITH docs AS (
+            SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+            FROM documents
+        ), words AS (
+            SELECT d, lang, source, unnest(regexp_extract_all(body, '[a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM docs
+        ), kept AS (
+            SELECT lang, term, CAST(count(*) AS HUGEINT) AS c FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+        ), vocabulary AS (
+            SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(c) AS HUGEINT) AS n FROM kept GROUP BY lang
+        ), sources AS (
+            SELECT DISTINCT lang, source FROM docs
+        ), counts AS (
+            SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+        ), totals AS (
+            SELECT lang, source, coalesce(sum(counts.c), 0) AS n FROM sources LEFT JOIN counts USING (lang, source) GROUP BY lang, source
+        ), cells AS (
+            SELECT lang, source, term, coalesce(counts.c, 0) AS c,
+                1 + CAST(1000000000 AS HUGEINT) * (coalesce(counts.c, 0) + 1) // CAST(totals.n + v AS HUGEINT) AS p,
+                1 + CAST(1000000000 AS HUGEINT) * (kept.c + 1) // (vocabulary.n + v) AS q
+            FROM totals JOIN vocabulary USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM cells AS a JOIN cells AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+            GROUP BY a.lang, a.source, b.source
+        ), parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0) AS value
+            FROM sources AS a JOIN sources AS b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM cells WHERE c > 0 AND p > q
+        ), ranked AS (
+            SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+                CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+            FROM parts
+        )
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
