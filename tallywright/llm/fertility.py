@@ -215,11 +215,11 @@ def quality_rules(
     rows = stored(measured(docs, vocabularies, F.col("lang") if group is None else group, key=key, text=text), "fertility")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     rows = rows.withColumns({"base_failed": failed, "cell_class": length_class(F.col("n_words"))})
-    limits = bands(rows.where("not base_failed"), columns, width=width)
+    # one row a cell, stored so that its size is known when the join is planned: small, it goes to the rows
+    limits = stored(bands(rows.where("not base_failed"), columns, width=width), "bands")
     inside = [F.round(c, DIGITS).between(F.col(f"low_{c}"), F.col(f"high_{c}")) for c in columns]
     verdict = ~F.col("base_failed")
     for one in inside:
         verdict = verdict & F.coalesce(one, F.lit(False))
-    # one row a cell: few rows, so that the planner sends them to the rows and not the rows to them
     judged = rows.join(limits, ["cell_group", "cell_class"], "left")
     return judged.select("doc_id", *BASE, "base_failed", verdict.alias("kept"), "cell_group", "n_tokens", *columns)
