@@ -390,6 +390,9 @@ WHERE account_no LIKE '1%' OR account_name ILIKE '%hot anv%' OR account_name ILI
         "expense_pivot": _with(*BOOK, select=f"SELECT account_no, concept, {_pivot('amount', month='load_month')} FROM ledger GROUP BY account_no, concept"),
         # P&L and margin
         "movements_fact": _with(*PNL, *FACT, select=f"SELECT pnl_group, unit, {day('moment')} AS moment, month, concept, account_no, {_cash('amount')} AS amount, detail, party, source, origin FROM fact"),
+        "movements_ordered": _with(*PNL, *FACT, select=f"""SELECT pnl_group, unit, {day('moment')} AS moment, month, concept, account_no, {_cash('amount')} AS amount, detail, party, source, origin,
+  ROW_NUMBER() OVER (ORDER BY unit NULLS LAST, moment NULLS LAST, concept NULLS LAST, account_no NULLS LAST, pnl_group NULLS LAST, month NULLS LAST,
+    amount NULLS LAST, detail NULLS LAST, party NULLS LAST, source NULLS LAST, origin NULLS LAST) AS position FROM fact"""),
         "pnl_long": _with(*PNL, select=f"SELECT unit, pnl_group, concept, month, {_cash('amount')} AS amount FROM pnl"),
         "pnl_long_literal": _with(*_pnl(literal=True), select=f"SELECT unit, pnl_group, concept, month, {_cash('amount')} AS amount FROM pnl"),
         "pnl_pivot": _with(*PNL, select=f"SELECT unit, pnl_group, concept, {_pivot('amount')} FROM pnl GROUP BY unit, pnl_group, concept"),

@@ -22,6 +22,7 @@ from ..operators import accounts as ac
 from ..operators import diagnostics as di
 from ..operators import expenses as ex
 from ..operators import ledger as le
+from ..operators import ordering as od
 from ..operators import parties as pa
 from ..operators import payroll as pay
 from ..operators import purchases as pu
@@ -163,6 +164,10 @@ def _movements(b: Books) -> DataFrame:
     return pl.movements(b, RULES)
 
 
+def _ordered_movements(b: Books) -> DataFrame:
+    return od.with_positions(pl.movements(b, RULES), ["unit", "moment", "concept", "account_no"])
+
+
 def _codes(b: Books) -> DataFrame:
     rows = ex.expenses_monthly(b, RULES).filter(F.col("unit").isin(*RULES.units))
     codes = pl.concept_codes(rows)
@@ -291,6 +296,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "expense_pivot": _query(lambda b: va.expense_pivot(b, RULES, SINCE, REPORT_MONTHS)),
     # P&L and margin
     "movements_fact": _query(_movements),
+    "movements_ordered": _query(_ordered_movements),
     "pnl_long": _query(_pnl),
     "pnl_long_literal": _query(lambda b: pl.pnl_long(b, RULES, literal=True)),
     "pnl_pivot": _query(lambda b: pl.pnl_pivot(_pnl(b), REPORT_MONTHS)),

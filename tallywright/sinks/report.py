@@ -29,7 +29,7 @@ def write_report(
     partition_by: tuple[str, ...] = (),
     sort_within: tuple[str, ...] = (),
 ) -> list[Written]:
-    """One folder per output, partitioned by the given columns where an output has them.
+    """One folder per output, partitioned by the given columns where an output has them, nulls last.
 
     Rows are clustered by the partition columns before the write, so that a task does not open a
     file for every partition; a partition column with few values is spread over many tasks by
@@ -40,7 +40,7 @@ def write_report(
         keys = tuple(c for c in partition_by if c in frame.columns)
         if keys:
             frame = frame.hint("rebalance", *[F.col(k) for k in keys])
-        sort = [c for c in (*keys, *sort_within) if c in frame.columns]
+        sort = [F.col(c).asc_nulls_last() for c in (*keys, *sort_within) if c in frame.columns]
         if sort:
             frame = frame.sortWithinPartitions(*sort)
         done.append(_write(frame, name, os.path.join(folder, name), fmt, keys, {}))
