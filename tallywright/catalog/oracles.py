@@ -394,6 +394,8 @@ WHERE account_no LIKE '1%' OR account_name ILIKE '%hot anv%' OR account_name ILI
   ROW_NUMBER() OVER (ORDER BY unit NULLS LAST, moment NULLS LAST, concept NULLS LAST, account_no NULLS LAST, pnl_group NULLS LAST, month NULLS LAST,
     amount NULLS LAST, detail NULLS LAST, party NULLS LAST, source NULLS LAST, origin NULLS LAST) AS position FROM fact"""),
         "pnl_long": _with(*PNL, select=f"SELECT unit, pnl_group, concept, month, {_cash('amount')} AS amount FROM pnl"),
+        # batches do not show in the result
+        "pnl_late_batches": _with(*PNL, select=f"SELECT unit, pnl_group, concept, month, {_cash('amount')} AS amount FROM pnl"),
         "pnl_long_literal": _with(*_pnl(literal=True), select=f"SELECT unit, pnl_group, concept, month, {_cash('amount')} AS amount FROM pnl"),
         "pnl_pivot": _with(*PNL, select=f"SELECT unit, pnl_group, concept, {_pivot('amount')} FROM pnl GROUP BY unit, pnl_group, concept"),
         "pnl_ordered": _with(*PNL, select=f"SELECT unit, pnl_group, concept, month, {_cash('amount')} AS amount, {_rank('concept', R.concept_order)} AS concept_rank FROM pnl"),

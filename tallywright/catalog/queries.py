@@ -27,13 +27,16 @@ from ..operators import parties as pa
 from ..operators import payroll as pay
 from ..operators import purchases as pu
 from ..operators import sales as sa
+from ..plans import incremental as inc
 from ..plans import margin as ma
 from ..plans import pnl as pl
 from ..plans import statement as st
 from ..plans import variants as va
 from ..rules import ORDERS as RULES
 from ..schemas import Books
-from ..sources.order_books import load_order_books
+from ..sources.order_books import load_order_books, order_books
+from ..sources.tables import load_tables
+from ..storage import new_folder
 
 # Parameters of the catalogued queries.
 AS_OF = dt.date(2001, 8, 1)
@@ -43,6 +46,7 @@ YEARS = (1998, 1999, 2000)
 TOP_N = 3
 RECENT = dt.date(2001, 7, 1)
 REPORT_MONTHS = pe.months_between(dt.date(1996, 1, 1), dt.date(2001, 12, 1))
+LATE_FROM = dt.date(2000, 1, 1)
 CAPITAL_PREFIX = "1"
 SEARCH_WORDS = ("plier#000000001", "SUPPLIER#000000004")
 ACCOUNT_WORDS = ("hot anv", "PLATE")
@@ -232,6 +236,16 @@ def _last_ratio(b: Books) -> DataFrame:
     return di.last_months(pay.payroll_split(b, RULES), ["kind"], 12)
 
 
+def pnl_late_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The P&L of all lines, brought in by two batches: the later one also has lines of closed months."""
+    tables = load_tables(spark, folder)
+    early = F.coalesce(F.col("l_shipdate") < F.lit(LATE_FROM), F.lit(False))
+    store = inc.PnlStore(spark, new_folder(spark, "pnl"), RULES).create()
+    for name, part in (("early", early), ("late", ~early)):
+        store.apply(order_books(tables.replaced(lineitem=tables["lineitem"].filter(part))), name)
+    return present(store.pnl())
+
+
 def _suppliers(name: str) -> Callable[[Books], DataFrame]:
     return lambda b: pa.supplier_outputs(b, AS_OF, RECENT)[name]
 
@@ -298,6 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "movements_fact": _query(_movements),
     "movements_ordered": _query(_ordered_movements),
     "pnl_long": _query(_pnl),
+    "pnl_late_batches": pnl_late_batches,
     "pnl_long_literal": _query(lambda b: pl.pnl_long(b, RULES, literal=True)),
     "pnl_pivot": _query(lambda b: pl.pnl_pivot(_pnl(b), REPORT_MONTHS)),
     "pnl_ordered": _query(lambda b: pl.pnl_ordered(_pnl(b), RULES)),

@@ -120,16 +120,18 @@ def payroll_cutoff(cells: DataFrame) -> DataFrame:
     Written as a conditional aggregate without a filter, so that as a scalar subquery it reads
     the very same shuffle as the frame it is compared with.
     """
-    return cells.agg(F.max(F.when(_is_salary_cell(), F.col("month"))).alias("cutoff"))
+    return cells.agg(F.max(F.when(is_salary_cell(), F.col("month"))).alias("cutoff"))
 
 
-def _is_salary_cell() -> Column:
+def is_salary_cell() -> Column:
     return (F.col("role") == ACCRUAL) & (F.col("kind") == R.SALARIES) & F.col("amount").isNotNull()
 
 
-def payroll_months(cells: DataFrame, rules: Rules, per_unit_cutoff: bool = False) -> DataFrame:
+def payroll_months(cells: DataFrame, rules: Rules, per_unit_cutoff: bool = False, cutoff: Column | None = None) -> DataFrame:
     """Hybrid payroll by unit, kind, sub-class and month.
 
+    ``cutoff`` is the last closed month where it is known; else it is looked up in the cells.
+
     Closed months: accrued amounts. Later months: liability salaries as they are, and the pooled
     charges of the month split by each unit's share of the month's salaries. Pool months without
     salaries vanish, a month without pool gives zero charges.
@@ -148,7 +150,7 @@ def payroll_months(cells: DataFrame, rules: Rules, per_unit_cutoff: bool = False
         closed = F.col("month") <= F.col("cutoff")
         later = F.col("month") > F.col("cutoff")
     else:
-        cutoff = payroll_cutoff(cells).scalar()
+        cutoff = payroll_cutoff(cells).scalar() if cutoff is None else cutoff
         closed = F.col("month") <= cutoff
         later = F.col("month") > cutoff
     # pool rows carry no unit, so the later months are kept for every unit here and the

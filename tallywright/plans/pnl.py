@@ -48,6 +48,11 @@ def pnl_long(
     costs = ex.expenses_monthly(books, rules, literal, consistent=not literal).select(
         "unit", "month", "concept", F.col("amount").cast(AMOUNT).alias("amount")
     )
+    return assemble(sales, payroll, costs, rules)
+
+
+def assemble(sales: DataFrame, payroll: DataFrame, costs: DataFrame, rules: Rules) -> DataFrame:
+    """Long P&L of the monthly rows (unit, month, concept, amount) of its three parts."""
     rows = sales.unionByName(payroll).unionByName(costs).filter(F.col("unit").isin(*rules.units))
     rows = rows.withColumn("concept", cl.with_order_prefix(F.col("concept")))
     # month and concept are never null here; testing them again would only set the payroll part
