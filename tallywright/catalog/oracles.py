@@ -385,6 +385,15 @@ WHERE account_no LIKE '1%' OR account_name ILIKE '%hot anv%' OR account_name ILI
         "expenses_selected_literal": _with(*BOOK, *_expenses(TWICE, overrides=False), select=f"SELECT account_no, concept, COUNT(*) AS n, {_cash('SUM(amount)')} AS amount FROM expenses GROUP BY account_no, concept"),
         "expenses_flipped": _with(*BOOK, *_expenses(), select=f"SELECT month, regexp_matches(detail, ' R$') AS flipped, COUNT(*) AS n, {_cash('SUM(amount)')} AS amount FROM expenses GROUP BY 1, 2"),
         "expenses_overrides": _with(*BOOK, *_expenses(), select=f"SELECT party, CASE WHEN {DA} THEN 'B' ELSE unit END AS unit, CASE WHEN {DA} THEN '01-Otros DA' ELSE concept END AS concept, COUNT(*) AS n, {_cash('SUM(amount)')} AS amount FROM expenses WHERE {DA} OR party IN ('Supplier#000000003', 'Supplier#000000007') GROUP BY 1, 2, 3"),
+        "expenses_rule_table": _with(*BOOK, *_expenses(overrides=False), """named AS (SELECT DISTINCT p_name AS item FROM part WHERE p_name IS NOT NULL)""",
+            """moved AS (
+  SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'B' ELSE unit END AS unit, CASE WHEN s_suppkey IS NULL THEN concept ELSE replace(concept, 'Economy ', 'Promo ') END AS concept, detail, amount
+  FROM expenses LEFT JOIN (SELECT s_name, MIN(s_suppkey) AS s_suppkey FROM supplier GROUP BY s_name) ON s_name = party)""",
+            """ruled AS (
+  SELECT detail, arg_min({'u': CASE WHEN contains(item, 'e') THEN 'A' END, 'c': CASE WHEN item > 'm' THEN '02-' || item END},
+      (length(item), CASE WHEN contains(item, 'e') THEN 'A' ELSE '' END, CASE WHEN item > 'm' THEN '02-' || item ELSE '' END)) AS rule
+  FROM (SELECT DISTINCT detail FROM moved) JOIN named ON contains(lower(detail), lower(item)) GROUP BY detail)""",
+            select=f"SELECT COALESCE(rule.u, unit) AS unit, COALESCE(rule.c, concept) AS concept, COUNT(*) AS n, {_cash('SUM(amount)')} AS amount FROM moved LEFT JOIN ruled USING (detail) GROUP BY ALL"),
         "expenses_monthly": _with(*BOOK, *_expenses(), _expense_month(), select=f"SELECT unit, month, account_no, concept, {_cash('amount')} AS amount FROM expense_month"),
         "expense_codes": _with(*BOOK, *_expenses(), _expense_month(), select=f"SELECT concept, account_no, (SELECT {_cash('SUM(amount)')} FROM expense_month t WHERE t.concept = c.concept) AS amount FROM (SELECT DISTINCT concept, account_no FROM expense_month) c"),
         "expense_pivot": _with(*BOOK, select=f"SELECT account_no, concept, {_pivot('amount', month='load_month')} FROM ledger GROUP BY account_no, concept"),

@@ -26,6 +26,7 @@ from ..operators import ordering as od
 from ..operators import parties as pa
 from ..operators import payroll as pay
 from ..operators import purchases as pu
+from ..operators import rule_table as rt
 from ..operators import sales as sa
 from ..plans import incremental as inc
 from ..plans import margin as ma
@@ -236,6 +237,29 @@ def _last_ratio(b: Books) -> DataFrame:
     return di.last_months(pay.payroll_split(b, RULES), ["kind"], 12)
 
 
+def _rule_table(b: Books) -> DataFrame:
+    """Rules taken from the tables: one on every supplier's name, one on every item name in the detail."""
+    number = F.col("origin_id").cast("long")
+    none = F.lit(None).cast("string")
+    by_party = b["origin_party"].select(
+        number.alias("priority"), F.lit("party").alias("field"), F.lit(rt.EQUALS).alias("test"), F.lower("party").alias("pattern"),
+        F.when(number % 3 == 0, "B").alias("unit"), F.lit("Economy ").alias("find"), F.lit("Promo ").alias("replace"), none.alias("concept"),
+    )
+    by_detail = b["account"].select("item_name").where(F.col("item_name").isNotNull()).distinct().select(
+        F.length("item_name").cast("long").alias("priority"), F.lit("detail").alias("field"), F.lit(rt.CONTAINS).alias("test"), F.upper("item_name").alias("pattern"),
+        F.when(F.col("item_name").contains("e"), "A").alias("unit"), none.alias("find"), none.alias("replace"),
+        F.when(F.col("item_name") > "m", F.concat(F.lit("02-"), F.col("item_name"))).alias("concept"),
+    )
+    return by_party.unionByName(by_detail)
+
+
+def _by_rule_table(b: Books) -> DataFrame:
+    rules = _rule_table(b)
+    rows = rt.apply_rules(_expenses(b, with_overrides=False), rules, "party")
+    rows = rt.apply_rules(rows, rules, "detail")
+    return rows.groupBy("unit", "concept").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+
+
 def pnl_late_batches(spark: SparkSession, folder: str) -> DataFrame:
     """The P&L of all lines, brought in by two batches: the later one also has lines of closed months."""
     tables = load_tables(spark, folder)
@@ -305,6 +329,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "expenses_selected_literal": _query(lambda b: _expense_totals(b, literal=True)),
     "expenses_flipped": _query(_flipped),
     "expenses_overrides": _query(_overridden),
+    "expenses_rule_table": _query(_by_rule_table),
     "expenses_monthly": _query(lambda b: ex.expenses_monthly(b, RULES)),
     "expense_codes": _query(_codes),
     "expense_pivot": _query(lambda b: va.expense_pivot(b, RULES, SINCE, REPORT_MONTHS)),
