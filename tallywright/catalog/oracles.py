@@ -350,6 +350,7 @@ FROM orders JOIN customer ON c_custkey = o_custkey QUALIFY ROW_NUMBER() OVER (PA
   FROM orders JOIN customer ON c_custkey = o_custkey QUALIFY ROW_NUMBER() OVER (PARTITION BY c_name ORDER BY o_orderdate, o_orderkey) = 1) GROUP BY month, unit""",
         # ledger and accounts
         "ledger_fact": _with(*BOOK, select=f"SELECT journal_id, {day('accounting_at')} AS accounting_at, {day('loaded_at')} AS loaded_at, CAST(amount AS DOUBLE) AS amount, side, account_no, concept, origin, detail, party FROM ledger"),
+        "ledger_co_located": _with(*BOOK, select=f"SELECT journal_id, {day('accounting_at')} AS accounting_at, {day('loaded_at')} AS loaded_at, CAST(amount AS DOUBLE) AS amount, side, account_no, concept, origin, detail, party FROM ledger"),
         "ledger_line_first": _with(LINES, BY_DATE, select=f"SELECT account_no, concept, detail, CAST(amount AS DOUBLE) AS amount, {day('accounting_at')} AS accounting_at FROM dated WHERE {ABOVE} AND {RESULT_FILTER}"),
         "ledger_by_party": _with(LINES, BY_DATE, select=f"SELECT account_no, concept, detail, CAST(amount AS DOUBLE) AS amount, {day('accounting_at')} AS accounting_at, party FROM dated WHERE {ABOVE}"),
         "ledger_by_movement": _with(LINES, BY_DATE, select=f"SELECT party, COUNT(*) AS n, {_cash('SUM(amount)')} AS amount FROM dated WHERE {ABOVE} GROUP BY party"),

@@ -35,6 +35,7 @@ from ..plans import statement as st
 from ..plans import variants as va
 from ..rules import ORDERS as RULES
 from ..schemas import Books
+from ..sources.co_located import store_ledger
 from ..sources.order_books import load_order_books, order_books
 from ..sources.tables import load_tables
 from ..storage import new_folder
@@ -96,6 +97,13 @@ def _ledger_fact(b: Books) -> DataFrame:
     )
 
 
+def ledger_co_located(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole ledger from bucketed tables."""
+    path = new_folder(spark, "ledger")
+    books = store_ledger(load_order_books(spark, folder), path, "co_" + path.rsplit("-", 1)[-1], buckets=16)
+    return present(_ledger_fact(books))
+
+
 def _signed_by_account(b: Books) -> DataFrame:
     rows = le.postings(b, RULES, b["account"])
     return rows.groupBy("account_no").agg(
@@ -284,6 +292,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "new_customers": _query(lambda b: sa.new_customers(b, RULES)),
     # ledger and accounts
     "ledger_fact": _query(_ledger_fact),
+    "ledger_co_located": ledger_co_located,
     "ledger_line_first": _query(
         lambda b: le.result_line_filter(le.ledger_line_first(b, RULES, LONG_SINCE), RULES).select(
             "account_no", "concept", "detail", "amount", "accounting_at"

@@ -31,16 +31,29 @@ def ledger_fact(
     an outer join it does not know to be one-to-one.
     """
     accounts = account_names(books["account"]) if accounts is None else accounts
-    fact = books["journal"].join(books["journal_line"], "journal_id", "left").filter(
-        F.col("loaded_at") >= F.lit(since or rules.ledger_since)
-    )
+    if "co_line" in books:
+        fact = books["co_journal"].join(books["co_line"], "journal_id", "left").unionByName(books["hot_posting"])
+    else:
+        fact = books["journal"].join(books["journal_line"], "journal_id", "left")
+    fact = _loaded_since(fact, since or rules.ledger_since)
     return _finish(fact.join(accounts, "account_id", "left"), books, rules, with_party)
 
 
+def _loaded_since(rows: DataFrame, since: dt.date) -> DataFrame:
+    """Rows loaded from a date on. Where files are laid out by load month, earlier months are not opened."""
+    rows = rows.filter(F.col("loaded_at") >= F.lit(since))
+    if "load_month" in rows.columns:
+        rows = rows.filter(F.col("load_month") >= F.lit(f"{since:%Y-%m}")).drop("load_month")
+    return rows
+
+
 def journal_rows(books: Books, accounts: DataFrame) -> DataFrame:
-    """Lines with account and journal: from the prepared posting table if the books have one."""
+    """Lines with account and journal: from the prepared posting table or the co-located tables if the books have them."""
     if "posting" in books:
         return books["posting"].join(accounts, "account_id")
+    if "co_line" in books:
+        cold = books["co_line"].join(accounts, "account_id").join(books["co_journal"], "journal_id")
+        return cold.unionByName(books["hot_posting"].join(accounts, "account_id"))
     return books["journal_line"].join(accounts, "account_id").join(books["journal"], "journal_id")
 
 
@@ -56,7 +69,7 @@ def prepare_postings(books: Books, path: str) -> Books:
     laid_out = joined.withColumn("load_month", month).hint("rebalance", F.col("load_month"))
     laid_out.sortWithinPartitions("load_month", "account_id").write.mode("overwrite").partitionBy("load_month").parquet(path)
     spark = joined.sparkSession
-    return books.replaced(posting=spark.read.schema(joined.schema).parquet(path))
+    return books.replaced(posting=spark.read.schema(laid_out.schema).parquet(path))
 
 
 def postings(
@@ -73,8 +86,8 @@ def postings(
     (the widest shuffle) only carries lines of interest, and a short list is broadcast by Spark
     once its size is known.
     """
-    date = "accounting_at" if by_accounting_date else "loaded_at"
-    fact = journal_rows(books, accounts).filter(F.col(date) >= F.lit(since or rules.ledger_since))
+    fact, floor = journal_rows(books, accounts), since or rules.ledger_since
+    fact = fact.filter(F.col("accounting_at") >= F.lit(floor)).drop("load_month") if by_accounting_date else _loaded_since(fact, floor)
     return _finish(fact, books, rules, with_party)
 
 
