@@ -26,7 +26,7 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language.fit(language.training_rows(docs.where(~held_out(5, 0))))
+    model = language.learn(docs.where(~held_out(5, 0)))
     return language.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "n_spans")
 
 

@@ -16,13 +16,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a new one is made and set."""
+    """The folder of ``spark.checkpoint.dir``. Only a session on one machine may do without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="llm-shared-"))
+    return _LOCAL[0]
+
+
+def free_name(frame: DataFrame, wanted: str) -> str:
+    """A column name that the frame does not have, whatever the case of letters."""
+    taken = {c.lower() for c in frame.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """The one large object a worker process keeps between tasks; another one takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Drop what earlier tasks of this worker process kept, before work that needs the memory."""
+    _HELD.clear()
 
 
 def stored(frame: DataFrame, what: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import by_size, components, mixed, signed, stored, summed_cells, texts_of, word_hashes, words_of
+from .frames import by_size, components, free_name, mixed, signed, stored, summed_cells, texts_of, word_hashes, words_of
 
 CELLS = 1 << 20
 WORDS = 5
@@ -434,5 +434,6 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     order = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
-    found = docs.join(keep, "doc_id", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order)))
-    return found.where("__n = 1").drop("__n").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    number = free_name(docs, "row_number")
+    found = docs.join(keep, "doc_id", "left_semi").withColumn(number, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order)))
+    return found.where(F.col(number) == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))

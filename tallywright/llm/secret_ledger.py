@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import stored
+from .frames import free_name, stored
 
 
 @dataclass(frozen=True)
@@ -147,11 +147,15 @@ def redact(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RU
     # text from the end of all earlier spans up to this one; a span inside an earlier one adds nothing
     parts = parts.where(F.col("stop") > F.col("from")).withColumn("fresh", F.col("start") >= F.col("from"))
     cuts = parts.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "from", "fresh", "stop"))).alias("cuts"), F.max("stop").alias("tail"))
-    key, names = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), docs.columns
-    joined = docs.withColumn("__blob", key).join(cuts.withColumnRenamed("blob", "__blob"), "__blob", "left")
-    kept = F.transform("cuts", lambda c: F.when(c["fresh"], F.concat(F.substring("text", c["from"] + 1, c["start"] - c["from"]), F.lit(mark))).otherwise(""))
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), F.substring("text", F.col("tail") + 1, F.char_length("text"))))
+    # the documents' own columns keep their names, whatever they are: the cuts come in as one column of a free name
+    blob, found, names = free_name(docs, "blob_key"), free_name(docs, "blob_cuts"), docs.columns
+    key = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    marked = cuts.select(F.col("blob").alias(blob), F.struct("cuts", "tail").alias(found))
+    joined = docs.withColumn(blob, key).join(marked, blob, "left")
+    pieces, none = F.col(found)["cuts"], F.col(found).isNull()
+    kept = F.transform(pieces, lambda c: F.when(c["fresh"], F.concat(F.substring("text", c["from"] + 1, c["start"] - c["from"]), F.lit(mark))).otherwise(""))
+    text = F.when(none, F.col("text")).otherwise(F.concat(F.array_join(kept, ""), F.substring("text", F.col(found)["tail"] + 1, F.char_length("text"))))
     out = joined.withColumn("text", text)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(none, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*names)

@@ -25,6 +25,8 @@ import unicodedata
 
 import numpy as np
 
+from .frames import held
+
 # character classes
 SPACE, LETTER, NUMBER, OTHER, QUOTE, S, T, M, D, R, V, L, E = range(13)
 _LETTERS = {"'": QUOTE, "s": S, "t": T, "m": M, "d": D, "r": R, "v": V, "l": L, "e": E}
@@ -116,7 +118,7 @@ def _chunk_maps(columns: np.ndarray, flat: np.ndarray, width: int) -> np.ndarray
 class Transducer:
     """Counts and ids for a byte-level BPE file with an end-of-word suffix."""
 
-    def __init__(self, path: str, max_states: int = 400_000):
+    def __init__(self, path: str, max_states: int = 200_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -246,17 +248,18 @@ class Transducer:
         self.next = np.full((1024, 32), -1, np.int32)
         self.last = np.full(1024, -1, np.int32)
         self.end_add = np.full((1024, 32), -128, np.int8)
-        self.end_last = np.full((1024, 32), -1, np.int32)
+        self.end_last = np.zeros((1024, 32), np.uint16 if self.size <= 1 << 16 else np.int32)
 
     def _fit(self) -> None:
         rows, columns = self.next.shape
         if len(self.keys) <= rows and self.used <= columns:
             return
+        # tables grow by a quarter: doubling them would leave up to half of a worker's memory empty
         while len(self.keys) > rows:
-            rows *= 2
+            rows += max(1024, rows // 4)
         while self.used > columns:
-            columns *= 2
-        for name, fill in (("next", -1), ("end_add", -128), ("end_last", -1)):
+            columns += 16
+        for name, fill in (("next", -1), ("end_add", -128), ("end_last", 0)):
             old = getattr(self, name)
             new = np.full((rows, columns), fill, old.dtype)
             new[: old.shape[0], : old.shape[1]] = old
@@ -290,6 +293,8 @@ class Transducer:
             self.keys.append(key)
             self._fit()
             self.last[to] = token
+        if not -16 <= change < 16:
+            raise ValueError("a change in the number of tokens does not fit its five bits")
         self.next[state, column] = to << 5 | change + 16
 
     def _columns_of(self, data: np.ndarray) -> np.ndarray:
@@ -421,12 +426,6 @@ class Transducer:
         return total, tokens
 
 
-_CACHE: dict[tuple[str, int], Transducer] = {}
-
-
-def transducer(path: str, max_states: int = 400_000) -> Transducer:
-    """One machine for each tokenizer file in a worker process; it keeps what it has compiled."""
-    key = (path, max_states)
-    if key not in _CACHE:
-        _CACHE[key] = Transducer(path, max_states)
-    return _CACHE[key]
+def transducer(path: str, max_states: int = 200_000) -> Transducer:
+    """One machine in a worker process; it keeps what it has compiled, up to ``max_states``."""
+    return held((path, max_states), lambda: Transducer(path, max_states))
