@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: the stages of the corpus pipeline."""
+"""From raw documents to packed training sequences: the stages of the corpus pipeline.
+
+Every stage takes an empty table, keeps the columns it is given (the last one gives pieces) and reads none
+but ``doc_id``, ``text`` and, where it says so, ``lang``; other columns may have any name. Ties go to the
+lesser id.
+"""
 
 from __future__ import annotations
 
@@ -17,28 +22,45 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which half the letters or more are in one learned language; ``lang`` is set to it."""
-    model = language.fit(language.training_rows(docs.where(~held_out(5, 0))))
+    """Documents of which half the letters or more are in one learned language; ``lang`` is set to it.
+
+    Learned from rows with text and ``lang`` that are not held out. Null, empty and letterless texts go;
+    repeated rows and rows without an id are judged each like any other.
+    """
+    model = language.learn(docs.where(~held_out(5, 0)))
     return language.with_language(docs, model, least=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id."""
+    """One document of each group of near duplicates, that of the least id.
+
+    Of repeated rows one stays. Rows without an id stay, linked or not; a text without words is linked to
+    none.
+    """
     return jaccard_join.without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without leaked benchmark items."""
+    """Documents without leaked benchmark items.
+
+    Null and empty texts leak nothing and stay; repeated rows and rows without an id are judged each.
+    """
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced."""
+    """All documents, secrets in their texts replaced and ``n_chars``, where there is one, set anew.
+
+    A null text stays null; repeated rows are changed alike.
+    """
     return secret_ledger.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 4096 tokens."""
+    """Pieces of all documents with their places in sequences of 4096 tokens.
+
+    A null text is empty: its piece is the end token alone. Repeated rows are packed each.
+    """
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), capacity=4096, end_id=1)
 
 
