@@ -236,7 +236,7 @@ def _judged(texts: list[str], model: Model, penalty: float) -> list[tuple[str, f
     return [(model.languages[k] if x else UNDETERMINED, m / e if x else 0.0, s) for x, k, m, e, s in zip(named.tolist(), best.tolist(), most.tolist(), every.tolist(), spans)]
 
 
-def identify(docs: DataFrame, model: Model, *, penalty: float = 12.0, slice_chars: int = 3_000_000) -> DataFrame:
+def identify(docs: DataFrame, model: Model, *, penalty: float = 12.0, slice_chars: int = 1_000_000) -> DataFrame:
     """``doc_id, lang_pred, score, n_spans`` of every row of ``doc_id, text``.
 
     ``score`` is the share of the letters that stand in spans of ``lang_pred``; ties go to the language
@@ -259,7 +259,7 @@ def identify(docs: DataFrame, model: Model, *, penalty: float = 12.0, slice_char
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(label, schema)
 
 
-def with_language(docs: DataFrame, model: Model, *, least: float = 0.5, penalty: float = 12.0, slice_chars: int = 3_000_000) -> DataFrame:
+def with_language(docs: DataFrame, model: Model, *, least: float = 0.5, penalty: float = 12.0, slice_chars: int = 1_000_000) -> DataFrame:
     """The documents of which at least ``least`` of the letters are in one language, ``lang`` set to it.
 
     A null text and a text without letters go. Repeated rows are judged each; all other columns stay as
