@@ -189,7 +189,7 @@ def _codes(b: Books) -> DataFrame:
 
 
 def _top(b: Books) -> DataFrame:
-    return st.top_parties(st.party_months(pl.movements(b, RULES), YEARS), TOP_N).drop("position", "pnl_group", "months")
+    return st.top_parties(st.party_months(pl.movements(b, RULES), YEARS), TOP_N).drop("position", "pnl_group")
 
 
 def _party_pivot(b: Books) -> DataFrame:

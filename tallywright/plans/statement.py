@@ -21,19 +21,26 @@ def party_months(fact: DataFrame, years: tuple[int, ...] | None = None) -> DataF
     )
 
 
+def party_totals(by_month: DataFrame) -> DataFrame:
+    """Sum of absolute monthly amounts of every party: one number each, whatever months it has."""
+    return by_month.groupBy("unit", "pnl_group", "concept", "party").agg(F.sum(F.abs("amount")).alias("total"))
+
+
 def top_parties(by_month: DataFrame, n: int) -> DataFrame:
     """The ``n`` parties per unit and concept with the largest sum of absolute monthly amounts.
 
-    Ties go by name. Each party carries its monthly amounts along (one entry per calendar
-    month), so the winners need no second look at the fact. The rank filter reaches below the
-    shuffle (window group limit): a task sends at most ``n`` parties per concept, however many
-    parties a concept has.
+    Ties go by name. Only totals are ranked, and the rank filter reaches below the shuffle (window group
+    limit): a task holds and sends at most ``n`` parties per concept, however many parties and months a
+    concept has.
     """
-    totals = by_month.groupBy("unit", "pnl_group", "concept", "party").agg(
-        F.sum(F.abs("amount")).alias("total"), F.collect_list(F.struct("month", "amount")).alias("months")
-    )
     order = Window.partitionBy("unit", "concept").orderBy(F.col("total").desc(), F.col("party"))
-    return totals.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
+    return party_totals(by_month).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
+
+
+def months_of(best: DataFrame, by_month: DataFrame) -> DataFrame:
+    """Monthly amounts of the chosen parties alone: the few winners are joined back to the months."""
+    keys = ["unit", "pnl_group", "concept", "party"]
+    return by_month.join(best.select(*keys), keys, "left_semi")
 
 
 def statement_rows(
@@ -80,16 +87,17 @@ def statement_rows(
         return lines
     # only concepts that have a line of their own are opened up
     shown = rows.select("unit", "concept").distinct()
-    best = top_parties(party_months(fact, years), n).join(shown, ["unit", "concept"], "left_semi")
-    details = best.withColumn("cell", F.explode("months")).select(
+    by_month = party_months(fact, years)
+    best = top_parties(by_month, n).join(shown, ["unit", "concept"], "left_semi")
+    details = months_of(best, by_month).select(
         "unit",
         F.col("pnl_group").alias("section"),
         F.lit(2).alias("level"),
         "concept",
         "party",
         tx.short_label(F.col("party")).alias("label"),
-        F.col("cell.month").alias("month"),
-        F.col("cell.amount").alias("amount"),
+        "month",
+        "amount",
     )
     return lines.unionByName(details)
 

@@ -140,6 +140,21 @@ def test_top_parties_ties_go_by_name(spark):
     assert {r["party"] for r in st.top_parties(months, 2).collect()} == {"c", "a"}
 
 
+def test_top_parties_hold_totals_only(spark, small):
+    # nothing that grows with months or parties is collected on the way to the winners
+    for name in ("topn_counterparty", "statement_rows"):
+        plan = plan_of(QUERIES[name](spark, small))
+        assert "collect_list" not in plan and re.search(r"WindowGroupLimit .*Partial", plan)
+
+
+def test_months_of_winners_only(spark):
+    rows = [("A", "g", "x", p, m, a) for p, m, a in (("b", "1", 5.0), ("b", "2", -5.0), ("a", "1", 9.0), ("c", "1", 1.0))]
+    months = spark.createDataFrame(rows, "unit string, pnl_group string, concept string, party string, month string, amount double")
+    best = st.top_parties(months, 1)
+    assert [(r["party"], r["total"]) for r in best.collect()] == [("b", 10.0)]
+    assert sorted((r["party"], r["month"], r["amount"]) for r in st.months_of(best, months).collect()) == [("b", "1", 5.0), ("b", "2", -5.0)]
+
+
 def test_reconcile_frames_is_full_outer(spark):
     left = spark.createDataFrame([(dt.date(2024, 1, 1), 1.0)], "month date, amount double")
     right = spark.createDataFrame([(dt.date(2024, 2, 1), 2.0)], "month date, amount double")

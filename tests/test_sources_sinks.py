@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import threading
 from decimal import Decimal
 
 import pytest
@@ -91,3 +92,48 @@ def test_latest_rates(spark):
     rates = spark.createDataFrame([(i, float(i)) for i in range(40)], "rate_id int, rate double")
     got = [r["rate_id"] for r in latest_rates(Books({"fx_rate": lambda: rates}), 3).collect()]
     assert got == [39, 38, 37]
+
+
+def test_rows_and_rejects_are_all_lines(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    good = ["b'2026-01',2026-01-05,3,1.10,ok", ",,,,", "2026-02,2026-01-06 10:00:00, 4 ,-2,ok"]
+    bad = ["2026-01,2026-01-05,3", "2026-01,no date,x,1.10,two cells", "2026-1,2026-01-05,3,1.105,month and cents", "2026-01,2026-01-05,3,1.10,too,many", "2026-01,2026-01-05,3.5,1.1,part"]
+    path.write_text("Mes,Fecha,Cant,Total,Nota\n" + "\n".join(good + bad * 3) + "\n", encoding="utf-8")
+    read = files.load_checked_csv(spark, str(path), ("Mes", "Fecha", "Cant", "Total", "Nota"), months=("Mes",), moments=("Fecha",), decimals=("Total",), integers=("Cant",))
+    assert (read.lines, read.kept, read.rows.count(), read.rejects.count()) == (18, 3, 3, 15)
+    assert read.reasons == {"record": 6, "Mes": 3, "Fecha": 3, "Cant": 6, "Total": 3}
+    rows = sorted(map(tuple, read.rows.collect()), key=str)
+    assert rows == sorted([("2026-01", dt.datetime(2026, 1, 5), 3, Decimal("1.10"), "ok"), (None, None, None, None, None), ("2026-02", dt.datetime(2026, 1, 6, 10), 4, Decimal("-2.00"), "ok")], key=str)
+    # a rejected line is there as it was written, once for each time it was
+    assert sorted(r["line"] for r in read.rejects.collect()) == sorted(bad * 3)
+    assert {r["line"]: r["reasons"] for r in read.rejects.collect()}["2026-01,no date,x,1.10,two cells"] == ["Fecha", "Cant"]
+
+
+def test_an_empty_export_has_no_lines(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("A,B\n", encoding="utf-8")
+    read = files.load_checked_csv(spark, str(tmp_path / "in.csv"), ("A", "B"), integers=("B",))
+    assert (read.lines, read.kept, read.reasons, read.rows.count(), read.rejects.count()) == (0, 0, {}, 0, 0)
+
+
+def test_exports_run_side_by_side_and_one_failure_is_its_own(spark, long, tmp_path):
+    bad = long.select(F.raise_error(F.lit("broken query")).alias("x"))
+    meeting = threading.Barrier(3)
+
+    def together(frame):
+        def plan():
+            meeting.wait(60)  # three exports are planned at one time, or none
+            return frame
+
+        return plan
+
+    def unplanned():
+        return long.select("no_such_column")
+
+    queries = {"a": together(long), "bad": together(bad), "b": together(long.limit(1)), "unplanned": unplanned, "c": spark.range(5)}
+    done = report.export_all(queries, str(tmp_path), at_once=3)
+    assert [d.name for d in done] == list(queries)
+    got = {d.name: d for d in done}
+    assert (got["a"].rows, got["b"].rows, got["c"].rows) == (3, 1, 5)
+    assert all(got[name].rows is None and got[name].error for name in ("bad", "unplanned"))
+    assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 5
+    assert report.export_all({}, str(tmp_path)) == []
