@@ -179,10 +179,22 @@ def summed_cells(rows: DataFrame, count, cells: int) -> np.ndarray:
         total = np.zeros(cells, np.int64)
         for batch in batches:
             total += np.bincount(count(batch), minlength=cells)
-        for k in range(0, cells, CHUNK):
-            part = total[k : k + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["k", "v"])
+        for k, v in cell_parts(total):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v], pa.binary())], names=["k", "v"])
+
+    return merged_cells(rows.mapInArrow(add, "k int, v binary"), cells)
+
+
+def cell_parts(total: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A task's sums as packed parts (first cell, counts); parts without a count are left out."""
+    for k in range(0, len(total), CHUNK):
+        part = total[k : k + CHUNK]
+        if part.any():
+            yield k, _packed(part)
+
+
+def merged_cells(parts: DataFrame, cells: int) -> np.ndarray:
+    """The sums over all parts ``k, v`` of all tasks."""
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
@@ -193,7 +205,7 @@ def summed_cells(rows: DataFrame, count, cells: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(v)], pa.binary())], names=["k", "v"])
 
     out = np.zeros(cells, np.int64)
-    for r in rows.mapInArrow(add, "k int, v binary").repartition(8, "k").mapInArrow(merge, "k int, v binary").collect():
+    for r in parts.repartition(8, "k").mapInArrow(merge, "k int, v binary").collect():
         out[r.k : r.k + min(CHUNK, cells)] = _unpacked(r.v)
     return out
 

@@ -12,9 +12,10 @@ fixed size, so a passage that many documents share hardly makes buckets.
 1. Equal shingle sets are one class; buckets hold classes, and buckets with equal members count once.
 2. In each bucket, in blocks if it is large, the R-tree finds the pairs whose counts leave room for a link.
    A spanning forest of them, closest pairs first, is verified: links in number linear in the bucket join
-   most groups of near copies.
-3. In buckets whose classes are still in several components, all pairs of different components that the
-   tree leaves are verified. No pair is dropped: a pair left out is already connected.
+   most groups of near copies. This is done for the first buckets of each class, then for all buckets
+   whose classes are still in several components.
+3. In buckets that are so even then, all pairs of different components that the tree leaves are
+   verified. No pair is dropped: a pair left out is already connected.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import by_size, components, free_name, mixed, signed, stored, summed_cells, texts_of, word_hashes, words_of
+from .frames import by_size, cell_parts, components, free_name, merged_cells, mixed, ragged, signed, stored, summed_cells, texts_of, word_hashes, words_of
 
 CELLS = 1 << 20
 WORDS = 5
@@ -73,27 +74,53 @@ def set_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def groups_for(size: int) -> int:
-    """Groups of a set's count vector: one for each two shingles or fewer, so unlike shingles seldom fall together."""
-    return min(1 << 16, max(8, 1 << int(np.ceil(np.log2(max(size, 2) / 2)))))
+    """Groups of a set's count vector: eight or more for each shingle, so unlike shingles seldom fall together."""
+    return min(1 << 16, max(64, 1 << int(np.ceil(np.log2(8 * max(size, 1))))))
 
 
 def count_vector(values: np.ndarray) -> bytes:
-    """Counts by group, in bytes where they fit; the first byte is the width of a count."""
-    groups = groups_for(len(values))
-    count = np.bincount(((values >> np.uint64(20)) & np.uint64(groups - 1)).astype(np.intp), minlength=groups)
-    return b"\x01" + count.astype(np.uint8).tobytes() if count.max() < 256 else b"\x04" + count.astype(np.uint32).tobytes()
-
-
-def counts_of(vector: bytes) -> np.ndarray:
-    return np.frombuffer(vector, np.uint8 if vector[0] == 1 else np.uint32, offset=1)
-
-
-def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
-    """Vectors in fewer groups: groups that fall together are added."""
-    while vectors.shape[-1] > groups:
-        half = vectors.shape[-1] // 2
-        vectors = vectors[..., :half].astype(np.uint32) + vectors[..., half:]
-    return vectors
+    """The count vector as gaps between the sorted group numbers, a byte each; 255 adds to the gap that follows."""
+    group = np.sort(((values >> np.uint64(20)) & np.uint64(groups_for(len(values)) - 1)).astype(np.int64))
+    jumps, rest = np.divmod(np.diff(group, prepend=0), 255)
+    out = np.full(len(group) + int(jumps.sum()), 255, np.uint8)
+    out[np.arange(len(group)) + np.cumsum(jumps)] = rest
+    return out.tobytes()
+
+
+class Points:
+    """Count vectors of a block, as the group numbers of each."""
+
+    def __init__(self, vectors: list[bytes], sizes: np.ndarray):
+        data = np.frombuffer(b"".join(vectors), np.uint8)
+        first = np.cumsum([0, *map(len, vectors)])
+        total = np.cumsum(data, dtype=np.int64)
+        before = np.concatenate([[0], total])[first[:-1]]
+        real = data != 255
+        self.sizes = sizes
+        self.starts = np.cumsum(sizes) - sizes
+        self.group = total[real] - np.repeat(before, sizes)
+
+    def _cells(self, index: np.ndarray, groups: int) -> np.ndarray:
+        group = self.group[ragged(self.starts[index], self.sizes[index])]
+        return np.repeat(np.arange(len(index)) * groups, self.sizes[index]) + (group & (groups - 1))
+
+    def counts(self, index: np.ndarray, groups: int) -> np.ndarray:
+        """Counts by group; groups that fall together in a narrower vector are added."""
+        found = np.bincount(self._cells(index, groups), minlength=len(index) * groups)
+        return found.astype(np.uint16 if found.max(initial=0) < 1 << 16 else np.uint32).reshape(len(index), groups)
+
+    def planes(self, index: np.ndarray, groups: int) -> list[np.ndarray]:
+        """Bits by group whether a count is at least 1, 2, ...: common bits of two rows sum up to their minima."""
+        cell, count = np.unique(self._cells(index, groups), return_counts=True)
+        out = []
+        for least in range(1, int(count.max(initial=0)) + 1):
+            cell, count = cell[count >= least], count[count >= least]
+            plane = np.zeros(len(index) * groups // 64, np.uint64)
+            words = cell >> 6
+            edges = np.flatnonzero(np.diff(words, prepend=-1))
+            plane[words[edges]] = np.bitwise_or.reduceat(np.uint64(1) << (cell & 63).astype(np.uint64), edges)
+            out.append(plane.reshape(len(index), groups // 64))
+        return out
 
 
 class CountTree:
@@ -150,21 +177,19 @@ def enough(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 7 * shared >= 3 * (a + b)
 
 
-def tree_pairs(sizes: np.ndarray, vectors: list[bytes], sides: np.ndarray, coarse: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tree_pairs(sizes: np.ndarray, vectors: list[bytes], sides: np.ndarray, roots: np.ndarray | None = None, coarse: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Surviving pairs between points of side 0 and side 1 (of side 0 alone, if there is no side 1), and their bounds.
 
-    Trees hold the counts in groups ``coarse`` times wider; what they leave is bounded by all groups.
+    Trees hold the counts in groups ``coarse`` times wider; what they leave is bounded by all groups. Pairs
+    of one root are passed over.
     """
-    counts = [counts_of(v) for v in vectors]
-    width = np.array([len(c) for c in counts])
+    points = Points(vectors, sizes)
+    kinds, kind = np.unique(sizes, return_inverse=True)
+    width = np.array([groups_for(n) for n in kinds.tolist()], np.int64)[kind]
     inner, outer = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     alone = not len(outer)
     outer = inner if alone else outer
     found = ([np.zeros(0, np.intp)], [np.zeros(0, np.intp)], [np.zeros(0, np.int64)])
-
-    def rows(index: np.ndarray, groups: int) -> np.ndarray:
-        return np.stack([folded(counts[i], groups) for i in index.tolist()])
-
     for groups in np.unique(width[inner]).tolist():
         held = inner[width[inner] == groups]
         for other in (groups // 2, groups, groups * 2):  # sizes that may link differ by one width at most
@@ -173,15 +198,19 @@ def tree_pairs(sizes: np.ndarray, vectors: list[bytes], sides: np.ndarray, coars
                 continue
             common = min(groups, other)
             wide = max(8, common // coarse)
-            fine_held, fine_asked = rows(held, common), rows(asked, common)
-            tree = CountTree(folded(fine_held, wide), sizes[held])
-            for q, p in tree.search(folded(fine_asked, wide), sizes[asked]):
-                if alone:
-                    once = asked[q] < held[p]
-                    q, p = q[once], p[once]
-                for start in range(0, len(q), 2048):
-                    i, j = q[start : start + 2048], p[start : start + 2048]
-                    shared = np.minimum(fine_asked[i], fine_held[j]).sum(1, dtype=np.int64)
+            fine_held, fine_asked = points.planes(held, common), points.planes(asked, common)
+            tree = CountTree(points.counts(held, wide), sizes[held])
+            for q, p in tree.search(points.counts(asked, wide), sizes[asked]):
+                once = asked[q] < held[p] if alone else np.ones(len(q), bool)
+                if roots is not None:
+                    once &= roots[asked[q]] != roots[held[p]]
+                q, p = q[once], p[once]
+                step = max(64, (1 << 23) // common)
+                for start in range(0, len(q), step):
+                    i, j = q[start : start + step], p[start : start + step]
+                    shared = np.zeros(len(i), np.int64)
+                    for x, y in zip(fine_asked, fine_held):
+                        shared += np.bitwise_count(x[i] & y[j]).sum(1, dtype=np.int64)
                     keep = enough(shared, sizes[asked[i]], sizes[held[j]])
                     for column, values in zip(found, (asked[i[keep]], held[j[keep]], shared[keep])):
                         column.append(values)
@@ -214,36 +243,40 @@ def row_key():
     return F.xxhash64("doc_id", "text")
 
 
+DESCRIBED = "doc_id long, row_key long, n long, class long, vector binary, k int, v binary"
+
+
 def described(docs: DataFrame, slice_chars: int = 2_000_000) -> DataFrame:
-    """``doc_id, row_key, n, class, vector`` of every row; class and vector are null for an empty set."""
+    """``doc_id, row_key, n, class, vector`` of every row; class and vector are null for an empty set.
+
+    Rows without ``n`` hold each task's part ``k, v`` of the count sketch over all shingles.
+    """
 
     def describe(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("vector", pa.binary()), ("k", pa.int32()), ("v", pa.binary())])
+        total = np.zeros(CELLS, np.int64)
         for batch in batches:
             texts, columns = texts_of(batch), ([], [], [])
             for a, b in by_size(texts, slice_chars):
                 sets, sizes = shingles(texts[a:b])
+                total += np.bincount((sets & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
                 keys = set_keys(sets, sizes).view(np.int64)
                 edges = np.concatenate([[0], np.cumsum(sizes)])
                 for i, n in enumerate(sizes.tolist()):
                     columns[0].append(n)
                     columns[1].append(int(keys[i]) if n else None)
                     columns[2].append(count_vector(sets[edges[i] : edges[i + 1]]) if n else None)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["doc_id", "row_key", "n", "class", "vector"]
-            )
+            none = [pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), *none], schema=schema)
+        for k, v in cell_parts(total):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in schema.types[:5]), pa.array([k], pa.int32()), pa.array([v], pa.binary())], schema=schema)
 
-    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(describe, "doc_id long, row_key long, n long, class long, vector binary")
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(describe, DESCRIBED)
 
 
-def frequency(docs: DataFrame) -> np.ndarray:
-    """Level of each cell of a count sketch over all shingles: 0 up to twice the mean, then one more for each doubling."""
-
-    def places(batch):
-        texts = texts_of(batch)
-        parts = [(shingles(texts[a:b])[0] & np.uint64(CELLS - 1)).astype(np.int64) for a, b in by_size(texts, 2_000_000)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-    count = summed_cells(docs, places, CELLS)
+def frequency(described: DataFrame) -> np.ndarray:
+    """Level of each cell of the count sketch: 0 up to twice the mean, then one more for each doubling."""
+    count = merged_cells(described.where("n is null").select("k", "v"), CELLS)
     share = count / (2 * count.mean() + 1)
     return np.where(share >= 1, np.minimum(np.floor(np.log2(np.maximum(share, 1))) + 1, 30), 0).astype(np.uint8)
 
@@ -353,37 +386,35 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(check, "a long, b long")
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of a bucket in blocks by size order; each pair of blocks of a bucket is one group."""
-    numbered = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "class")) - 1) / size))
+def _blocks(rows: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """Rows of a bucket in blocks by size order, ``size`` shingles or so in each; each pair of blocks of a bucket is one group."""
+    running = F.sum(F.col("n") + 64).over(Window.partitionBy("key").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = rows.withColumn("block", F.floor(F.coalesce(running, F.lit(0)) / size))
     last = numbered.groupBy("key").agg(F.max("block").alias("last"))
     spread = numbered.join(last, "key").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    return spread.select(
-        "key", "class", "n", "root", "vector", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.when(F.col("block") <= F.col("with"), 0).otherwise(1).alias("side")
-    )
+    spread = spread.select("key", "class", "n", "root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.when(F.col("block") <= F.col("with"), 0).otherwise(1).alias("side"))
+    return spread.join(vectors, "class")  # vectors travel to their groups and nowhere else
 
 
 PAIR = "a long, b long"
 
 
 def _tree_group(table: pa.Table, spanning: bool) -> pa.Table:
-    """Pairs of classes of different roots that the tree leaves; if ``spanning``, a forest of them."""
+    """Pairs of classes of different roots that the tree leaves; if ``spanning``, a forest of them over the roots."""
     n, root, cls = (table.column(c).to_numpy() for c in ("n", "root", "class"))
-    a, b, shared = tree_pairs(n, table.column("vector").to_pylist(), table.column("side").to_numpy())
-    keep = root[a] != root[b]
-    a, b, shared = a[keep], b[keep], shared[keep]
+    a, b, shared = tree_pairs(n, table.column("vector").to_pylist(), table.column("side").to_numpy(), root)
     if spanning:
-        kept = forest(a, b, shared / (n[a] + n[b]))
+        kept = forest(root[a], root[b], shared / (n[a] + n[b]))
         a, b = a[kept], b[kept]
     a, b = cls[a], cls[b]
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _survivors(rows: DataFrame, block: int, spanning: bool) -> DataFrame:
-    return _blocks(rows, block).groupBy("key", "i", "j").applyInArrow(lambda t: _tree_group(t, spanning), PAIR).distinct()
+def _survivors(rows: DataFrame, vectors: DataFrame, block: int, spanning: bool) -> DataFrame:
+    return _blocks(rows, vectors, block).groupBy("key", "i", "j").applyInArrow(lambda t: _tree_group(t, spanning), PAIR).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, block: int = 1024, early_buckets: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, block: int = 1 << 19, early_buckets: int = 3) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``doc_id, text``.
 
     Documents link when 100 * intersection >= 75 * union of their distinct five-word shingles (with fewer
@@ -393,10 +424,11 @@ def near_duplicates(docs: DataFrame, *, block: int = 1024, early_buckets: int =
     columns are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(described(docs), "shingle-sets")
+    both = stored(described(docs), "shingle-sets")
+    rows = both.where("n is not null")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("row_key").alias("first"), F.max("n").alias("n"), F.first("vector").alias("vector"))
     classes = stored(classes, "shingle-classes")
-    keys = postings(docs, frequency(docs)).repartition("key").sortWithinPartitions("key", "n", "class")
+    keys = postings(docs, frequency(both)).repartition("key").sortWithinPartitions("key", "n", "class")
     buckets = stored(keys.mapInArrow(shared_keys, "key long, class long, n long"), "buckets")
     # buckets with equal members count once
     members = buckets.groupBy("key").agg(F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("class")).alias("xor"), F.count("*").alias("m"))
@@ -404,25 +436,23 @@ def near_duplicates(docs: DataFrame, *, block: int = 1024, early_buckets: int =
     placed = stored(buckets.join(one, "key").select("key", "class", "n"), "open-buckets")
     vectors = classes.select("class", "vector")
 
-    # near copies share nearly all their buckets: the first few of each class will join most of them, the step after this sees every bucket
-    early = placed.withColumn("turn", F.row_number().over(Window.partitionBy("class").orderBy("key"))).where(F.col("turn") <= early_buckets)
-    early = early.withColumn("root", F.col("class")).join(vectors, "class")
-    first = stored(_survivors(early, block, True), "forest-pairs")
-    links = stored(verified(first, with_texts(docs, classes, first)), "near-links")
+    # near copies share nearly all their buckets: the first few of each class join most of them; forests in
+    # all buckets join what is left of the groups; the last step sees every pair still apart
+    turn = F.row_number().over(Window.partitionBy("class").orderBy("key"))
+    early = placed.withColumn("turn", turn).where(F.col("turn") <= early_buckets).select("key", "class", "n", F.col("class").alias("root"))
+    pairs = tested = stored(_survivors(early, vectors, block, True), "forest-pairs")
+    links = stored(verified(pairs, with_texts(docs, classes, pairs)), "near-links")
     roots = stored(components(links), "near-roots")
-
-    rooted = placed.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    pairs = stored(_survivors(rooted.join(apart, "key").join(vectors, "class"), block, False).join(first, ["a", "b"], "left_anti"), "tree-pairs")
-    more = stored(verified(pairs, with_texts(docs, classes, pairs)), "near-links")
-    lifted = more
-    for side in ("a", "b"):
-        lifted = lifted.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-    lifted = lifted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    upper = components(lifted)
-
-    known = rows.select("doc_id", "n", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    known = known.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))
+    for spanning in (True, False):
+        rooted = placed.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+        rooted = rooted.join(apart, "key").select("key", "class", "n", "root")
+        pairs = stored(_survivors(rooted, vectors, block, spanning).join(tested, ["a", "b"], "left_anti"), "tree-pairs")
+        links = verified(pairs, with_texts(docs, classes, pairs))
+        roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "near-roots")
+        tested = tested.union(pairs)
+
+    known = rows.select("doc_id", "n", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("top", F.coalesce("root", "class"))
     least = known.where("n > 0").groupBy("top").agg(F.min("doc_id").alias("component"))
     return known.join(least, "top", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
