@@ -74,31 +74,44 @@ def set_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def groups_for(size: int) -> int:
-    """Groups of a set's count vector: eight or more for each shingle, so unlike shingles seldom fall together."""
-    return min(1 << 16, max(64, 1 << int(np.ceil(np.log2(8 * max(size, 1))))))
+    """Groups of a set's count vector: four or more for each shingle, so unlike shingles seldom fall together."""
+    return min(1 << 16, max(64, 1 << (4 * max(size, 1) - 1).bit_length()))
 
 
 def count_vector(values: np.ndarray) -> bytes:
-    """The count vector as gaps between the sorted group numbers, a byte each; 255 adds to the gap that follows."""
-    group = np.sort(((values >> np.uint64(20)) & np.uint64(groups_for(len(values)) - 1)).astype(np.int64))
-    jumps, rest = np.divmod(np.diff(group, prepend=0), 255)
-    out = np.full(len(group) + int(jumps.sum()), 255, np.uint8)
-    out[np.arange(len(group)) + np.cumsum(jumps)] = rest
-    return out.tobytes()
+    """The count vector as sorted group numbers: two low bits of each, the rest in unary steps."""
+    groups = groups_for(len(values))
+    group = np.sort(((values >> np.uint64(20)) & np.uint64(groups - 1)).astype(np.int64))
+    steps = np.zeros(groups // 4 + len(group), np.uint8)
+    steps[(group >> 2) + np.arange(len(group))] = 1
+    low = np.stack([group & 1, group >> 1 & 1], axis=1).astype(np.uint8)
+    return np.packbits(steps).tobytes() + np.packbits(low).tobytes()
+
+
+def groups_of(vector: bytes, size: int) -> np.ndarray:
+    """The sorted group numbers of a set of ``size`` shingles."""
+    bits = np.unpackbits(np.frombuffer(vector, np.uint8))
+    steps = groups_for(size) // 4 + size
+    low = bits[-(-steps // 8) * 8 :][: 2 * size]
+    high = np.flatnonzero(bits[:steps]) - np.arange(size)
+    return high << 2 | low[1::2].astype(np.int64) << 1 | low[::2]
+
+
+def numbered_groups(group: np.ndarray) -> np.ndarray:
+    """Sorted group numbers, told apart by a running number: common ones of two rows sum up to their minima."""
+    new = np.ones(len(group), bool)
+    new[1:] = group[1:] != group[:-1]
+    at = np.arange(len(group))
+    return group << 32 | at - np.maximum.accumulate(np.where(new, at, 0))
 
 
 class Points:
     """Count vectors of a block, as the group numbers of each."""
 
     def __init__(self, vectors: list[bytes], sizes: np.ndarray):
-        data = np.frombuffer(b"".join(vectors), np.uint8)
-        first = np.cumsum([0, *map(len, vectors)])
-        total = np.cumsum(data, dtype=np.int64)
-        before = np.concatenate([[0], total])[first[:-1]]
-        real = data != 255
         self.sizes = sizes
         self.starts = np.cumsum(sizes) - sizes
-        self.group = total[real] - np.repeat(before, sizes)
+        self.group = np.concatenate([groups_of(v, n) for v, n in zip(vectors, sizes.tolist())])
 
     def _cells(self, index: np.ndarray, groups: int) -> np.ndarray:
         group = self.group[ragged(self.starts[index], self.sizes[index])]
@@ -183,11 +196,21 @@ def tree_pairs(sizes: np.ndarray, vectors: list[bytes], sides: np.ndarray, roots
     Trees hold the counts in groups ``coarse`` times wider; what they leave is bounded by all groups. Pairs
     of one root are passed over.
     """
+    inner, outer = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    alone = not len(outer)
+    if len(sizes) <= 64:  # a handful of pairs is bounded one by one
+        a, b = (x.ravel() for x in np.meshgrid(inner, inner if alone else outer, indexing="ij"))
+        keep = 4 * np.minimum(sizes[a], sizes[b]) >= 3 * np.maximum(sizes[a], sizes[b])
+        if alone:
+            keep &= a < b
+        if roots is not None:
+            keep &= roots[a] != roots[b]
+        a, b = a[keep], b[keep]
+        if len(a) <= 160:
+            return _few_pairs(sizes, vectors, a, b)
     points = Points(vectors, sizes)
     kinds, kind = np.unique(sizes, return_inverse=True)
     width = np.array([groups_for(n) for n in kinds.tolist()], np.int64)[kind]
-    inner, outer = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    alone = not len(outer)
     outer = inner if alone else outer
     found = ([np.zeros(0, np.intp)], [np.zeros(0, np.intp)], [np.zeros(0, np.int64)])
     for groups in np.unique(width[inner]).tolist():
@@ -217,6 +240,26 @@ def tree_pairs(sizes: np.ndarray, vectors: list[bytes], sides: np.ndarray, roots
     return tuple(np.concatenate(c) for c in found)
 
 
+def _few_pairs(sizes: np.ndarray, vectors: list[bytes], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs given, those whose counts leave room for a link, and their bounds."""
+    rows: dict[tuple[int, int], np.ndarray] = {}
+
+    def row(i: int, groups: int) -> np.ndarray:
+        if (i, groups) not in rows:
+            n = int(sizes[i])
+            group = groups_of(vectors[i], n)
+            rows[i, groups] = numbered_groups(group if groups_for(n) == groups else np.sort(group & (groups - 1)))
+        return rows[i, groups]
+
+    shared = np.zeros(len(a), np.int64)
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        groups = min(groups_for(int(sizes[i])), groups_for(int(sizes[j])))
+        x, y = row(i, groups), row(j, groups)
+        shared[k] = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    keep = enough(shared, sizes[a], sizes[b])
+    return a[keep], b[keep], shared[keep]
+
+
 def forest(a: np.ndarray, b: np.ndarray, slack: np.ndarray) -> np.ndarray:
     """Numbers of the pairs that span the components of all pairs, those with most slack first."""
     root: dict[int, int] = {}
@@ -396,22 +439,27 @@ def _blocks(rows: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
     return spread.join(vectors, "class")  # vectors travel to their groups and nowhere else
 
 
-PAIR = "a long, b long"
+PAIR = "a long, b long, key long, more boolean"
 
 
 def _tree_group(table: pa.Table, spanning: bool) -> pa.Table:
-    """Pairs of classes of different roots that the tree leaves; if ``spanning``, a forest of them over the roots."""
+    """Pairs of classes of different roots that the tree leaves; if ``spanning``, a forest of them over the roots.
+
+    ``more`` tells whether the forest leaves pairs of this group out.
+    """
     n, root, cls = (table.column(c).to_numpy() for c in ("n", "root", "class"))
     a, b, shared = tree_pairs(n, table.column("vector").to_pylist(), table.column("side").to_numpy(), root)
+    found = len(a)
     if spanning:
         kept = forest(root[a], root[b], shared / (n[a] + n[b]))
         a, b = a[kept], b[kept]
     a, b = cls[a], cls[b]
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    key, more = np.full(len(a), table.column("key")[0].as_py(), np.int64), np.full(len(a), len(a) < found)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "key": key, "more": more})
 
 
 def _survivors(rows: DataFrame, vectors: DataFrame, block: int, spanning: bool) -> DataFrame:
-    return _blocks(rows, vectors, block).groupBy("key", "i", "j").applyInArrow(lambda t: _tree_group(t, spanning), PAIR).distinct()
+    return _blocks(rows, vectors, block).groupBy("key", "i", "j").applyInArrow(lambda t: _tree_group(t, spanning), PAIR)
 
 
 def near_duplicates(docs: DataFrame, *, block: int = 1 << 19, early_buckets: int = 3) -> DataFrame:
@@ -440,17 +488,21 @@ def near_duplicates(docs: DataFrame, *, block: int = 1 << 19, early_buckets: int
     # all buckets join what is left of the groups; the last step sees every pair still apart
     turn = F.row_number().over(Window.partitionBy("class").orderBy("key"))
     early = placed.withColumn("turn", turn).where(F.col("turn") <= early_buckets).select("key", "class", "n", F.col("class").alias("root"))
-    pairs = tested = stored(_survivors(early, vectors, block, True), "forest-pairs")
+    pairs = tested = stored(_survivors(early, vectors, block, True).select("a", "b").distinct(), "forest-pairs")
     links = stored(verified(pairs, with_texts(docs, classes, pairs)), "near-links")
     roots = stored(components(links), "near-roots")
+    full = placed
     for spanning in (True, False):
-        rooted = placed.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        rooted = full.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
         rooted = rooted.join(apart, "key").select("key", "class", "n", "root")
-        pairs = stored(_survivors(rooted, vectors, block, spanning).join(tested, ["a", "b"], "left_anti"), "tree-pairs")
+        left = stored(_survivors(rooted, vectors, block, spanning), "tree-pairs")
+        pairs = stored(left.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "tree-pairs")
         links = verified(pairs, with_texts(docs, classes, pairs))
         roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "near-roots")
         tested = tested.union(pairs)
+        # a bucket whose forest held all its pairs has none left to verify
+        full = placed.join(left.where("more").select("key").distinct(), "key", "left_semi")
 
     known = rows.select("doc_id", "n", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("top", F.coalesce("root", "class"))
     least = known.where("n > 0").groupBy("top").agg(F.min("doc_id").alias("component"))
