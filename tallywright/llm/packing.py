@@ -73,8 +73,8 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
             fixed.append(((length,), times))
             stock.take((length,), times)
         elif other == room or fits <= 1 or (fits == 2 and other >= _longest_pair(stock, room, length)):
-            # with an exact filling every pair may go at once; else the counts are looked at anew for each
-            times = (have // 2 if other == length else min(have, int(stock.count[other]))) if other == room else 1
+            # taking pieces only makes less fit beside the next one, so the test holds until one of the lengths is used up
+            times = have // 2 if other == length else min(have, int(stock.count[other]))
             fixed.append(((length, other), times))
             stock.take((length, other), times)
         else:

@@ -122,3 +122,20 @@ def test_packed_table(spark, small, library):
         assert at <= 4096
     assert len(by) <= -(-sum(r.length for r in rows) // 4096) * 1.02 + 1
     assert packing.pack_documents(frame.limit(0), PATH).collect() == []
+
+
+def test_patterns_grow_with_lengths_not_pieces():
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (20_000, 80_000):
+        length, count = np.unique(rng.integers(1400, 2001, n), return_counts=True)
+        counts = dict(zip(length.tolist(), count.tolist()))
+        packed = packing.patterns(counts, 4096)
+        back = {}
+        for pattern, times in packed:
+            assert sum(pattern) <= 4096
+            for k in pattern:
+                back[k] = back.get(k, 0) + times
+        assert back == counts
+        rows.append(len(packed))
+    assert max(rows) <= 2 * 601
