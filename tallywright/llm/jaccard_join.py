@@ -4,10 +4,16 @@ Shingles are hashed into groups and a document is the point of its counts by gro
 at most the sum of coordinate minima, so the boxes of an R-tree over the points bound the overlap with
 whole subtrees, and only pairs that survive are verified on the shingles themselves.
 
-Counts alone can't keep points of a whole corpus apart, so the trees are local: documents that link must
-share a shingle among the first quarter of their shingles in any common order (prefix filter), and a
-bucket is the documents that share one. The order puts frequent shingles last, by a count sketch of
-fixed size, so a passage that many documents share hardly makes buckets.
+Counts alone can't keep points of a whole corpus apart, so the trees are local to buckets, the documents
+that share a shingle. In any common order, documents that link share the first of their common shingles
+within a quarter of their own, and the first eighth of them within three eighths (prefix filter). So
+
+* each set is posted under its first three eighths, frequent shingles last by a count sketch of fixed size;
+* a set of which less than an eighth is found in another set's postings links with nothing and leaves;
+* of the postings that others share, rarest first by their exact count among the sets that stay, a set
+  enters as many buckets as it takes for two that link to meet: all but an eighth.
+
+A passage that many documents share thus makes no buckets for documents that are otherwise their own.
 
 1. Equal shingle sets are one class; buckets hold classes, and buckets with equal members count once.
 2. In each bucket, in blocks if it is large, the R-tree finds the pairs whose counts leave room for a link.
@@ -324,8 +330,17 @@ def frequency(described: DataFrame) -> np.ndarray:
     return np.where(share >= 1, np.minimum(np.floor(np.log2(np.maximum(share, 1))) + 1, 30), 0).astype(np.uint8)
 
 
+def asked_for(n):
+    """How many common shingles two linked sets have at least among the postings of both, judged by one's size ``n``.
+
+    Sets of a and b that link have an overlap of 3/4 of either; each posts what its overlap may leave out
+    and ``n // 8 + 1`` more, so both post the first ``min(a, b) // 8 + 1`` common ones, and b >= 3/4 a.
+    """
+    return F.floor(F.ceil(3 * n / 4) / 8) + 1
+
+
 def postings(docs: DataFrame, level: np.ndarray, slice_chars: int = 2_000_000) -> DataFrame:
-    """``key, class, n``: the first shingles of every set, rare ones first, as many as a linked set can't avoid all of."""
+    """``key, class``: the first shingles of every set, rare ones first, so that linked sets share several."""
     context = docs.sparkSession.sparkContext.broadcast(level)  # one byte for each cell of the sketch
 
     def post(batches):
@@ -334,43 +349,61 @@ def postings(docs: DataFrame, level: np.ndarray, slice_chars: int = 2_000_000) -
             for a, b in by_size(texts, slice_chars):
                 sets, sizes = shingles(texts[a:b])
                 keys = set_keys(sets, sizes)
+                _, kept = np.unique(keys, return_index=True)  # copies within a slice are posted once
+                once = np.zeros(b - a, bool)
+                once[kept] = True
                 of = np.repeat(np.arange(b - a), sizes)
                 rank = (context.value[(sets & np.uint64(CELLS - 1)).astype(np.intp)].astype(np.uint64) << np.uint64(58)) | (sets >> np.uint64(6))
                 order = np.lexsort((rank, of))
                 rank = rank[order]
                 place = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                keep = place < (sizes - (3 * sizes + 3) // 4 + 1)[of]
-                yield pa.RecordBatch.from_arrays([signed(rank[keep]), signed(keys[of[keep]]), pa.array(sizes[of[keep]])], names=["key", "class", "n"])
+                keep = (place < (sizes - (3 * sizes + 3) // 4 + sizes // 8 + 1)[of]) & once[of]
+                yield pa.RecordBatch.from_arrays([signed(rank[keep]), signed(keys[of[keep]])], names=["key", "class"])
 
-    return docs.select("text").mapInArrow(post, "key long, class long, n long")
+    return docs.select("text").mapInArrow(post, "key long, class long")
 
 
 def shared_keys(batches):
-    """From rows sorted by key, n, class: the distinct ones whose key has several classes.
+    """From rows sorted by key, class: the distinct ones whose key has several classes.
 
     Reads on in batches and holds back one row, so a key of any number of rows passes through.
     """
-    names = ["key", "class", "n"]
+    names = ["key", "class"]
     held = None  # a row, and whether the row before has its key
     for batch in batches:
-        key, cls, n = (batch.column(i).to_numpy() for i in range(3))
+        key, cls = (batch.column(i).to_numpy() for i in range(2))
         if not len(key):
             continue
         if held is not None:
-            key, cls, n = (np.concatenate([[h], x]) for h, x in zip(held[:3], (key, cls, n)))
+            key, cls = (np.concatenate([[h], x]) for h, x in zip(held[:2], (key, cls)))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, n = key[new], cls[new], n[new]
+        key, cls = key[new], cls[new]
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
-        same[0] = held is not None and held[3]
+        same[0] = held is not None and held[2]
         keep = same.copy()
         keep[:-1] |= same[1:]
-        held = (key[-1], cls[-1], n[-1], bool(same[-1]))
+        held = (key[-1], cls[-1], bool(same[-1]))
         keep[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep]), pa.array(n[keep])], names=names)
-    if held is not None and held[3]:
-        yield pa.RecordBatch.from_arrays([pa.array([h]) for h in held[:3]], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep])], names=names)
+    if held is not None and held[2]:
+        yield pa.RecordBatch.from_arrays([pa.array([h]) for h in held[:2]], names=names)
+
+
+def met(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``key, class, n`` of the classes that share as many postings with others as one that links must."""
+    shared = buckets.groupBy("class").agg(F.count("*").alias("shared"))
+    able = classes.select("class", "n").join(shared, "class").where(F.col("shared") >= asked_for(F.col("n")))
+    return buckets.select("key", "class").join(able.select("class", "n"), "class").select("key", "class", "n")
+
+
+def entered(buckets: DataFrame) -> DataFrame:
+    """``key, class, n`` of the buckets a class enters: of its shared postings the rarest, all but those asked for less one."""
+    several = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    own = Window.partitionBy("class")  # a document's own shingles
+    ranked = buckets.join(several, "key").select("key", "class", "n", F.row_number().over(own.orderBy("m", "key")).alias("turn"), F.count("*").over(own).alias("shared"))
+    return ranked.where(F.col("turn") <= F.col("shared") - asked_for(F.col("n")) + 1).select("key", "class", "n")
 
 
 def with_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -476,10 +509,11 @@ def near_duplicates(docs: DataFrame, *, block: int = 1 << 19, early_buckets: int
     rows = both.where("n is not null")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("row_key").alias("first"), F.max("n").alias("n"), F.first("vector").alias("vector"))
     classes = stored(classes, "shingle-classes")
-    keys = postings(docs, frequency(both)).repartition("key").sortWithinPartitions("key", "n", "class")
-    buckets = stored(keys.mapInArrow(shared_keys, "key long, class long, n long"), "buckets")
+    keys = postings(docs, frequency(both)).repartition("key").sortWithinPartitions("key", "class")
+    shared = stored(keys.mapInArrow(shared_keys, "key long, class long"), "shared-keys")
+    buckets = stored(entered(stored(met(shared, classes), "met")), "buckets")
     # buckets with equal members count once
-    members = buckets.groupBy("key").agg(F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("class")).alias("xor"), F.count("*").alias("m"))
+    members = buckets.groupBy("key").agg(F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("class")).alias("xor"), F.count("*").alias("m")).where("m > 1")
     one = members.groupBy("sum", "xor", "m").agg(F.min("key").alias("key")).select("key")
     placed = stored(buckets.join(one, "key").select("key", "class", "n"), "open-buckets")
     vectors = classes.select("class", "vector")
