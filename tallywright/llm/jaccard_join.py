@@ -169,15 +169,34 @@ class CountTree:
             todo += [part[half:], part[:half]]
         return np.concatenate(out)
 
-    def search(self, vectors: np.ndarray, sizes: np.ndarray, block: int = 256):
-        """Pairs (query, point) whose counts leave room for a Jaccard similarity of 3/4."""
+    def _spans(self, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Least and greatest label below each node, by level."""
+        out = [(labels[self.order], labels[self.order])]
+        for _ in self.levels[1:]:
+            cuts = np.arange(0, len(out[-1][0]), self.fan)
+            out.append((np.minimum.reduceat(out[-1][0], cuts), np.maximum.reduceat(out[-1][1], cuts)))
+        return out
+
+    def search(self, vectors: np.ndarray, sizes: np.ndarray, labels=None, block: int = 256):
+        """Pairs (query, point) whose counts leave room for a Jaccard similarity of 3/4.
+
+        ``labels`` gives labels of points and of queries, asked anew for each block of queries: nodes whose
+        points all have the query's are passed over.
+        """
         for start in range(0, len(sizes), block):
             q, s = vectors[start : start + block], sizes[start : start + block]
+            if labels is not None:
+                points, queries = labels()
+                spans, mine = self._spans(points), queries[start : start + block]
             top = len(self.levels) - 1
             query = np.repeat(np.arange(len(s)), len(self.levels[top][1]))
             node = np.tile(np.arange(len(self.levels[top][1])), len(s))
             for level in range(top, -1, -1):
                 corner, least = self.levels[level]
+                if labels is not None:
+                    lo, hi = spans[level]
+                    other = (lo[node] != mine[query]) | (hi[node] != mine[query])
+                    query, node = query[other], node[other]
                 keep = np.zeros(len(query), bool)
                 for a in range(0, len(query), 4096):
                     i, j = query[a : a + 4096], node[a : a + 4096]
@@ -196,11 +215,41 @@ def enough(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 7 * shared >= 3 * (a + b)
 
 
-def tree_pairs(sizes: np.ndarray, vectors: list[bytes], sides: np.ndarray, roots: np.ndarray | None = None, coarse: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Linked:
+    """Labels of points: pairs of one label need no other. Pairs that are joined make one label of two."""
+
+    def __init__(self, roots: np.ndarray):
+        self.first = self.label = np.unique(roots, return_inverse=True)[1]
+
+    def join(self, a: np.ndarray, b: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """Numbers of the pairs that join labels, those with most slack first; the labels are joined."""
+        kept = forest(self.label[a], self.label[b], slack)
+        up = np.arange(int(self.label.max(initial=-1)) + 1)
+        for x, y in zip(self.label[a[kept]].tolist(), self.label[b[kept]].tolist()):
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            up[max(x, y)] = min(x, y)
+        while (up[up] != up).any():
+            up = up[up]
+        self.label = up[self.label]
+        return kept
+
+    def left_out(self) -> bool:
+        """Whether a label may hold more pairs than joined it: it holds three of the first labels."""
+        pairs = np.unique(np.stack([self.label, self.first]), axis=1)
+        return bool((np.bincount(pairs[0]) > 2).any())
+
+
+def tree_pairs(
+    sizes: np.ndarray, vectors: list[bytes], sides: np.ndarray, linked: Linked | None = None, coarse: int = 32, spanning: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Surviving pairs between points of side 0 and side 1 (of side 0 alone, if there is no side 1), and their bounds.
 
     Trees hold the counts in groups ``coarse`` times wider; what they leave is bounded by all groups. Pairs
-    of one root are passed over.
+    of one label are passed over. If ``spanning``, pairs are joined as they are found, neighbours in a tree
+    first, so a group of near copies of any size gives as many pairs as join it.
     """
     inner, outer = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     alone = not len(outer)
@@ -209,16 +258,41 @@ def tree_pairs(sizes: np.ndarray, vectors: list[bytes], sides: np.ndarray, roots
         keep = 4 * np.minimum(sizes[a], sizes[b]) >= 3 * np.maximum(sizes[a], sizes[b])
         if alone:
             keep &= a < b
-        if roots is not None:
-            keep &= roots[a] != roots[b]
+        if linked is not None:
+            keep &= linked.label[a] != linked.label[b]
         a, b = a[keep], b[keep]
         if len(a) <= 160:
-            return _few_pairs(sizes, vectors, a, b)
+            a, b, shared = _few_pairs(sizes, vectors, a, b)
+            if spanning:
+                kept = linked.join(a, b, shared / (sizes[a] + sizes[b]))
+                a, b, shared = a[kept], b[kept], shared[kept]
+            return a, b, shared
     points = Points(vectors, sizes)
     kinds, kind = np.unique(sizes, return_inverse=True)
     width = np.array([groups_for(n) for n in kinds.tolist()], np.int64)[kind]
     outer = inner if alone else outer
     found = ([np.zeros(0, np.intp)], [np.zeros(0, np.intp)], [np.zeros(0, np.int64)])
+
+    def bounded(a, b, fine_a, fine_b, i, j):
+        """Of pairs of places i, j in the points a, b those with room for a link by all groups; joined, if spanning."""
+        step = max(64, (1 << 23) // (64 * fine_a[0].shape[1]))
+        out = []
+        for start in range(0, len(i), step):
+            x, y = i[start : start + step], j[start : start + step]
+            if linked is not None:
+                apart = linked.label[a[x]] != linked.label[b[y]]
+                x, y = x[apart], y[apart]
+            shared = np.zeros(len(x), np.int64)
+            for p, q in zip(fine_a, fine_b):
+                shared += np.bitwise_count(p[x] & q[y]).sum(1, dtype=np.int64)
+            keep = enough(shared, sizes[a[x]], sizes[b[y]])
+            x, y, shared = a[x[keep]], b[y[keep]], shared[keep]
+            if spanning:
+                kept = linked.join(x, y, shared / (sizes[x] + sizes[y]))
+                x, y, shared = x[kept], y[kept], shared[kept]
+            out.append((x, y, shared))
+        return out
+
     for groups in np.unique(width[inner]).tolist():
         held = inner[width[inner] == groups]
         for other in (groups // 2, groups, groups * 2):  # sizes that may link differ by one width at most
@@ -229,19 +303,16 @@ def tree_pairs(sizes: np.ndarray, vectors: list[bytes], sides: np.ndarray, roots
             wide = max(8, common // coarse)
             fine_held, fine_asked = points.planes(held, common), points.planes(asked, common)
             tree = CountTree(points.counts(held, wide), sizes[held])
-            for q, p in tree.search(points.counts(asked, wide), sizes[asked]):
-                once = asked[q] < held[p] if alone else np.ones(len(q), bool)
-                if roots is not None:
-                    once &= roots[asked[q]] != roots[held[p]]
-                q, p = q[once], p[once]
-                step = max(64, (1 << 23) // common)
-                for start in range(0, len(q), step):
-                    i, j = q[start : start + step], p[start : start + step]
-                    shared = np.zeros(len(i), np.int64)
-                    for x, y in zip(fine_asked, fine_held):
-                        shared += np.bitwise_count(x[i] & y[j]).sum(1, dtype=np.int64)
-                    keep = enough(shared, sizes[asked[i]], sizes[held[j]])
-                    for column, values in zip(found, (asked[i[keep]], held[j[keep]], shared[keep])):
+            if spanning and alone and other == groups:  # held and asked are the same
+                for part in bounded(held, held, fine_held, fine_held, tree.order[:-1], tree.order[1:]):
+                    for column, values in zip(found, part):
+                        column.append(values)
+            labels = None if linked is None else lambda: (linked.label[held], linked.label[asked])
+            for q, p in tree.search(points.counts(asked, wide), sizes[asked], labels):
+                if alone:
+                    q, p = (x[asked[q] < held[p]] for x in (q, p))
+                for part in bounded(asked, held, fine_asked, fine_held, q, p):
+                    for column, values in zip(found, part):
                         column.append(values)
     return tuple(np.concatenate(c) for c in found)
 
@@ -478,16 +549,14 @@ PAIR = "a long, b long, key long, more boolean"
 def _tree_group(table: pa.Table, spanning: bool) -> pa.Table:
     """Pairs of classes of different roots that the tree leaves; if ``spanning``, a forest of them over the roots.
 
-    ``more`` tells whether the forest leaves pairs of this group out.
+    ``more`` tells whether the forest may leave pairs of this group out.
     """
     n, root, cls = (table.column(c).to_numpy() for c in ("n", "root", "class"))
-    a, b, shared = tree_pairs(n, table.column("vector").to_pylist(), table.column("side").to_numpy(), root)
-    found = len(a)
-    if spanning:
-        kept = forest(root[a], root[b], shared / (n[a] + n[b]))
-        a, b = a[kept], b[kept]
+    linked = Linked(root)
+    a, b, _ = tree_pairs(n, table.column("vector").to_pylist(), table.column("side").to_numpy(), linked, spanning=spanning)
+    more = spanning and linked.left_out()
     a, b = cls[a], cls[b]
-    key, more = np.full(len(a), table.column("key")[0].as_py(), np.int64), np.full(len(a), len(a) < found)
+    key, more = np.full(len(a), table.column("key")[0].as_py(), np.int64), np.full(len(a), more)
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "key": key, "more": more})
 
 
