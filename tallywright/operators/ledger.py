@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as cl
+from ..functions import periods as pe
 from ..functions import text as tx
 from ..rules import Rules
 from ..schemas import Books
@@ -57,6 +58,40 @@ def journal_rows(books: Books, accounts: DataFrame) -> DataFrame:
     return books["journal_line"].join(accounts, "account_id").join(books["journal"], "journal_id")
 
 
+def journal_lines(books: Books) -> DataFrame:
+    """Lines with their journal, of all accounts."""
+    if "posting" in books:
+        return books["posting"]
+    if "co_line" in books:
+        return books["co_line"].join(books["co_journal"], "journal_id").unionByName(books["hot_posting"])
+    return books["journal_line"].join(books["journal"], "journal_id")
+
+
+def listed_rows(books: Books, accounts: DataFrame, journals: Column | None = None) -> DataFrame:
+    """The rows of ``journal_rows`` with the account's texts joined last.
+
+    Lines are cut by the bare ids of the list, which stay short enough to broadcast far longer than
+    the texts would, and no text crosses the shuffle by journal. ``journals`` is a test on journal
+    columns. Books that keep lines and journals together need no such shuffle.
+    """
+    if "posting" in books or "co_line" in books:
+        rows = journal_rows(books, accounts)
+        return rows if journals is None else rows.filter(journals)
+    lines = books["journal_line"].join(accounts.select("account_id"), "account_id", "left_semi")
+    journal = books["journal"] if journals is None else books["journal"].filter(journals)
+    return lines.join(journal, "journal_id").join(accounts, "account_id")
+
+
+def account_months(books: Books, rules: Rules, accounts: DataFrame, since: dt.date | None = None) -> DataFrame:
+    """Sum of the postings by account and load month, with the account's columns.
+
+    For long account lists: sums are made by id, and the texts meet one row a month.
+    """
+    rows = _loaded_since(journal_lines(books), since or rules.ledger_since)
+    sums = rows.groupBy("account_id", pe.month_of(F.col("loaded_at")).alias("month")).agg(F.sum("amount").alias("amount"))
+    return sums.join(accounts, "account_id")
+
+
 def prepare_postings(books: Books, path: str) -> Books:
     """Join lines and journal once, store the result, and give back books that read it.
 
@@ -79,14 +114,18 @@ def postings(
     since: dt.date | None = None,
     with_party: bool = False,
     by_accounting_date: bool = False,
+    texts_last: bool = False,
+    journals: Column | None = None,
 ) -> DataFrame:
     """Ledger rows of the selected ``accounts``.
 
     Lines meet the account list before they meet the journal, so the join on the journal id
     (the widest shuffle) only carries lines of interest, and a short list is broadcast by Spark
-    once its size is known.
+    once its size is known. With ``texts_last``, for lists that leave accounts out, lines meet only
+    the list's ids there, and journals that fail the test ``journals`` are left out too.
     """
-    fact, floor = journal_rows(books, accounts), since or rules.ledger_since
+    fact = listed_rows(books, accounts, journals) if texts_last else journal_rows(books, accounts)
+    floor = since or rules.ledger_since
     fact = fact.filter(F.col("accounting_at") >= F.lit(floor)).drop("load_month") if by_accounting_date else _loaded_since(fact, floor)
     return _finish(fact, books, rules, with_party)
 
@@ -108,7 +147,7 @@ def ledger_line_first(books: Books, rules: Rules, since: dt.date) -> DataFrame:
     The filters on the header and the account make both joins inner, so they are written so.
     """
     accounts = account_names(books["account"]).filter(above_account(F.col("account_no"), rules.result_accounts_above))
-    return postings(books, rules, accounts, since, by_accounting_date=True)
+    return postings(books, rules, accounts, since, by_accounting_date=True, texts_last=True)
 
 
 def ledger_by_party(books: Books, rules: Rules, since: dt.date, movement_first: bool = False) -> DataFrame:

@@ -75,12 +75,17 @@ def pivot_months(frame: DataFrame, keys: list[str], months: list[str] | None = N
 
     With the month list given, no job runs before the pivot itself, and rows of months outside the
     list are summed in ``other_months``.
+
+    A row of the pivot is held at full width while it fills, so keys are dealt to all the shuffle's
+    partitions, by number: joined into a few large ones, their short rows would widen in few tasks.
     """
     label = pe.month_text(F.col("month"))
     columns = month_labels(frame) if months is None else [*months, OTHER_MONTHS]
     if months is not None:
         label = F.when(label.isin(*months), label).otherwise(OTHER_MONTHS) if months else F.lit(OTHER_MONTHS)
-    return frame.withColumn("month_label", label).groupBy(*keys).pivot("month_label", columns).agg(F.sum("amount"))
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frame.withColumn("month_label", label).repartition(parts, *keys)
+    return dealt.groupBy(*keys).pivot("month_label", columns).agg(F.sum("amount"))
 
 
 def pnl_pivot(pnl: DataFrame, months: list[str] | None = None) -> DataFrame:

@@ -112,13 +112,10 @@ def margin_from_purchases(books: Books, rules: Rules, since: dt.date) -> DataFra
 
 def expense_pivot(books: Books, rules: Rules, since: dt.date, months: list[str] | None = None) -> DataFrame:
     """Every account by load month, no selection at all."""
-    accounts = le.account_names(books["account"])
-    rows = le.postings(books, rules, accounts, since).filter(
+    accounts = le.account_names(books["account"]).filter(
         F.col("account_no").isNotNull() & F.col("concept").isNotNull()
     )
-    monthly = rows.groupBy("account_no", "concept", pe.month_of(F.col("loaded_at")).alias("month")).agg(
-        F.sum("amount").alias("amount")
-    )
+    monthly = le.account_months(books, rules, accounts, since).select("account_no", "concept", "month", "amount")
     return pivot_months(monthly, ["account_no", "concept"], months)
 
 
