@@ -41,6 +41,12 @@ def accepted_origin(rules: Rules) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+def possible_origin(rules: Rules) -> Column:
+    """The journal's part of ``accepted_origin``: no journal that fails it has an accepted row."""
+    origins = {rules.expense_origin, *(origin for _, origin in rules.expense_exceptions)}
+    return F.col("origin_code").isin([code for code, origin in rules.origin_labels.items() if origin in origins])
+
+
 def expense_rows(
     books: Books,
     rules: Rules,
@@ -54,7 +60,7 @@ def expense_rows(
     only the few parties they name: the party list is cut to those before the join.
     """
     accounts = expense_accounts(books, rules, literal)
-    rows = postings(books, rules, accounts).filter(
+    rows = postings(books, rules, accounts, texts_last=True, journals=possible_origin(rules)).filter(
         accepted_origin(rules) & ~tx.contains(F.col("detail"), rules.expense_noise_text)
     )
     parties = books["origin_party"]

@@ -64,7 +64,7 @@ def payroll_postings(
     the load month for the others.
     """
     accounts = payroll_accounts(books["account"], rules).filter(F.col("role").isin(*roles))
-    rows = postings(books, rules, accounts)
+    rows = postings(books, rules, accounts, texts_last=True)
     category = cl.noise_category(F.col("origin_code"), F.col("detail"), rules)
     role = F.col("role")
     accrued = (role == ACCRUAL) & F.col("accounting_at").isNotNull() & category.isin("base", "provision")
@@ -233,12 +233,14 @@ def base_or_provision(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """Accrual rows that count, row by row (for the movement fact); other roles pass.
 
     Rows meet their cell by a join, which the skew handling of adaptive execution can split; a
-    window per cell could not.
+    window per cell could not. Cells of other roles go after the aggregate: a filter on the role
+    would reach down to the ledger and set it apart from the frames that share its shuffles.
     """
+    use_base = F.when(F.col("role") == ACCRUAL, uses_base(F.col("base")))
     flags = (
-        cells.filter(F.col("role") == ACCRUAL)
-        .groupBy(F.col("account_no").alias("cell_account"), F.col("month").alias("cell_month"))
-        .agg(F.bool_or(uses_base(F.col("base"))).alias("use_base"))
+        cells.groupBy(F.col("account_no").alias("cell_account"), F.col("month").alias("cell_month"))
+        .agg(F.bool_or(use_base).alias("use_base"))
+        .filter(F.col("use_base").isNotNull())
     )
     same_cell = (F.col("account_no") == F.col("cell_account")) & (F.col("month") == F.col("cell_month"))
     kept = (F.col("role") != ACCRUAL) | ((F.col("category") == "base") == F.col("use_base"))
@@ -248,13 +250,14 @@ def base_or_provision(rows: DataFrame, cells: DataFrame) -> DataFrame:
 def payroll_fact(books: Books, rules: Rules) -> DataFrame:
     """Payroll rows of the movement fact: accrued rows, liability rows, apportioned charges.
 
-    The ledger is read twice: once for the cells (which give the cutoff, the base-or-provision
-    flags and the apportioned charges), once for the rows.
+    The cells (which give the cutoff, the base-or-provision flags and the apportioned charges) and
+    the rows come from the same postings, so that they can share the shuffle by journal.
     """
-    cells = payroll_cells(payroll_postings(books, rules))
+    postings_of_all = payroll_postings(books, rules)
+    cells = payroll_cells(postings_of_all)
     cutoff = payroll_cutoff(cells).scalar()
     month, role = F.col("month"), F.col("role")
-    rows = base_or_provision(payroll_postings(books, rules, (ACCRUAL, LIABILITY)), cells)
+    rows = base_or_provision(postings_of_all.filter(role.isin(ACCRUAL, LIABILITY)), cells)
     closed = (role == ACCRUAL) & (month >= F.lit(rules.first_month)) & (month <= cutoff)
     later = (role == LIABILITY) & (month > cutoff)
     accrued = role == ACCRUAL
