@@ -12,60 +12,65 @@ are added up.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import at_spaces, stored, texts_of
+from .frames import by_size, stored
 
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+# Bytes of terms, A-Z lowered, and spaces for all others: in UTF-8 only letters of ASCII are below 0x80 in a term.
+FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 UNIT = 1_000_000_000
-# Distinct terms and groups a task holds before it sends its counts on.
-HELD = 200_000
-
 
-def terms_of(text: str, slice_chars: int = 4_000_000) -> list[str]:
-    """The terms of a text; a long one is read in slices cut behind spaces."""
-    return [t for part in at_spaces(text, slice_chars) for t in TERM.findall(part.translate(LOWER))]
 
-
-def term_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``lang, source, term, n`` (occurrences) and ``d`` (documents it is in), added up in each task as far as it holds them."""
+def terms_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The terms of UTF-8 texts, one after the other, and the text each is in."""
+    data = np.frombuffer(b" ".join(texts).translate(FOLDED) + b" ", np.uint8)
+    solid = data != 32
+    edge = np.diff(solid.view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, begin)))
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]), owner
+
+
+def counted(texts: list[bytes], groups: list[tuple[str, str]]) -> pa.RecordBatch:
+    """``lang, source, term, n, d`` of some texts and the (language, source) of each."""
+    names = list(dict.fromkeys(groups))
+    number = {g: i for i, g in enumerate(names)}
+    group = np.array([number[g] for g in groups], np.int64)
+    terms, owner = terms_of(texts)
+    coded = terms.dictionary_encode()
+    width, index = max(1, len(coded.dictionary)), coded.indices.to_numpy()
+    cell, n = np.unique(group[owner] * width + index, return_counts=True)
+    once = np.sort(owner * width + index)
+    once = once[np.diff(once, prepend=-1) > 0]  # one of each text and term
+    d = np.unique(group[once // width] * width + once % width, return_counts=True)[1]
+    of = [pa.array([g[i] for g in names], pa.string()).take(pa.array(cell // width)) for i in range(2)]
+    term = coded.dictionary.take(pa.array(cell % width)).cast(pa.string())
+    return pa.RecordBatch.from_arrays([*of, term, pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["lang", "source", "term", "n", "d"])
+
+
+def term_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", slice_bytes: int = 16_000_000) -> DataFrame:
+    """``lang, source, term, n`` (occurrences) and ``d`` (documents it is in), added up in slices of whole texts before they travel.
+
+    Rows are dealt by language and term, so that sums over the sources need no other shuffle.
+    """
 
     def count(batches):
-        seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        held = 0
         for batch in batches:
-            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for where, body in zip(zip(langs, sources), texts_of(batch, "body")):
-                n, d = seen.setdefault(where, (Counter(), Counter()))
-                before = len(n)
-                own = Counter(terms_of(body))
-                n.update(own)
-                d.update(own.keys())
-                held += len(n) - before
-                if held >= HELD:
-                    yield from _rows(seen)
-                    seen, held = {}, 0
-        yield from _rows(seen)
-
-    asked = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "body"))))
-    rows = asked.mapInArrow(count, "lang string, source string, term string, n long, d long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-
+            langs, sources, texts = (batch.column(i).to_pylist() for i in range(3))
+            groups = list(zip(langs, sources))
+            for a, b in by_size(texts, slice_bytes):
+                yield counted(texts[a:b], groups[a:b])
 
-def _rows(seen):
-    for (lang, source), (n, d) in seen.items():
-        if n:
-            terms = list(n)
-            columns = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms), pa.array(list(n.values()), pa.int64()), pa.array([d[t] for t in terms], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "d"])
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "body"))]
+    asked = docs.select(*named[:2], named[2].cast("binary").alias("body"))
+    rows = asked.mapInArrow(count, "lang string, source string, term string, n long, d long")
+    return rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def kept_vocabulary(counts: DataFrame, least_documents: int = 3) -> DataFrame:

@@ -119,3 +119,33 @@ def test_query_equals_its_sql(spark, small):
     want = con.sql(ORACLES["op13_source_audit"])
     assert got.columns == want.columns
     assert rows_of(got) == sorted(want.fetchall())
+
+
+def test_terms_of_bytes_are_those_of_the_text():
+    rng = random.Random(3)
+    odd = [rng.randint(0, 127), rng.randint(32, 122), 0x85, 0xA0, 0x2028, 0x1F600]
+    texts = ["", *("".join(chr(rng.choice([*odd, rng.randint(65, 90), rng.randint(128, 0x2FF)])) for _ in range(rng.randint(0, 300))) for _ in range(60)), "", "x"]
+    terms, owner = divergence.terms_of([t.encode() for t in texts])
+    want = [(t, i) for i, text in enumerate(texts) for t in TERM.findall(text.translate(UPPER))]
+    assert [(t.decode(), i) for t, i in zip(terms.to_pylist(), owner.tolist())] == want
+    assert len(divergence.terms_of([b""])[0]) == 0 and divergence.counted([b""], [("", "")]).num_rows == 0
+
+
+def test_counts_of_slices_add_up(spark):
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    n, d = Counter(), Counter()
+    for r in rows:
+        terms = TERM.findall((r.text or "").translate(UPPER))
+        where = (r.lang or "", r.source or "")
+        n.update((*where, t) for t in terms)
+        d.update((*where, t) for t in set(terms))
+    for size in (1, 50, 10**6):
+        got = divergence.term_counts(docs, slice_bytes=size).collect()
+        assert sorted((*r[:3], r.n, r.d) for r in got) == sorted((*k, c, d[k]) for k, c in n.items())
+
+
+def test_counts_and_vectors_take_one_shuffle(spark):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    plan = divergence.kept_vocabulary(divergence.term_counts(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
