@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ..functions import periods as pe
 from ..functions import text as tx
 from ..rules import Rules
 from ..schemas import Books
+from .screen import screened
 
 
 def account_names(accounts: DataFrame) -> DataFrame:
@@ -67,19 +70,27 @@ def journal_lines(books: Books) -> DataFrame:
     return books["journal_line"].join(books["journal"], "journal_id")
 
 
-def listed_rows(books: Books, accounts: DataFrame, journals: Column | None = None) -> DataFrame:
+def listed_rows(books: Books, accounts: DataFrame, journals: Column | None = None, lines: Column | None = None) -> DataFrame:
     """The rows of ``journal_rows`` with the account's texts joined last.
 
     Lines are cut by the bare ids of the list, which stay short enough to broadcast far longer than
-    the texts would, and no text crosses the shuffle by journal. ``journals`` is a test on journal
-    columns. Books that keep lines and journals together need no such shuffle.
+    the texts would, and no text crosses the shuffle by journal. Lines that meet none of the ids are
+    screened off before any shuffle, and, where ``journals`` (a test on journal columns) leaves journals
+    out, those of other journals too. ``lines`` is a test on columns of a line and of one of its accounts.
+    Books that keep lines and journals together need no such shuffle.
     """
     if "posting" in books or "co_line" in books:
         rows = journal_rows(books, accounts)
-        return rows if journals is None else rows.filter(journals)
-    lines = books["journal_line"].join(accounts.select("account_id"), "account_id", "left_semi")
+        tests = [t for t in (journals, lines) if t is not None]
+        return rows.filter(reduce(and_, tests)) if tests else rows
     journal = books["journal"] if journals is None else books["journal"].filter(journals)
-    return lines.join(journal, "journal_id").join(accounts, "account_id")
+    found = screened(books["journal_line"], accounts, "account_id")
+    if journals is not None:
+        found = screened(found, journal, "journal_id")
+    listed = accounts.withColumnRenamed("account_id", "listed_id")
+    same = F.col("account_id") == F.col("listed_id")
+    found = found.join(listed, same if lines is None else same & lines, "left_semi")
+    return found.join(journal, "journal_id").join(accounts, "account_id")
 
 
 def account_months(books: Books, rules: Rules, accounts: DataFrame, since: dt.date | None = None) -> DataFrame:
@@ -116,15 +127,17 @@ def postings(
     by_accounting_date: bool = False,
     texts_last: bool = False,
     journals: Column | None = None,
+    lines: Column | None = None,
 ) -> DataFrame:
     """Ledger rows of the selected ``accounts``.
 
     Lines meet the account list before they meet the journal, so the join on the journal id
     (the widest shuffle) only carries lines of interest, and a short list is broadcast by Spark
     once its size is known. With ``texts_last``, for lists that leave accounts out, lines meet only
-    the list's ids there, and journals that fail the test ``journals`` are left out too.
+    the list's ids there, and journals that fail the test ``journals`` and lines that fail ``lines`` are
+    left out too.
     """
-    fact = listed_rows(books, accounts, journals) if texts_last else journal_rows(books, accounts)
+    fact = listed_rows(books, accounts, journals, lines) if texts_last else journal_rows(books, accounts)
     floor = since or rules.ledger_since
     fact = fact.filter(F.col("accounting_at") >= F.lit(floor)).drop("load_month") if by_accounting_date else _loaded_since(fact, floor)
     return _finish(fact, books, rules, with_party)

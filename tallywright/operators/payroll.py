@@ -64,7 +64,8 @@ def payroll_postings(
     the load month for the others.
     """
     accounts = payroll_accounts(books["account"], rules).filter(F.col("role").isin(*roles))
-    rows = postings(books, rules, accounts, texts_last=True)
+    # the other roles count debit lines alone, which is known before the journal
+    rows = postings(books, rules, accounts, texts_last=True, lines=(F.col("role") == ACCRUAL) | (F.col("side") == 0))
     category = cl.noise_category(F.col("origin_code"), F.col("detail"), rules)
     role = F.col("role")
     accrued = (role == ACCRUAL) & F.col("accounting_at").isNotNull() & category.isin("base", "provision")

@@ -12,6 +12,7 @@ from ..functions import periods as pe
 from ..functions import text as tx
 from ..rules import Rules
 from ..schemas import Books
+from .screen import screened
 
 
 def invoice_card(books: Books, rules: Rules) -> DataFrame:
@@ -31,20 +32,27 @@ def invoice_card(books: Books, rules: Rules) -> DataFrame:
 
 
 def sales_lines(
-    books: Books, rules: Rules, unit_default: str | None = None, with_text: bool = True
+    books: Books,
+    rules: Rules,
+    unit_default: str | None = None,
+    with_text: bool = True,
+    units: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Invoice lines that count as sales, with net amount, unit and month.
 
     Lines of excluded products and lines without a product are dropped; both product tests run
-    before the join with the header, so that the largest shuffle carries fewer rows.
+    before the join with the header, so that the largest shuffle carries fewer rows. If only some
+    ``units`` are asked for, the unit is known by the header, and lines of other headers are screened off.
     """
     products = books["product"].filter(~F.col("code").isin(*rules.excluded_codes)).select("product_id")
-    joined = (
-        books["invoice_line"].join(products, "product_id").join(invoice_card(books, rules), "invoice_id")
-    )
     unit = cl.unit_of_branch(F.col("branch_no"), rules, unit_default)
     for text, owner in reversed(rules.customer_units):
         unit = F.when(tx.contains(F.col("company"), text), owner).otherwise(unit)
+    lines, card = books["invoice_line"], invoice_card(books, rules)
+    if units is not None:
+        card = card.filter(unit.isin(*units))
+        lines = screened(lines, card, "invoice_id")
+    joined = lines.join(products, "product_id").join(card, "invoice_id")
     columns = [
         unit.alias("unit"),
         F.col("issued_at"),
@@ -57,9 +65,11 @@ def sales_lines(
     return joined.select(*columns)
 
 
-def sales_monthly(books: Books, rules: Rules, unit_default: str | None = None) -> DataFrame:
+def sales_monthly(
+    books: Books, rules: Rules, unit_default: str | None = None, units: tuple[str, ...] | None = None
+) -> DataFrame:
     """Net sales by unit and month, as the sales rows of a P&L (exact decimal amounts)."""
-    lines = sales_lines(books, rules, unit_default, with_text=False).filter(F.col("month").isNotNull())
+    lines = sales_lines(books, rules, unit_default, with_text=False, units=units).filter(F.col("month").isNotNull())
     return (
         lines.groupBy("unit", "month")
         .agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("amount"))
@@ -67,9 +77,9 @@ def sales_monthly(books: Books, rules: Rules, unit_default: str | None = None) -
     )
 
 
-def sales_fact(books: Books, rules: Rules) -> DataFrame:
+def sales_fact(books: Books, rules: Rules, units: tuple[str, ...] | None = None) -> DataFrame:
     """Sales rows in the shape of the movement fact."""
-    return sales_lines(books, rules).select(
+    return sales_lines(books, rules, units=units).select(
         "unit",
         F.col("issued_at").alias("moment"),
         "month",

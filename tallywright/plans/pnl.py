@@ -23,7 +23,7 @@ def movements(books: Books, rules: Rules) -> DataFrame:
     No global sort: a consumer that wants an order asks for it, and the sink sorts inside its
     partitions.
     """
-    sales = sa.sales_fact(books, rules).withColumn("amount", F.col("amount").cast(AMOUNT))
+    sales = sa.sales_fact(books, rules, rules.units).withColumn("amount", F.col("amount").cast(AMOUNT))
     costs = ex.expense_rows(books, rules).withColumn("amount", F.col("amount").cast(AMOUNT))
     fact = (
         sales.unionByName(pay.payroll_fact(books, rules), allowMissingColumns=True)
@@ -43,7 +43,9 @@ def pnl_long(
     group-by only see monthly totals. ``literal`` counts an account that meets both expense
     tests twice and leaves the detail overrides to the fact.
     """
-    sales = sa.sales_monthly(books, rules).select("unit", "month", "concept", F.col("amount").cast(AMOUNT).alias("amount"))
+    sales = sa.sales_monthly(books, rules, units=rules.units).select(
+        "unit", "month", "concept", F.col("amount").cast(AMOUNT).alias("amount")
+    )
     payroll = pay.payroll_hybrid(books, rules, per_unit_cutoff).select("unit", "month", "concept", "amount")
     costs = ex.expenses_monthly(books, rules, literal, consistent=not literal).select(
         "unit", "month", "concept", F.col("amount").cast(AMOUNT).alias("amount")
