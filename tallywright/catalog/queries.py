@@ -38,7 +38,7 @@ from ..schemas import Books
 from ..sources.co_located import store_ledger
 from ..sources.order_books import load_order_books, order_books
 from ..sources.tables import load_tables
-from ..storage import new_folder
+from ..storage import new_folder, stored
 
 # Parameters of the catalogued queries.
 AS_OF = dt.date(2001, 8, 1)
@@ -183,6 +183,8 @@ def _ordered_movements(b: Books) -> DataFrame:
 
 def _codes(b: Books) -> DataFrame:
     rows = ex.expenses_monthly(b, RULES).filter(F.col("unit").isin(*RULES.units))
+    # one row an account and concept, stored: codes and totals would read the ledger once each
+    rows = stored(rows.groupBy("concept", "account_no").agg(F.sum("amount").alias("amount")), "concept-accounts")
     codes = pl.concept_codes(rows)
     totals = rows.groupBy("concept").agg(F.sum("amount").alias("amount"))
     return va.pivot_with_codes(totals, codes)
