@@ -65,13 +65,23 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     if not out:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     g, of = np.concatenate(out), np.concatenate(of)
-    order = np.lexsort((g, of))
-    g, of = g[order], of[order]
+    if short.any():
+        order = np.argsort(of, kind="stable")
+        g, of = g[order], of[order]
+    sort_within(g, np.bincount(of, minlength=len(texts)))
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
     return g[new], np.bincount(of[new], minlength=len(texts))
 
 
+def sort_within(values: np.ndarray, sizes: np.ndarray) -> None:
+    """Sort the stretches of ``sizes`` in place, each for itself."""
+    start = 0
+    for stop in np.cumsum(sizes).tolist():
+        values[start:stop].sort()
+        start = stop
+
+
 def set_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """One 64-bit key for each set, the same for equal sets."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(sets ^ np.uint64(0x5851F42D4C957F2D)))])
@@ -425,8 +435,7 @@ def postings(docs: DataFrame, level: np.ndarray, slice_chars: int = 2_000_000) -
                 once[kept] = True
                 of = np.repeat(np.arange(b - a), sizes)
                 rank = (context.value[(sets & np.uint64(CELLS - 1)).astype(np.intp)].astype(np.uint64) << np.uint64(58)) | (sets >> np.uint64(6))
-                order = np.lexsort((rank, of))
-                rank = rank[order]
+                sort_within(rank, sizes)
                 place = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 keep = (place < (sizes - (3 * sizes + 3) // 4 + sizes // 8 + 1)[of]) & once[of]
                 yield pa.RecordBatch.from_arrays([signed(rank[keep]), signed(keys[of[keep]])], names=["key", "class"])

@@ -117,3 +117,12 @@ def test_row_without_id_bridges_two_documents(spark):
     assert got == [(0, 76, 3), (0, 76, 3), (3, 76, 3), (8, 76, 3), (11, 3, 11)]
     assert [r.doc_id for r in jj.without_near_duplicates(frame.where("doc_id is not null")).orderBy("doc_id").collect()] == [3, 8, 11]
     assert sorted(r.doc_id or 0 for r in jj.without_near_duplicates(frame).collect()) == [0, 0, 3, 11]
+
+
+def test_sort_within_sorts_each_stretch_for_itself():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 6, 40)
+    values = rng.integers(0, 1 << 63, int(sizes.sum()), dtype=np.uint64) << np.uint64(1)
+    want = [x for a, n in zip(np.cumsum(sizes) - sizes, sizes) for x in sorted(values[a : a + n].tolist())]
+    jj.sort_within(values, sizes)
+    assert values.tolist() == want
