@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import by_size, mixed, ragged, texts_of, word_hashes
+from .frames import mixed, ragged, sliced, texts_of, word_hashes
 
 GRAM = 5
 ANSWER = re.compile(r"(?:^|\n|\s)(?:answer|a)\s*:\s*", re.IGNORECASE)
@@ -198,9 +198,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, passage: int = 64, share: f
 
         def search(batches, index=index):
             for batch in batches:
-                ids, texts, rows = batch.column(0).to_pylist(), texts_of(batch), []
-                for a, b in by_size(texts, 2_000_000):
-                    rows += [(ids[a + t], index.ids[i], s, q, w) for t, i, s, q, w in leaked(index, texts[a:b], passage // 2, least)]
+                rows = []
+                for each in sliced(batch, 2_000_000):
+                    ids = each.column(0).to_pylist()
+                    rows += [(ids[t], index.ids[i], s, q, w) for t, i, s, q, w in leaked(index, texts_of(each), passage // 2, least)]
                 columns = list(zip(*rows)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -217,10 +218,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, passage: int = 64, share
 
         def keep(batches, index=index):
             for batch in batches:
-                texts, bad = texts_of(batch), np.zeros(batch.num_rows, bool)
-                for a, b in by_size(texts, 2_000_000):
-                    bad[[a + row[0] for row in leaked(index, texts[a:b], passage // 2, least)]] = True
-                yield batch.filter(pa.array(~bad))
+                for each in sliced(batch, 2_000_000):
+                    bad = np.zeros(each.num_rows, bool)
+                    bad[[row[0] for row in leaked(index, texts_of(each), passage // 2, least)]] = True
+                    yield each.filter(pa.array(~bad))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,14 +75,25 @@ def shards_for(total: int, each: int, least: int = 8) -> int:
 
 def by_size(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` characters each."""
+    yield from _runs([len(t) for t in texts], limit)
+
+
+def sliced(batch: pa.RecordBatch, limit: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The ranges of ``by_size`` as slices of a batch, without a copy: no more than one of them need be Python texts at a time."""
+    sizes = pc.utf8_length(batch.column(batch.schema.get_field_index(name))).fill_null(0).to_pylist()
+    for start, stop in _runs(sizes, limit):
+        yield batch.slice(start, stop - start)
+
+
+def _runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
+    for i, size in enumerate(sizes):
+        held += size
         if held >= limit:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def at_spaces(text: str, limit: int) -> list[str]:
@@ -153,12 +165,27 @@ def _powers(n: int) -> list[np.ndarray]:
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+STRIP = 1 << 17
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, by prefix sums modulo two to the 64."""
-    powers, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word, by prefix sums modulo two to the 64. Words are in order and do not overlap.
+
+    Sums start anew every ``STRIP`` bytes, which no hash depends on; a longer word has a strip of its own.
+    """
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        begin = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, begin + STRIP, "right")))
+        part = data[begin : int(ends[b - 1])]
+        powers, inverse = _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * powers[: len(part)], out=total[1:])
+        first, last = starts[a:b] - begin, ends[a:b] - begin
+        out[a:b] = mixed((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+        a = b
+    return out
 
 
 def signed(x: np.ndarray) -> pa.Array:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import by_size, cell_parts, components, free_name, merged_cells, mixed, ragged, signed, stored, summed_cells, texts_of, word_hashes, words_of
+from .frames import cell_parts, components, free_name, let_go, merged_cells, mixed, ragged, signed, sliced, stored, summed_cells, texts_of, word_hashes, words_of
 
 CELLS = 1 << 20
 WORDS = 5
@@ -376,7 +376,7 @@ def row_key():
 DESCRIBED = "doc_id long, row_key long, n long, class long, vector binary, k int, v binary"
 
 
-def described(docs: DataFrame, slice_chars: int = 2_000_000) -> DataFrame:
+def described(docs: DataFrame, slice_chars: int = 500_000) -> DataFrame:
     """``doc_id, row_key, n, class, vector`` of every row; class and vector are null for an empty set.
 
     Rows without ``n`` hold each task's part ``k, v`` of the count sketch over all shingles.
@@ -384,20 +384,21 @@ def described(docs: DataFrame, slice_chars: int = 2_000_000) -> DataFrame:
 
     def describe(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("vector", pa.binary()), ("k", pa.int32()), ("v", pa.binary())])
+        let_go()
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            texts, columns = texts_of(batch), ([], [], [])
-            for a, b in by_size(texts, slice_chars):
-                sets, sizes = shingles(texts[a:b])
-                total += np.bincount((sets & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            for part in sliced(batch, slice_chars):
+                sets, sizes = shingles(texts_of(part))
+                np.add.at(total, (sets & np.uint64(CELLS - 1)).astype(np.int64), 1)
                 keys = set_keys(sets, sizes).view(np.int64)
                 edges = np.concatenate([[0], np.cumsum(sizes)])
+                columns = ([], [], [])
                 for i, n in enumerate(sizes.tolist()):
                     columns[0].append(n)
                     columns[1].append(int(keys[i]) if n else None)
                     columns[2].append(count_vector(sets[edges[i] : edges[i + 1]]) if n else None)
-            none = [pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), *none], schema=schema)
+                none = [pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), *none], schema=schema)
         for k, v in cell_parts(total):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in schema.types[:5]), pa.array([k], pa.int32()), pa.array([v], pa.binary())], schema=schema)
 
@@ -420,20 +421,20 @@ def asked_for(n):
     return F.floor(F.ceil(3 * n / 4) / 8) + 1
 
 
-def postings(docs: DataFrame, level: np.ndarray, slice_chars: int = 2_000_000) -> DataFrame:
+def postings(docs: DataFrame, level: np.ndarray, slice_chars: int = 500_000) -> DataFrame:
     """``key, class``: the first shingles of every set, rare ones first, so that linked sets share several."""
     context = docs.sparkSession.sparkContext.broadcast(level)  # one byte for each cell of the sketch
 
     def post(batches):
+        let_go()
         for batch in batches:
-            texts = texts_of(batch)
-            for a, b in by_size(texts, slice_chars):
-                sets, sizes = shingles(texts[a:b])
+            for part in sliced(batch, slice_chars):
+                sets, sizes = shingles(texts_of(part))
                 keys = set_keys(sets, sizes)
                 _, kept = np.unique(keys, return_index=True)  # copies within a slice are posted once
-                once = np.zeros(b - a, bool)
+                once = np.zeros(part.num_rows, bool)
                 once[kept] = True
-                of = np.repeat(np.arange(b - a), sizes)
+                of = np.repeat(np.arange(part.num_rows), sizes)
                 rank = (context.value[(sets & np.uint64(CELLS - 1)).astype(np.intp)].astype(np.uint64) << np.uint64(58)) | (sets >> np.uint64(6))
                 sort_within(rank, sizes)
                 place = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -521,19 +522,18 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def check(batches):
         hub, have = None, None
         for batch in batches:
-            a, b, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch)
             links = []
-            for start, stop in by_size(texts, 2_000_000):
-                sets, sizes = shingles(texts[start:stop])
+            for part in sliced(batch, 500_000):
+                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+                sets, sizes = shingles(texts_of(part))
                 keys = set_keys(sets, sizes).view(np.int64)
                 edges = np.concatenate([[0], np.cumsum(sizes)])
-                for i in range(stop - start):
-                    own = sets[edges[i] : edges[i + 1]]
-                    k = start + i
+                for k in range(part.num_rows):
+                    own = sets[edges[k] : edges[k + 1]]
                     if b[k] is None:
-                        if int(keys[i]) == a[k]:
-                            hub, have = a[k], own
-                    elif hub == a[k] and int(keys[i]) == b[k]:
+                        if int(keys[k]) == a[k]:
+                            hub, have = a[k], own.copy()  # without the rest of its slice
+                    elif hub == a[k] and int(keys[k]) == b[k]:
                         shared = len(np.intersect1d(have, own, assume_unique=True))
                         if 7 * shared >= 3 * (len(have) + len(own)):
                             links.append((a[k], b[k]))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import by_size, let_go, summed_cells, texts_of
+from .frames import let_go, sliced, summed_cells, texts_of
 
 # First and last code point of script ranges.
 SCRIPTS = {
@@ -250,8 +250,7 @@ def identify(docs: DataFrame, model: Model, *, penalty: float = 12.0, slice_char
     def label(batches):
         let_go()
         for batch in batches:
-            texts = texts_of(batch)
-            out = [row for a, b in by_size(texts, slice_chars) for row in _judged(texts[a:b], model, penalty)]
+            out = [row for part in sliced(batch, slice_chars) for row in _judged(texts_of(part), model, penalty)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.int32())], names=["doc_id", "lang_pred", "score", "n_spans"]
             )
@@ -272,11 +271,11 @@ def with_language(docs: DataFrame, model: Model, *, least: float = 0.5, penalty:
     def keep(batches):
         let_go()
         for batch in batches:
-            texts = texts_of(batch)
-            out = [row for a, b in by_size(texts, slice_chars) for row in _judged(texts[a:b], model, penalty)]
             at = batch.schema.get_field_index("lang")
-            named = batch.set_column(at, batch.schema.field(at), pa.array([o[0] for o in out], batch.schema.field(at).type))
-            yield named.filter(pa.array([o[0] != UNDETERMINED and o[1] >= least for o in out], pa.bool_()))
+            for part in sliced(batch, slice_chars):
+                out = _judged(texts_of(part), model, penalty)
+                named = part.set_column(at, part.schema.field(at), pa.array([o[0] for o in out], part.schema.field(at).type))
+                yield named.filter(pa.array([o[0] != UNDETERMINED and o[1] >= least for o in out], pa.bool_()))
 
     return docs.mapInArrow(keep, schema)
 

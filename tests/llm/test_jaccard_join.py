@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
+from tallywright.llm import frames
 from tallywright.llm import jaccard_join as jj
 
 
@@ -126,3 +129,54 @@ def test_sort_within_sorts_each_stretch_for_itself():
     want = [x for a, n in zip(np.cumsum(sizes) - sizes, sizes) for x in sorted(values[a : a + n].tolist())]
     jj.sort_within(values, sizes)
     assert values.tolist() == want
+
+
+class TaskSide:
+    """In place of a frame: gives the function that tasks run on batches."""
+
+    def __init__(self):
+        self.sparkSession = self.sparkContext = self
+
+    def broadcast(self, value):
+        self.value = value
+        return self
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_tasks_hold_a_slice_of_a_batch_and_not_all_of_it(spark, monkeypatch):
+    monkeypatch.setattr(frames, "_POWERS", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    rng = np.random.default_rng(7)
+    text = ["".join(t) for t in rng.choice(list("abcdefghij    "), (4000, 3000))]
+    ids = pa.array(range(len(text)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(text)], names=["doc_id", "row_key", "text"])
+    for run in (jj.described(TaskSide()), jj.postings(TaskSide(), np.zeros(jj.CELLS, np.uint8))):
+        tracemalloc.start()
+        for part in run([batch]):
+            assert part.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 48e6  # 22 MB; 103 MB when a task held all texts of its batch and powers for two million bytes
+
+
+def test_word_hashes_are_the_same_in_any_strips(monkeypatch):
+    texts = ["One two three", "", "x" * 500 + " two", " threeé ", "one"]
+    data, starts, ends, _ = frames.words_of(texts)
+    whole = frames.word_hashes(data, starts, ends)
+    for strip in (1, 7, 64):
+        monkeypatch.setattr(frames, "STRIP", strip)
+        assert (frames.word_hashes(data, starts, ends) == whole).all()
+    assert whole[1] == whole[4] and whole[0] == whole[6] and len(set(whole.tolist())) == 5
+
+
+def test_slices_of_a_batch_are_the_ranges_of_its_texts():
+    text = ["aaa", None, "", "ééé", "b" * 9, "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(text, pa.string())], names=["doc_id", "text"])
+    for limit in (1, 3, 5, 100):
+        parts = [(p.column(0)[0].as_py(), p.column(0)[-1].as_py() + 1) for p in frames.sliced(batch, limit)]
+        assert parts == list(frames.by_size(frames.texts_of(batch), limit))
+    assert not list(frames.sliced(batch.slice(0, 0), 5))
