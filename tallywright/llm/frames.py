@@ -249,15 +249,14 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[packed[0]], offset=1).astype(np.int64)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, root`` (the least node reachable) of every node in the undirected links ``a, b``.
+def stars(links: DataFrame) -> DataFrame:
+    """``node, root`` (the least node reachable) of every node in the undirected links ``a, b``, but for the roots themselves.
 
     Large-star and small-star rounds: each hangs neighbours on the least node known, by joins and map-side
-    minima, and is stored, so no node's neighbours are ever collected.
+    minima, and is stored, so no node's neighbours are ever collected. Links that are stars take no round.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
-    mark = None
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -266,8 +265,11 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.greatest("b", "m").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = stored(small.where("a != b").distinct(), "links")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 32)))).first())
-        if now == mark or not now[0]:
-            break
-        mark = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node of the distinct edges ``a > b`` hangs on one node, which hangs on none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up + down > 1 and up > 0").count() == 0

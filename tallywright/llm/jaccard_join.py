@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cell_parts, components, free_name, let_go, merged_cells, mixed, ragged, signed, sliced, stored, summed_cells, texts_of, word_hashes, words_of
+from .frames import cell_parts, free_name, let_go, merged_cells, mixed, ragged, signed, sliced, stars, stored, summed_cells, texts_of, word_hashes, words_of
 
 CELLS = 1 << 20
 WORDS = 5
@@ -601,8 +601,7 @@ def near_duplicates(docs: DataFrame, *, block: int = 1 << 19, early_buckets: int
     turn = F.row_number().over(Window.partitionBy("class").orderBy("key"))
     early = placed.withColumn("turn", turn).where(F.col("turn") <= early_buckets).select("key", "class", "n", F.col("class").alias("root"))
     pairs = tested = stored(_survivors(early, vectors, block, True).select("a", "b").distinct(), "forest-pairs")
-    links = stored(verified(pairs, with_texts(docs, classes, pairs)), "near-links")
-    roots = stored(components(links), "near-roots")
+    roots = stars(verified(pairs, with_texts(docs, classes, pairs)))  # a class that is not there is its own root
     full = placed
     for spanning in (True, False):
         rooted = full.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -610,9 +609,10 @@ def near_duplicates(docs: DataFrame, *, block: int = 1 << 19, early_buckets: int
         rooted = rooted.join(apart, "key").select("key", "class", "n", "root")
         left = stored(_survivors(rooted, vectors, block, spanning), "tree-pairs")
         pairs = stored(left.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "tree-pairs")
-        links = verified(pairs, with_texts(docs, classes, pairs))
-        roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "near-roots")
-        tested = tested.union(pairs)
+        if not pairs.isEmpty():
+            links = verified(pairs, with_texts(docs, classes, pairs))
+            roots = stars(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+            tested = tested.union(pairs)
         # a bucket whose forest held all its pairs has none left to verify
         full = placed.join(left.where("more").select("key").distinct(), "key", "left_semi")
 

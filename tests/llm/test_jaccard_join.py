@@ -180,3 +180,37 @@ def test_slices_of_a_batch_are_the_ranges_of_its_texts():
         parts = [(p.column(0)[0].as_py(), p.column(0)[-1].as_py() + 1) for p in frames.sliced(batch, limit)]
         assert parts == list(frames.by_size(frames.texts_of(batch), limit))
     assert not list(frames.sliced(batch.slice(0, 0), 5))
+
+
+def counting(monkeypatch):
+    """The names of the tables stored from now on."""
+    made, real = [], frames.stored
+    for module in (frames, jj):
+        monkeypatch.setattr(module, "stored", lambda frame, what: made.append(what) or real(frame, what))
+    return made
+
+
+def test_stars_are_the_least_nodes_reachable(spark, monkeypatch):
+    rng = random.Random(3)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i + 1, i) for i in range(100, 120)] + [(7, 7), (5, None)]
+    root = {n: n for link in links for n in link if n is not None}
+    for _ in root:
+        for a, b in links:
+            if b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    found = [tuple(r) for r in frames.stars(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(found) == sorted((n, r) for n, r in root.items() if n != r)
+
+    made = counting(monkeypatch)
+    stars = [(1, 4), (5, 1), (2, 3), (3, 2), (1, 5)]
+    assert sorted(tuple(r) for r in frames.stars(spark.createDataFrame(stars, "a long, b long")).collect()) == [(3, 2), (4, 1), (5, 1)]
+    assert made == ["links"]
+    assert frames.stars(spark.createDataFrame([], "a long, b long")).collect() == [] and made == ["links"] * 2
+
+
+def test_a_table_is_stored_for_pairs_that_are_there_only(spark, monkeypatch):
+    made = counting(monkeypatch)
+    text = " ".join(f"word{i}" for i in range(40))
+    texts = {4: text, 2: text + " more", 9: "some other words that stand alone here", 3: text + " and"}
+    check(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
+    assert len(made) <= 15  # 30 when rounds without a pair stored theirs, links were stored twice and stars searched anew
